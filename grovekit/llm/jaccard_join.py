@@ -8,7 +8,9 @@ of fragments, and a document writes one key per filled fragment for its own clas
 Documents that have an empty fragment, where "the same" may mean "empty in both", also write the keys
 of the prefix filter. So every link meets in a key, however common a shingle is in unrelated texts.
 
-Pairs are then counted in four fixed fragments separately, and the partial overlaps are summed per pair.
+The overlap of a pair is counted fragment by fragment and summed. Fragments in which both are the same are known from
+the join already, and their sizes alone carry most links over the threshold. For the pairs that they don't decide, the
+partial overlaps are counted separately in ``COUNT_FRAGMENTS`` fixed fragments.
 Equal sets are one node from the start. Inside a key the node with the most company is the centre: first
 all others are compared with it only, and components are formed; the pairs that still join different
 components are compared afterwards, and only those, because a pair inside one component adds nothing.
@@ -38,12 +40,12 @@ def size_classes(percent: int, largest: int) -> list[int]:
     return starts
 
 
-def fragment_keys(shingles: np.ndarray, percent: int, starts: np.ndarray) -> np.ndarray:
-    """The join keys of one sorted set of hashes."""
+def fragment_keys(shingles: np.ndarray, percent: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys of one sorted set of hashes, and for each 4 * size of the fragment + its scheme's parity (2: prefix key)."""
     n = len(shingles)
     own = int(np.searchsorted(starts, n, side="right")) - 1
     sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)))
-    keys, empty = [], False
+    keys, sizes, empty = [], [], False
     for scheme in (own, own - 1):
         if scheme < 0:
             continue
@@ -55,10 +57,12 @@ def fragment_keys(shingles: np.ndarray, percent: int, starts: np.ndarray) -> np.
         empty |= not filled.all()
         tag = np.arange(count, dtype=np.uint64) + np.uint64((scheme + 1) << 40)
         keys.append(mixed((sums[edges[1:]] - sums[edges[:-1]]) ^ mixed(tag))[filled])
+        sizes.append((4 * np.diff(edges) + scheme % 2)[filled])
     if empty:
         prefix = n - -(-n * percent // 100) + 1
         keys.append(mixed(shingles[:prefix] ^ np.uint64(0x5BD1E995)))
-    return np.unique(np.concatenate(keys)).view(np.int64)
+        sizes.append(np.full(prefix, 6))
+    return np.concatenate(keys).view(np.int64), np.concatenate(sizes).astype(np.int32)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -86,7 +90,7 @@ def _keys(k: int, percent: int):
     def run(batches):
         starts, seen = np.array(size_classes(percent, 1 << 40)), set()
         for _, sets in _sets(batches, k):
-            nodes, keys = [], []
+            nodes, keys, sizes = [], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for s in sets:
                 node = _signature(s)
                 if node is not None and node not in seen:
@@ -94,10 +98,11 @@ def _keys(k: int, percent: int):
                         seen.clear()
                     seen.add(node)
                     nodes.append(node)
-                    keys.append(fragment_keys(s, percent, starts))
-            lengths = np.cumsum([0] + [len(x) for x in keys])
-            flat = pa.array(np.concatenate(keys) if keys else np.array([], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), np.diff(lengths))), flat], names=["node", "key"])
+                    own, size = fragment_keys(s, percent, starts)
+                    keys.append(own)
+                    sizes.append(size)
+            lengths = [len(x) for x in keys[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["node", "key", "size"])
 
     return run
 
@@ -124,12 +129,22 @@ def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps per fragment, summed per pair."""
     left = fragments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("shingles").alias("in_a"))
     right = fragments.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("shingles").alias("in_b"))
-    partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("in_a", "in_b")).cast("long").alias("common"))
-    summed = partial.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("common").alias("common"))
-    return summed.where(F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")).select("a", "b")
+    partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("in_a", "in_b")).cast("long").alias("common"))
+    once = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("common").alias("common"))
+    return once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common")).where(_similar(percent)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def _similar(percent: int):
+    return F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
+
+
+def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ...) with n_a and n_b; pairs whose sizes alone are too different leave."""
+    both = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    return both.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their distinct k-word shingles is at least
@@ -140,21 +155,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = checkpointed(documents.mapInArrow(_signatures(k), "doc_id long, n_shingles long, node long"))
-    keys = documents.mapInArrow(_keys(k, percent), "node long, key long").repartition("key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("company"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "company")
-    met = checkpointed(keys.join(shared.hint("shuffle_hash"), "key").groupBy("key", "node").agg(F.max("company").alias("company")))
-
+    keys = documents.mapInArrow(_keys(k, percent), "node long, key long, size int").repartition("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("company"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size").alias("largest")).where("lo <> hi AND largest > 0").select("key", "company")
+    met = checkpointed(keys.join(shared.hint("shuffle_hash"), "key").groupBy("key", "node").agg(F.max("company").alias("company"), F.max("size").alias("size")))
     nodes = met.groupBy("node").agg(F.sum("company").alias("support"))
-    homes = members.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("home"))
-    wanted = homes.select(F.coalesce("home", F.lit(-(1 << 63))).alias("home")).distinct()
-    texts = documents.join(wanted, F.coalesce(documents["doc_id"], F.lit(-(1 << 63))) == wanted["home"], "left_semi")
-    found = texts.mapInArrow(_fragments(k), "node long, n long, fragment int, shingles array<long>")
-    fragments = checkpointed(found.join(nodes.select("node"), "node", "left_semi").groupBy("node", "fragment").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-
-    centres = met.join(nodes, "node").groupBy("key").agg(F.max(F.struct("support", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-    first = met.join(centres, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    tried = checkpointed(first)
-    links = checkpointed(_links(tried, fragments, percent))
+    homes = checkpointed(nodes.join(members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("home"), F.max("n_shingles").alias("n")), "node"))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only the texts of nodes in them are read again."""
+        pairs = checkpointed(pairs)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = homes.join(ends, "node", "left_semi").select(F.coalesce("home", F.lit(-(1 << 63))).alias("home")).distinct()
+        if pairs.count() <= broadcast_rows // 2:
+            wanted = F.broadcast(wanted)
+        texts = documents.join(wanted, F.coalesce(documents["doc_id"], F.lit(-(1 << 63))) == wanted["home"], "left_semi")
+        fragments = checkpointed(texts.mapInArrow(_fragments(k), "node long, n long, fragment int, shingles array<long>"))
+        return _links(pairs, fragments, percent)
+
+    centres = met.join(homes, "node").groupBy("key").agg(F.max(F.struct("support", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    parity = lambda p: F.sum(F.when(F.col("size") % 4 == p, F.floor(F.col("size") / 4)).otherwise(0))
+    meetings = met.join(centres, "key").where("node <> centre").groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.greatest(parity(0), parity(1)).alias("common"))
+    tried = checkpointed(_sized(meetings, homes, percent))
+    sure = tried.where(_similar(percent)).select("a", "b")
+    links = checkpointed(sure.unionByName(links_of(tried.where(~_similar(percent)).select("a", "b"))))
     label = components(links)
 
     labelled = met.select("key", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -162,7 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left_over = checkpointed(labelled.join(open_keys, "key", "left_semi"))
     other = left_over.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
     rest = left_over.withColumnRenamed("node", "a").join(other, "key").where("a < b AND component <> component_b").select("a", "b").distinct()
-    more = _links(rest.join(tried, ["a", "b"], "left_anti"), fragments, percent)
+    more = links_of(_sized(rest.join(tried, ["a", "b"], "left_anti"), homes, percent).select("a", "b"))
     label = components(links.unionByName(more)).select("node", "component")
 
     whole = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
