@@ -1,0 +1,13 @@
+"""A session with the settings the engine expects."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "grovekit", **settings: str) -> SparkSession:
+    """The running session, or one with adaptive execution and UTC timestamps (views compare timestamps)."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
