@@ -12,8 +12,15 @@ The overlap of a pair is counted fragment by fragment and summed. Fragments in w
 the join already, and their sizes alone carry most links over the threshold. For the pairs that they don't decide, the
 partial overlaps are counted separately in ``COUNT_FRAGMENTS`` fixed fragments.
 Equal sets are one node from the start. Inside a key the node with the most company is the centre: first
-all others are compared with it only, and components are formed; the pairs that still join different
-components are compared afterwards, and only those, because a pair inside one component adds nothing.
+all others are compared with it only, and components are formed; of what is left only pairs of different
+components matter, because a pair inside one component adds nothing.
+
+Such pairs meet by their differences from the centre c, not by all pairs of a key. Let dx and dy be the symmetric
+differences of x and y from c, r = (1 - t) / (1 + t). Then x and y differ in |dx| + |dy| - 2 |dx & dy|
+shingles, and link when that is at most r (|x| + |y|), so |dx & dy| >= o = (|dx| + |dy| - r (|x| + |y|)) / 2.
+One of them, say x, is not in the component of c: |dx| > r (|x| + |c|), so o > |dy| (1 - r) / 2 > 0. A prefix filter
+follows: y needs only the first half or so of its differences, x a longer prefix, under an order that puts the shingles
+that c lacks, which are rare, before those that c has. Each match is held against o by its positions.
 """
 
 from __future__ import annotations
@@ -115,11 +122,10 @@ def _fragments(k: int):
                 if len(s):
                     edges = np.searchsorted(s >> np.uint64(62), np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64))
                     for f in range(COUNT_FRAGMENTS):
-                        if edges[f + 1] > edges[f]:
-                            nodes.append(_signature(s))
-                            sizes.append(len(s))
-                            which.append(f)
-                            parts.append(s[edges[f] : edges[f + 1]].view(np.int64))
+                        nodes.append(_signature(s))
+                        sizes.append(len(s))
+                        which.append(f)
+                        parts.append(s[edges[f] : edges[f + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(which, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["node", "n", "fragment", "shingles"])
 
     return run
@@ -134,6 +140,36 @@ def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     return once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common")).where(_similar(percent)).select("a", "b")
 
 
+def _prefixes(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """Differences of the nodes of ``pairs(node, centre, component, far)`` from their centres, one row per difference of a prefix.
+
+    ``place`` is its position from 1, ``total`` the number of differences; ``short`` is true in the prefix for partners that are far from
+    the centre; the rows of a far node go on to its longer prefix.
+    """
+    own = fragments.select("node", "n", "fragment", F.col("shingles").alias("own"))
+    base = fragments.select(F.col("node").alias("centre"), "fragment", F.col("shingles").alias("base"))
+    both = pairs.join(own, "node").join(base, ["centre", "fragment"])
+    both = both.select("node", "centre", "component", "far", "n", F.array_except("own", "base").alias("more"), F.array_except("base", "own").alias("less"))
+    ordered = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    whole = both.groupBy("node", "centre", "component", "far", "n").agg(F.concat(ordered("more"), ordered("less")).alias("all")).withColumn("total", F.size("all").cast("long"))
+    short = F.expr(f"total * 100 DIV {100 + percent} + 1")
+    far = F.expr(f"total + 1 - greatest(1, (total * {percent} - n * {100 - percent} + {2 * percent - 1}) DIV {2 * percent})")
+    whole = whole.withColumn("short", short).withColumn("prefix", F.slice("all", F.lit(1), F.when(F.col("far"), F.greatest(short, far)).otherwise(short).cast("int")))
+    return whole.select("node", "centre", "component", "far", "n", "total", "short", F.posexplode("prefix").alias("place", "shingle")).withColumn("place", F.col("place") + 1).withColumn("short", F.col("place") <= F.col("short"))
+
+
+def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link by what they share of their differences from one centre."""
+    x = prefixes.where("far").select("centre", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "total", "place")])
+    y = prefixes.where("short").select("centre", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "total", "place")])
+    fits = F.expr(
+        f"component_x <> component_y AND 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) AND "
+        f"{2 * (100 + percent)} * (1 + least(total_x - place_x, total_y - place_y)) >= {100 + percent} * (total_x + total_y) - {100 - percent} * (n_x + n_y)"
+    )
+    met = x.join(y, (x["centre"] == y["centre"]) & (x["shingle"] == y["shingle"]) & fits)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def _similar(percent: int):
     return F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
 
@@ -161,32 +197,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_ro
     nodes = met.groupBy("node").agg(F.sum("company").alias("support"))
     homes = checkpointed(nodes.join(members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("home"), F.max("n_shingles").alias("n")), "node"))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """The pairs that link; only the texts of nodes in them are read again."""
-        pairs = checkpointed(pairs)
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = homes.join(ends, "node", "left_semi").select(F.coalesce("home", F.lit(-(1 << 63))).alias("home")).distinct()
-        if pairs.count() <= broadcast_rows // 2:
-            wanted = F.broadcast(wanted)
-        texts = documents.join(wanted, F.coalesce(documents["doc_id"], F.lit(-(1 << 63))) == wanted["home"], "left_semi")
-        fragments = checkpointed(texts.mapInArrow(_fragments(k), "node long, n long, fragment int, shingles array<long>"))
-        return _links(pairs, fragments, percent)
+    wanted = homes.select(F.coalesce("home", F.lit(-(1 << 63))).alias("home")).distinct()
+    if homes.count() <= broadcast_rows:
+        wanted = F.broadcast(wanted)
+    texts = documents.join(wanted, F.coalesce(documents["doc_id"], F.lit(-(1 << 63))) == wanted["home"], "left_semi")
+    fragments = checkpointed(texts.mapInArrow(_fragments(k), "node long, n long, fragment int, shingles array<long>"))
 
     centres = met.join(homes, "node").groupBy("key").agg(F.max(F.struct("support", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     parity = lambda p: F.sum(F.when(F.col("size") % 4 == p, F.floor(F.col("size") / 4)).otherwise(0))
     meetings = met.join(centres, "key").where("node <> centre").groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.greatest(parity(0), parity(1)).alias("common"))
     tried = checkpointed(_sized(meetings, homes, percent))
     sure = tried.where(_similar(percent)).select("a", "b")
-    links = checkpointed(sure.unionByName(links_of(tried.where(~_similar(percent)).select("a", "b"))))
-    label = components(links)
-
-    labelled = met.select("key", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left_over = checkpointed(labelled.join(open_keys, "key", "left_semi"))
-    other = left_over.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    rest = left_over.withColumnRenamed("node", "a").join(other, "key").where("a < b AND component <> component_b").select("a", "b").distinct()
-    more = links_of(_sized(rest.join(tried, ["a", "b"], "left_anti"), homes, percent).select("a", "b"))
-    label = components(links.unionByName(more)).select("node", "component")
+    links = checkpointed(sure.unionByName(_links(tried.where(~_similar(percent)), fragments, percent)))
+    label = checkpointed(components(links))
+
+    of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("component_c"))
+    around = met.select("key", "node").join(centres, "key").where("node <> centre").join(label, "node", "left").join(of_centre, "centre", "left")
+    around = around.select("key", "node", "centre", F.coalesce("component", "node").alias("component"), F.coalesce("component_c", "centre").alias("component_c"))
+    open_keys = around.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    beside = around.join(open_keys, "key", "left_semi").select("node", "centre", "component", (F.col("component") != F.col("component_c")).alias("far")).distinct()
+    rest = checkpointed(_meetings(_prefixes(beside, fragments, percent), percent).join(tried, ["a", "b"], "left_anti"))
+    label = components(links.unionByName(_links(rest, fragments, percent))).select("node", "component")
 
     whole = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = whole.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("smallest"))
