@@ -2,10 +2,10 @@
 
 The shingle hashes give the global order; the order is cut into fragments, and a document is the row of
 its fragments. Let x and y link, x the smaller, with |x| <= s. Then they differ in at most
-D = s * (1 - t) / t shingles, so of D + 1 fragments at least one is the same in both. Sizes are put
+D = s * (1 - t) / t shingles, so of D + 1 + E fragments at least E + 1 are the same in both. Sizes are put
 into classes so narrow that a partner's class is the same or the next; each class has its own number
 of fragments, and a document writes one key per filled fragment for its own class and for the class below.
-Documents that have an empty fragment, where "the same" may mean "empty in both", also write the keys
+Documents with more than E empty fragments, where "the same" may mean "empty in both" each time, also write the keys
 of the prefix filter. So every link meets in a key, however common a shingle is in unrelated texts.
 
 The overlap of a pair is counted fragment by fragment and summed. Fragments in which both are the same are known from
@@ -57,11 +57,12 @@ def fragment_keys(shingles: np.ndarray, percent: int, starts: np.ndarray) -> tup
         if scheme < 0:
             continue
         differences = int(starts[scheme + 1] - 1) * (100 - percent) // percent
-        count = differences + 1
+        spare = differences // 16 + 2 if differences >= 7 else 0
+        count = differences + 1 + spare
         which = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         edges = np.searchsorted(which, np.arange(count + 1, dtype=np.uint64))
         filled = edges[1:] > edges[:-1]
-        empty |= not filled.all()
+        empty |= count - int(filled.sum()) > spare
         tag = np.arange(count, dtype=np.uint64) + np.uint64((scheme + 1) << 40)
         keys.append(mixed((sums[edges[1:]] - sums[edges[:-1]]) ^ mixed(tag))[filled])
         sizes.append((4 * np.diff(edges) + scheme % 2)[filled])
