@@ -9,8 +9,9 @@ Documents with more than E empty fragments, where "the same" may mean "empty in
 of the prefix filter. So every link meets in a key, however common a shingle is in unrelated texts.
 
 The overlap of a pair is counted fragment by fragment and summed. Fragments in which both are the same are known from
-the join already, and their sizes alone carry most links over the threshold. For the pairs that they don't decide, the
-partial overlaps are counted separately in ``COUNT_FRAGMENTS`` fixed fragments.
+the join already, and their sizes alone carry some links over the threshold. Parity sketches, an exact lower bound of the
+differences at a thirtieth of a set's bytes, rule out most pairs that don't link. For the rest the partial overlaps are counted
+separately in ``COUNT_FRAGMENTS`` fixed fragments.
 Equal sets are one node from the start. Inside a key the node with the most company is the centre: first
 all others are compared with it only, and components are formed; of what is left only pairs of different
 components matter, because a pair inside one component adds nothing.
@@ -115,10 +116,21 @@ def _keys(k: int, percent: int):
     return run
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each remainder of the hashes by a power of two (twice the size or more), whether an odd number of them has it; 64 to a word.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits. A sketch of half the width is the
+    exclusive or of its halves.
+    """
+    width = max(256, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _fragments(k: int):
     def run(batches):
         for _, sets in _sets(batches, k):
-            nodes, sizes, which, parts = [], [], [], []
+            nodes, sizes, which, parts, sketches = [], [], [], [], []
             for s in sets:
                 if len(s):
                     edges = np.searchsorted(s >> np.uint64(62), np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64))
@@ -127,7 +139,8 @@ def _fragments(k: int):
                         sizes.append(len(s))
                         which.append(f)
                         parts.append(s[edges[f] : edges[f + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(which, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["node", "n", "fragment", "shingles"])
+                        sketches.append(None if f else parity_sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(which, pa.int32()), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["node", "n", "fragment", "shingles", "sketch"])
 
     return run
 
@@ -141,6 +154,19 @@ def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     return once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common")).where(_similar(percent)).select("a", "b")
 
 
+def _bounded(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't show already that they differ in too many shingles."""
+    sketches = fragments.where("fragment = 0")
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    folded = "transform(sequence(1, {0}), i -> aggregate(sequence(i, size({1}), {0}), 0L, (x, j) -> x ^ element_at({1}, j)))"
+    width = "least(size(s_a), size(s_b))"
+    one, other = (f"CASE WHEN size({s}) = {width} THEN {s} ELSE {folded.format(width, s)} END" for s in ("s_a", "s_b"))
+    bits = f"aggregate(zip_with({one}, {other}, (x, y) -> bit_count(x ^ y)), 0L, (x, y) -> x + y)"
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return both.where(F.expr(f"{100 + percent} * {bits} <= {100 - percent} * (n_a + n_b)")).select("a", "b")
+
+
 def _prefixes(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Differences of the nodes of ``pairs(node, centre, component, far)`` from their centres, one row per difference of a prefix.
 
@@ -202,14 +228,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_ro
     if homes.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     texts = documents.join(wanted, F.coalesce(documents["doc_id"], F.lit(-(1 << 63))) == wanted["home"], "left_semi")
-    fragments = checkpointed(texts.mapInArrow(_fragments(k), "node long, n long, fragment int, shingles array<long>"))
+    fragments = checkpointed(texts.mapInArrow(_fragments(k), "node long, n long, fragment int, shingles array<long>, sketch array<long>"))
 
     centres = met.join(homes, "node").groupBy("key").agg(F.max(F.struct("support", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     parity = lambda p: F.sum(F.when(F.col("size") % 4 == p, F.floor(F.col("size") / 4)).otherwise(0))
     meetings = met.join(centres, "key").where("node <> centre").groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.greatest(parity(0), parity(1)).alias("common"))
     tried = checkpointed(_sized(meetings, homes, percent))
     sure = tried.where(_similar(percent)).select("a", "b")
-    links = checkpointed(sure.unionByName(_links(tried.where(~_similar(percent)), fragments, percent)))
+    links = checkpointed(sure.unionByName(_links(_bounded(tried.where(~_similar(percent)), fragments, percent), fragments, percent)))
     label = checkpointed(components(links))
 
     of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("component_c"))
@@ -218,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_ro
     open_keys = around.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     beside = around.join(open_keys, "key", "left_semi").select("node", "centre", "component", (F.col("component") != F.col("component_c")).alias("far")).distinct()
     rest = checkpointed(_meetings(_prefixes(beside, fragments, percent), percent).join(tried, ["a", "b"], "left_anti"))
-    label = components(links.unionByName(_links(rest, fragments, percent))).select("node", "component")
+    label = components(links.unionByName(_links(_bounded(rest, fragments, percent), fragments, percent))).select("node", "component")
 
     whole = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = whole.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("smallest"))
