@@ -16,7 +16,8 @@ Equal sets are one node from the start. Inside a key the node with the most comp
 all others are compared with it only, and components are formed; of what is left only pairs of different
 components matter, because a pair inside one component adds nothing.
 
-Such pairs meet by their differences from the centre c, not by all pairs of a key. Let dx and dy be the symmetric
+In a key of ``small_key`` nodes or fewer beside the centre, such pairs are just listed. In a larger one they meet by
+their differences from the centre c, not by all pairs of a key. Let dx and dy be the symmetric
 differences of x and y from c, r = (1 - t) / (1 + t). Then x and y differ in |dx| + |dy| - 2 |dx & dy|
 shingles, and link when that is at most r (|x| + |y|), so |dx & dy| >= o = (|dx| + |dy| - r (|x| + |y|)) / 2.
 One of them, say x, is not in the component of c: |dx| > r (|x| + |c|), so o > |dy| (1 - r) / 2 > 0. A prefix filter
@@ -187,13 +188,14 @@ def _prefixes(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
 
 def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may link by what they share of their differences from one centre."""
-    x = prefixes.where("far").select("centre", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "total", "place")])
-    y = prefixes.where("short").select("centre", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "total", "place")])
+    prefixes = prefixes.withColumn("at", F.xxhash64("centre", "shingle"))
+    x = prefixes.where("far").select("at", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "total", "place")])
+    y = prefixes.where("short").select("at", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "total", "place")])
     fits = F.expr(
         f"component_x <> component_y AND 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) AND "
         f"{2 * (100 + percent)} * (1 + least(total_x - place_x, total_y - place_y)) >= {100 + percent} * (total_x + total_y) - {100 - percent} * (n_x + n_y)"
     )
-    met = x.join(y, (x["centre"] == y["centre"]) & (x["shingle"] == y["shingle"]) & fits)
+    met = x.join(y, (x["at"] == y["at"]) & fits)
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -207,7 +209,7 @@ def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = 500_000, small_key: int = 16) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their distinct k-word shingles is at least
@@ -241,10 +243,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_ro
     of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("component_c"))
     around = met.select("key", "node").join(centres, "key").where("node <> centre").join(label, "node", "left").join(of_centre, "centre", "left")
     around = around.select("key", "node", "centre", F.coalesce("component", "node").alias("component"), F.coalesce("component_c", "centre").alias("component_c"))
-    open_keys = around.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    beside = around.join(open_keys, "key", "left_semi").select("node", "centre", "component", (F.col("component") != F.col("component_c")).alias("far")).distinct()
-    rest = checkpointed(_meetings(_prefixes(beside, fragments, percent), percent).join(tried, ["a", "b"], "left_anti"))
-    label = components(links.unionByName(_links(_bounded(rest, fragments, percent), fragments, percent))).select("node", "component")
+    open_keys = around.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("others")).where("lo <> hi").select("key", "others")
+    beside = checkpointed(around.join(open_keys, "key"))
+    few, many = beside.where(F.col("others") <= small_key), beside.where(F.col("others") > small_key)
+    partner = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+    direct = few.withColumnRenamed("node", "a").join(partner, "key").where("a < b AND component <> component_b").select("a", "b")
+    many = many.select("node", "centre", "component", (F.col("component") != F.col("component_c")).alias("far")).distinct()
+    met_again = direct.unionByName(_meetings(_prefixes(many, fragments, percent), percent)).distinct()
+    rest = checkpointed(_bounded(met_again.join(tried, ["a", "b"], "left_anti"), fragments, percent))
+    label = components(links.unionByName(_links(rest, fragments, percent))).select("node", "component")
 
     whole = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = whole.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("smallest"))
