@@ -64,15 +64,19 @@ def fit_label_model(votes: np.ndarray, rate: np.ndarray, prior: float, steps: in
     weight = np.ones(m)
     posterior = np.full(n, prior)
     for step in range(steps):
-        each = votes @ ((np.log(rate[:, 1]) - np.log(rate[:, 0])) * weight)
+        each = (votes @ ((np.log(rate[:, 1]) - np.log(rate[:, 0])) * weight).astype(votes.dtype)).astype(float)
         posterior = 1 / (1 + np.exp(-np.clip(each + np.log(prior / (1 - prior)), -30, 30)))
         mass = np.array([n - posterior.sum(), posterior.sum()])
-        counts = np.stack([votes.T @ (1 - posterior), votes.T @ posterior], axis=1)
+        counts = (votes.T @ np.stack([1 - posterior, posterior], axis=1).astype(votes.dtype)).astype(float)
         rate = np.clip((counts + 0.5) / (mass[None, :] + 1), 1e-4, 1 - 1e-4)
         if step == steps // 2:
-            residual = votes - (np.outer(1 - posterior, rate[:, 0]) + np.outer(posterior, rate[:, 1]))
-            scale = np.sqrt((residual**2).sum(axis=0)) + 1e-9
-            correlation = np.abs((residual / scale).T @ (residual / scale))
+            products = np.zeros((m, m))
+            for at in range(0, n, 2000):  # by blocks, so that the driver holds no second matrix of the sample's size
+                share = posterior[at : at + 2000]
+                residual = votes[at : at + 2000] - (np.outer(1 - share, rate[:, 0]) + np.outer(share, rate[:, 1]))
+                products += residual.T @ residual
+            scale = np.sqrt(np.diag(products)) + 1e-9
+            correlation = np.abs(products / np.outer(scale, scale))
             np.fill_diagonal(correlation, 0)
             weight = 1 / (1 + np.where(correlation > 0.5, correlation, 0).sum(axis=1))
     return posterior, weight
@@ -80,11 +84,10 @@ def fit_label_model(votes: np.ndarray, rate: np.ndarray, prior: float, steps: in
 
 def fit_classifier(x: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
     """Weights and, last, the intercept of a logistic regression on soft labels."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, m, v = (np.zeros(x.shape[1] + 1) for _ in range(3))
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) / len(x) + ridge * w
+        off = 1 / (1 + np.exp(-np.clip((x @ w[:-1].astype(x.dtype)).astype(float) + w[-1], -30, 30))) - target
+        gradient = np.append((x.T @ off.astype(x.dtype)).astype(float), off.sum()) / len(x) + ridge * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         w -= rate * 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w
@@ -133,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int
             yield pa.RecordBatch.from_arrays([pa.array([[words[w] for w in ids if w in f] for f, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.bool_()))], names=["words", "patterns"])
 
     seen = chosen.mapInArrow(present, "words array<int>, patterns array<boolean>").collect()
-    x = np.zeros((len(seen), len(words) + len(PATTERNS)))
+    x = np.zeros((len(seen), len(words) + len(PATTERNS)), np.float32)
     for i, r in enumerate(seen):
         x[i, r["words"]] = 1
         x[i, len(words) :] = r["patterns"]
