@@ -6,10 +6,11 @@ the smallest gram hash is selected as a fingerprint, the last of equals. Window
 nothing but the lines in them, and they lie within the next gram_words + window_words words (up to the end of the line
 reached), so two texts that share a run of at least that many words share a selected fingerprint.
 
-Each fingerprint is joined with its first occurrence (by doc_id, text hash and place; one row per fingerprint, so a run
-with very many copies is no pair of all its copies). The positions of the same two texts at the same offset
-are one match, which is extended both ways as far as the lines are equal. A run of at least ``min_words``
-words is then deleted from the later text.
+A passage is a shortest run of lines with ``min_words`` words from its first line on, or back from its last. Every line of a
+run of ``min_words`` words lies in a passage within the run, and every passage holds a selected fingerprint of its own, so only
+passages around fingerprints that occur more than once are listed. Each passage is then joined with its own first
+occurrence (by doc_id, text hash and place; one row per passage, so a run with very many copies is no pair of all its
+copies), and all occurrences but the first are deleted. So no run depends on which texts share parts of it.
 """
 
 from __future__ import annotations
@@ -38,8 +39,19 @@ def _fingerprints(gram_words: int, window_words: int) -> tuple[str, str]:
     return grams, f"array_distinct(filter(transform(sequence(0, size(g) - 1), p -> {window}), x -> x IS NOT NULL))"
 
 
+def _passages(min_words: int) -> str:
+    """SQL for the passages of a row around the places ``at`` (line numbers; array w as above): struct(s, e), lines s to e."""
+    ends = f"""aggregate(sequence(p + 1, least(p + {min_words}, size(w))), named_struct('w', 0, 'e', p),
+        (a, j) -> if(a.w >= {min_words}, a, named_struct('w', a.w + element_at(w, j), 'e', j - 1)), a -> if(a.w >= {min_words}, named_struct('s', p, 'e', a.e), NULL))"""
+    starts = f"""aggregate(sequence(p + 1, greatest(p + 2 - {min_words}, 1), -1), named_struct('w', 0, 's', p),
+        (a, j) -> if(a.w >= {min_words}, a, named_struct('w', a.w + element_at(w, j), 's', j - 1)), a -> if(a.w >= {min_words}, named_struct('s', a.s, 'e', p), NULL))"""
+    # A passage has min_words lines at most, so lines farther from every place start or end none that holds a place.
+    lines = f"array_sort(array_distinct(flatten(transform(at, x -> sequence(greatest(x - {min_words}, 0), least(x + {min_words}, size(w) - 1))))))"
+    return f"filter(array_distinct(flatten(transform({lines}, p -> array({ends}, {starts})))), x -> x IS NOT NULL AND exists(at, p -> p >= x.s AND p <= x.e))"
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 50, gram_words: int = 20, window_words: int = 20) -> DataFrame:
-    """doc_id, key (of the text), runs: the line ranges (from, to; 0-based, to inclusive) that repeat earlier ones.
+    """doc_id, key (of the text), runs: the line ranges (from, to; 0-based, to inclusive) that repeat earlier ones, in order.
 
     Rows equal in doc_id and text are one text; only texts with such runs are returned.
     """
@@ -56,23 +68,19 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, gram_words: int = 20, wi
     grams, selected = _fingerprints(gram_words, window_words)
     found = held.where("size(h) > 0").withColumn("g", F.expr(grams)).withColumn("at", F.expr(selected))
     prints = checkpointed(found.select("doc_id", "key", F.explode(F.expr("transform(at, p -> named_struct('p', p, 'g', element_at(g, p + 1)))")).alias("x")).select("doc_id", "key", "x.p", "x.g"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"), F.col("p"))
-    first = prints.groupBy("g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("g", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.p").alias("q"))
-    later = prints.join(first, "g").where("NOT (doc_id <=> first_id AND key = first_key AND p = q)")
-    matches = later.groupBy("doc_id", "key", "first_id", "first_key", (F.col("p") - F.col("q")).alias("offset")).agg(F.collect_set("p").alias("places"))
-
-    firsts = held.select(F.col("doc_id").alias("first_id"), F.col("key").alias("first_key"), F.col("h").alias("fh"))
-    firsts = firsts.withColumnRenamed("first_id", "fid").withColumnRenamed("first_key", "fkey")
-    own = held.withColumnRenamed("doc_id", "oid").withColumnRenamed("key", "okey")
-    both = matches.join(own, F.expr("doc_id <=> oid AND key = okey")).join(firsts, F.expr("first_id <=> fid AND first_key = fkey"))
-    differ = "filter(sequence(0, size(h) - 1), j -> j - offset < 0 OR j - offset >= size(fh) OR element_at(h, j + 1) <> get(fh, j - offset))"
-    reach = """array_distinct(transform(places, p -> named_struct(
-        'from', coalesce(array_max(filter(differ, j -> j < p)), -1) + 1,
-        'to', coalesce(array_min(filter(differ, j -> j > p)), size(h)) - 1)))"""
-    runs = f"filter({reach}, r -> aggregate(slice(w, r.from + 1, r.to - r.from + 1), 0, (a, x) -> a + x) >= {min_words})"
-    kept = "transform(runs, r -> named_struct('from', element_at(i, r.from + 1), 'to', element_at(i, r.to + 1)))"
-    extended = both.withColumn("differ", F.expr(differ)).withColumn("runs", F.expr(runs)).select("doc_id", "key", F.expr(kept).alias("runs"))
-    return extended.where("size(runs) > 0").groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
+    repeated = prints.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    places = prints.join(repeated, "g").groupBy("doc_id", "key").agg(F.collect_set("p").alias("at")).withColumnsRenamed({"doc_id": "oid", "key": "okey"})
+    around = held.join(places, F.expr("key = okey AND doc_id <=> oid")).withColumn("x", F.expr(f"explode({_passages(min_words)})"))
+    content = "slice(h, x.s + 1, x.e - x.s + 1)"
+    passages = checkpointed(around.select("doc_id", "key", "x.s", "x.e", F.expr("element_at(i, x.s + 1)").alias("from"), F.expr("element_at(i, x.e + 1)").alias("to"), F.expr(f"xxhash64({content})").alias("g"), F.expr(f"hash({content})").alias("g2")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "s")
+    first = passages.groupBy("g", "g2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("g", "g2", "first")
+    later = passages.join(first, ["g", "g2"]).where("NOT (doc_id <=> first.doc_id AND key = first.key AND s = first.s)")
+    # Passages that overlap or touch are one run.
+    merged = """aggregate(x, CAST(array() AS array<struct<s:int,e:int,from:int,to:int>>), (a, y) -> if(size(a) = 0 OR y.s > element_at(a, -1).e + 1, concat(a, array(y)),
+        concat(slice(a, 1, size(a) - 1), array(if(y.e > element_at(a, -1).e, named_struct('s', element_at(a, -1).s, 'e', y.e, 'from', element_at(a, -1).from, 'to', y.to), element_at(a, -1))))),
+        a -> transform(a, y -> named_struct('from', y.from, 'to', y.to)))"""
+    return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("s", "e", "from", "to"))).alias("x")).select("doc_id", "key", F.expr(merged).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, gram_words: int = 20, window_words: int = 20) -> DataFrame:

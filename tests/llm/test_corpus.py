@@ -297,3 +297,37 @@ def test_pipeline_stages(spark, tmp_path):
             assert after.columns == docs.columns
         kept = after
     assert 0 < kept.count() < docs.count()
+
+
+def repeated_lines(rows, min_words=50):
+    """doc_id -> lines of runs of ``min_words`` words that occur earlier; rows of (doc_id, text) with distinct ids, by brute force."""
+    seen, out = set(), {}
+    for d, text in sorted(rows):
+        lines = [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(len(x.split()) for _, x in lines[a : b + 1]) >= min_words:
+                    run = tuple(x for _, x in lines[a : b + 1])
+                    if run in seen:
+                        gone.update(range(lines[a][0], lines[b][0] + 1))
+                    seen.add(run)
+        out[d] = gone
+    return out
+
+
+def test_line_dedup_finds_runs_whose_parts_occur_earlier_elsewhere(spark):
+    draw = random.Random(3)
+    line = lambda n: " ".join(draw.choice(VOCABULARY) for _ in range(n))
+    x, y = line(30), line(30)
+    rows = [(1, x), (2, y), (3, x + "\n" + y), (4, x + "\n" + y)]
+    pool = [line(draw.choice((3, 8, 15, 22, 30, 55))) for _ in range(12)]
+    rows += [(10 + i, "\n".join(draw.choice(pool) if draw.random() < 0.9 else draw.choice(("", line(12))) for _ in range(draw.randint(1, 14)))) for i in range(150)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3].n_removed_lines == 0 and got[4].text == "" and got[4].removed_lines == "0-1"
+    want = repeated_lines(rows)
+    for d, text in rows:
+        lines = text.split("\n")
+        gone = {i for r in filter(None, got[d].removed_lines.split(",")) for i in range(int(r.split("-")[0]), int(r.split("-")[1]) + 1)}
+        assert {i for i in gone if lines[i].strip()} == {i for i in want[d] if lines[i].strip()} and want[d] <= gone
+        assert got[d].text == "\n".join(x for i, x in enumerate(lines) if i not in gone)
