@@ -3,9 +3,9 @@
 1. Words of all training documents are counted: each task counts its own, the sums are a table.
 2. The most frequent words are the listed tokens of the network (gated_network.py); every other word is known by a class for its
    ending, in which its share is its count plus one. A class keeps one count for words never seen.
-3. The network starts at the counts' shares and is trained on a fixed share of the training documents, ``1 / train_one_in``
-   of them by hash of the id, so what it learns from grows with the corpus. Learners work on parts of it, each from the same
-   weights; their weights are averaged by the tokens read (summed per slice of the weights, not on the driver), ``rounds`` times.
+3. The network starts at the counts' shares and is trained on every training document once (``train_one_in`` = n > 1: on one in n
+   of them, by hash of the id). They are dealt over ``rounds``; in a round, learners work on parts of its share, each from the same
+   weights, and their weights are averaged by the tokens read (summed per slice of the weights, not on the driver).
 4. All documents are dealt into blocks. A block's distinct words are joined with the table of counts, and meet the
    block's documents in one task (a block is about ``block_chars`` of text); so no task holds the whole vocabulary, and none of it is broadcast. Each document runs through
    the network from its first word to its end.
@@ -179,7 +179,7 @@ def _score(sent, shape: Shape, chunk_tokens: int):
     return run
 
 
-def lm_scores(docs: DataFrame, shape: Shape | None = None, train_one_in: int = 16, rounds: int = 2, learner_chars: int = 3_000_000, block_chars: int = 8_000_000, chunk_tokens: int = 1_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, shape: Shape | None = None, train_one_in: int = 1, rounds: int = 2, learner_chars: int = 3_000_000, block_chars: int = 8_000_000, chunk_tokens: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id as text) modulo 7 is not 2 (a null id is the empty text). A text is its words, A-Z

@@ -331,3 +331,29 @@ def test_line_dedup_finds_runs_whose_parts_occur_earlier_elsewhere(spark):
         gone = {i for r in filter(None, got[d].removed_lines.split(",")) for i in range(int(r.split("-")[0]), int(r.split("-")[1]) + 1)}
         assert {i for i in gone if lines[i].strip()} == {i for i in want[d] if lines[i].strip()} and want[d] <= gone
         assert got[d].text == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+
+
+def test_network_is_trained_on_every_training_document(spark, monkeypatch, tmp_path):
+    rows = [(i, f"text{i} " + " ".join(VOCABULARY[i : i + 20])) for i in range(150)]
+    learn, folder = lm_scoring._learn, str(tmp_path)
+
+    def noting(*args):
+        run = learn(*args)
+
+        def noted(batches):
+            import uuid
+
+            def passed():
+                for batch in batches:
+                    with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                        f.write("\n".join(batch.column("text").to_pylist()))
+                    yield batch
+
+            yield from run(passed())
+
+        return noted
+
+    monkeypatch.setattr(lm_scoring, "_learn", noting)
+    lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    read = Counter(t for f in tmp_path.iterdir() for t in f.read_text().split("\n") if t)
+    assert read == Counter(t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2)
