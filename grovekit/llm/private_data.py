@@ -6,11 +6,17 @@ do in time linear in the text: a run of characters is entered at its start (or w
 are the positions.
 
 On top comes information-theoretic sanitisation (in the line of Sanchez and Batet, 2013). Each distinct value is a protected
-entity e with information content IC(e) = -log2 p(e), p(e) its share of all words of the corpus. For each
-term t among the ``reach`` words on either side of an occurrence, pointwise mutual information from corpus
+entity e with information content IC(e) = -log2 p(e). For a term t, pointwise mutual information from corpus
 counts says how much t reveals of e: PMI(e; t) = log2(p(e, t) / (p(e) p(t))). The disclosure of e by t is PMI(e; t) / IC(e), at
-most 1 (t occurs with e only). Pairs seen in one context only, copied or not, say nothing and are left. Terms
-next to e that reach ``generalise_at`` are marked to be generalised, those that reach ``remove_at`` to be removed.
+most 1 (t occurs with e only). It is taken twice, and the higher one holds:
+
+- over whole documents: shares are of all documents, and t goes with e if a document holds both, wherever. Pairs
+  seen in one text only, copied or not, say nothing and are left, as are entities that every document holds (IC is 0);
+- over words: shares are of all words, and t goes with e if it is among the ``reach`` words on either side of an occurrence. Pairs
+  seen in one context only are left.
+
+Terms that reach ``generalise_at`` are marked to be generalised, those that reach ``remove_at`` to be removed, at every occurrence in
+every document that holds e. Words with a digit or @ have no terms.
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ VALID = {
 }
 CHUNK = 64
 CONTEXT = 64
+TERM = r"\p{L}[\p{L}\x27-]*\p{L}"
+#: A word with a digit or @.
+BARRED = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 
 
 def _quoted(pattern: str) -> str:
@@ -56,18 +65,20 @@ def _running_ends(df: DataFrame, kinds) -> DataFrame:
 
 
 def base_spans(docs: DataFrame, reach: int = 4) -> DataFrame:
-    """doc_id, key (of the text), spans: array of struct(kind, s, e, value, terms), in order of kind, then start.
+    """doc_id, key (of the text), spans: array of struct(kind, s, e, value, terms), in order of kind, then start; words.
 
     kind is the number in KINDS; s and e are code points, e exclusive; terms has the words near the span: struct(t, s, e).
+    words has all terms of a text with spans in the same form, and is empty for other texts.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     some = text.select("doc_id", "text", *[F.expr(f"if({HINTS[k]}, regexp_extract_all(text, {_quoted(PATTERNS[k])}, 0), array())").alias(f"m_{k}") for k in KINDS])
-    cut = some.select("doc_id", F.xxhash64("text").alias("key"), *[f"m_{k}" for k in KINDS], *[F.expr(f"if(size(m_{k}) = 0, array(), split(text, {_quoted(PATTERNS[k])}, -1))").alias(f"g_{k}") for k in KINDS])
+    masked = f"array_join(zip_with(split(text, {_quoted(BARRED)}, -1), regexp_extract_all(text, {_quoted(BARRED)}, 0), (g, m) -> concat(g, repeat(' ', coalesce(length(m), 0)))), '')"
+    cut = some.select("doc_id", F.xxhash64("text").alias("key"), *[f"m_{k}" for k in KINDS], *[F.expr(f"if(size(m_{k}) = 0, array(), split(text, {_quoted(PATTERNS[k])}, -1))").alias(f"g_{k}") for k in KINDS], F.expr(f"if({' + '.join(f'size(m_{k})' for k in KINDS)} = 0, '', {masked})").alias("masked"))
     piece = "transform(m_{k}, (m, i) -> named_struct('g', length(element_at(g_{k}, i + 1)), 'm', m, 'l', right(element_at(g_{k}, i + 1), {c}), 'r', left(element_at(g_{k}, i + 2), {c}), 'n', length(element_at(g_{k}, i + 2))))"
-    pieces = cut.select("doc_id", "key", *[F.expr(piece.format(k=k, c=CONTEXT)).alias(f"x_{k}") for k in KINDS])
-    ended = _running_ends(pieces, KINDS)
+    pieces = cut.select("doc_id", "key", *[F.expr(piece.format(k=k, c=CONTEXT)).alias(f"x_{k}") for k in KINDS], F.expr(f"filter(zip_with(split(masked, {_quoted(TERM)}, -1), regexp_extract_all(masked, {_quoted(TERM)}, 0), (g, m) -> named_struct('g', length(g), 'm', m)), x -> x.m IS NOT NULL)").alias("x_word"))
+    ended = _running_ends(pieces, (*KINDS, "word"))
     spans = "filter(transform(x_{k}, (x, i) -> named_struct('kind', {n}, 'e', element_at(e_{k}, i + 1), 'm', x.m, 'l', x.l, 'lcut', x.g > {c}, 'r', x.r, 'rcut', x.n > {c})), x -> {valid})"
-    joined = ended.select("doc_id", "key", F.expr("concat(" + ", ".join(spans.format(k=k, n=n, c=CONTEXT, valid=VALID[k]) for n, k in enumerate(KINDS)) + ")").alias("y"))
+    joined = ended.select("doc_id", "key", F.expr("concat(" + ", ".join(spans.format(k=k, n=n, c=CONTEXT, valid=VALID[k]) for n, k in enumerate(KINDS)) + ")").alias("y"), F.expr("transform(x_word, (x, i) -> named_struct('t', lower(x.m), 's', element_at(e_word, i + 1) - length(x.m), 'e', element_at(e_word, i + 1)))").alias("words"))
     space, word = "[\\\\x20\\\\x09-\\\\x0D]", "[^\\\\x20\\\\x09-\\\\x0D]"
     near = joined.select(
         "doc_id",
@@ -77,30 +88,52 @@ def base_spans(docs: DataFrame, reach: int = 4) -> DataFrame:
             'before', slice(reverse(if(x.lcut, slice(regexp_extract_all(x.l, '{word}+{space}*', 0), 2, 99), regexp_extract_all(x.l, '{word}+{space}*', 0))), 1, {reach}),
             'after', slice(if(x.rcut, slice(regexp_extract_all(x.r, '{space}*{word}+', 0), 1, greatest(0, size(regexp_extract_all(x.r, '{space}*{word}+', 0)) - 1)), regexp_extract_all(x.r, '{space}*{word}+', 0)), 1, {reach})))"""
         ).alias("y"),
+        F.expr("if(size(y) = 0, slice(words, 1, 0), words)").alias("words"),
     )
     total = "aggregate(slice(x.{side}, 1, i + 1), 0, (s, p) -> s + length(p))"
     core = "regexp_extract(p, '\\\\p{L}[\\\\p{L}\\'-]*\\\\p{L}', 0)"
     before = f"transform(x.before, (p, i) -> named_struct('t', if(p RLIKE '[0-9@]', '', {core}), 'p', p, 'at', x.s - {total.format(side='before')}))"
     after = f"transform(x.after, (p, i) -> named_struct('t', if(p RLIKE '[0-9@]', '', {core}), 'p', p, 'at', x.e + {total.format(side='after')} - length(p)))"
     term = f"transform(filter(concat({before}, {after}), z -> z.t <> ''), z -> named_struct('t', lower(z.t), 's', z.at + instr(z.p, z.t) - 1, 'e', z.at + instr(z.p, z.t) - 1 + length(z.t)))"
-    return near.select("doc_id", "key", F.expr(f"transform(y, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'value', x.value, 'terms', {term}))").alias("spans"))
+    return near.select("doc_id", "key", F.expr(f"transform(y, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'value', x.value, 'terms', {term}))").alias("spans"), "words")
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, generalise_at: float = 0.9, remove_at: float = 0.95) -> DataFrame:
-    """doc_id, key, s, e, mark (4: generalise, 5: remove) of each occurrence of a term that reveals the entity next to it.
+    """doc_id, key, s, e, mark (4: generalise, 5: remove) of each occurrence of a term that reveals an entity of its document.
 
     ``base`` is the result of base_spans on ``docs``. Counts are taken over all documents.
     """
     spans = base.select("doc_id", "key", F.explode("spans").alias("x")).select("doc_id", "key", F.concat_ws(":", F.col("x.kind"), F.col("x.value")).alias("entity"), F.expr("x.terms").alias("terms"), F.xxhash64("x.terms.t").alias("context"))
-    near = spans.select("doc_id", "key", "entity", "context", F.explode("terms").alias("z")).select("doc_id", "key", "entity", "context", "z.t", "z.s", "z.e")
+    near = spans.select("entity", "context", F.explode("terms").alias("z")).select("entity", "context", "z.t")
     pairs = near.groupBy("entity", "t").agg(F.count("*").alias("n_et"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("lo <> hi").select("entity", "t", "n_et")
     entities = spans.groupBy("entity").agg(F.count("*").alias("n_e"))
     words = docs.select(F.explode(F.expr("regexp_extract_all(lower(CAST(text AS STRING)), '\\\\p{L}[\\\\p{L}\\'-]*\\\\p{L}', 0)")).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.sum(F.size(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+"))).cast("double").alias("n")).first()["n"] or 1.0
-    told = pairs.join(words, "t").join(entities, "entity")
-    share = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_et"), F.lit(1.0))) / F.greatest(F.log2(F.lit(total) / F.col("n_e")), F.lit(1e-9))
-    marked = told.select("entity", "t", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
-    return near.join(marked, ["entity", "t"]).groupBy("doc_id", "key", "s", "e").agg(F.max(F.when(F.col("disclosure") >= remove_at, 5).otherwise(4)).alias("mark"))
+    sizes = docs.agg(F.sum(F.size(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+"))).cast("double").alias("n"), F.count("*").cast("double").alias("rows")).first()
+    told = pairs.join(words, "t").join(entities, "entity").withColumn("total", F.lit(sizes["n"] or 1.0)).select("entity", "t", "n_et", "n_t", "n_e", "total")
+    told = told.unionByName(_in_documents(docs, base, sizes["rows"], generalise_at))
+    share = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_et"), F.lit(1.0))) / F.greatest(F.log2(F.col("total") / F.col("n_e")), F.lit(1e-9))
+    marked = told.select("entity", "t", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at).groupBy("entity", "t").agg(F.max("disclosure").alias("disclosure"))
+    holders = spans.select(F.col("doc_id").alias("hid"), F.col("key").alias("hkey"), F.col("entity").alias("held")).distinct()
+    places = base.select("doc_id", "key", F.explode("words").alias("z")).select("doc_id", "key", "z.t", "z.s", "z.e").join(marked, "t")
+    return places.join(holders, F.expr("key = hkey AND doc_id <=> hid AND entity = held")).groupBy("doc_id", "key", "s", "e").agg(F.max(F.when(F.col("disclosure") >= remove_at, 5).otherwise(4)).alias("mark"))
+
+
+def _in_documents(docs: DataFrame, base: DataFrame, rows: float, generalise_at: float) -> DataFrame:
+    """entity, t, n_et, n_t, n_e, total in documents, of the pairs that can reach ``generalise_at``.
+
+    As n_et is at most n_e, a term in more than n_e ** generalise_at * rows ** (1 - generalise_at) documents can't reach it for e;
+    such terms, and entities and terms of one text only, are left out before a document's entities meet its terms.
+    """
+    copies = F.min("key").alias("lo"), F.max("key").alias("hi")
+    holding = base.select("doc_id", "key", F.explode(F.expr("array_distinct(transform(spans, x -> concat_ws(':', x.kind, x.value)))")).alias("entity"))
+    entities = holding.groupBy("entity").agg(F.count("*").alias("n_e"), *copies).where((F.expr("lo <> hi")) & (F.col("n_e") < rows)).select("entity", "n_e", (F.col("n_e") ** generalise_at * rows ** (1 - generalise_at) * (1 + 1e-9)).alias("most"))
+    terms = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(regexp_replace(CAST(text AS STRING), {_quoted(BARRED)}, ' '), {_quoted(TERM)}, 0), t -> lower(t)))")).alias("t"))
+    counts = terms.groupBy("t").agg(F.count("*").alias("n_t"), *copies).where("lo <> hi").select("t", "n_t")
+    here = base.select("doc_id", "key", F.explode(F.expr("array_distinct(words.t)")).alias("t")).join(counts, "t")
+    there = holding.distinct().join(entities, "entity").select(F.col("doc_id").alias("hid"), F.col("key").alias("hkey"), "entity", "n_e", "most")
+    both = here.join(there, F.expr("key = hkey AND doc_id <=> hid AND n_t <= most"))
+    pairs = both.groupBy("entity", "t").agg(F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), *copies).where("lo <> hi")
+    return pairs.select("entity", "t", "n_et", "n_t", "n_e", F.lit(rows).alias("total"))
 
 
 def private_data(docs: DataFrame, reach: int = 4, generalise_at: float = 0.9, remove_at: float = 0.95) -> DataFrame:

@@ -357,3 +357,18 @@ def test_network_is_trained_on_every_training_document(spark, monkeypatch, tmp_p
     lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     read = Counter(t for f in tmp_path.iterdir() for t in f.read_text().split("\n") if t)
     assert read == Counter(t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2)
+
+
+def test_disclosing_terms_in_whole_documents(spark):
+    draw = random.Random(8)
+    text = lambda n: " ".join(draw.choice(VOCABULARY) for _ in range(n))
+    rows = [(i, f"{text(60)} joe@x.org 𠮷 ann@y.org, {text(40)} (Zanzibarov) {text(60)}\nZanzibarov/Quillfeather's said {text(30)} x1-zanzibarov") for i in range(3)]
+    rows += [(10 + i, text(150)) for i in range(60)] + [(100, "Zanzibarov alone"), (200, "onlyhere joe@x.org"), (201, "onlyhere joe@x.org")]
+    spans = {r.doc_id: r.spans.split(",") for r in private_data.span_digests(private_data.private_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, t in rows[:3]:
+        places = {m.group().lower(): [] for m in re.finditer("Zanzibarov|Quillfeather's", t)}
+        for m in re.finditer("Zanzibarov|Quillfeather's", t):
+            places[m.group().lower()].append(f"{m.start()}:{m.end()}")
+        got = {x.split(":", 1)[1] for x in spans[i] if x.startswith(("remove", "generalise"))}
+        assert len(places["zanzibarov"]) == 2 and {*places["zanzibarov"], *places["quillfeather's"]} <= got
+    assert spans[100] == [""] and not any(x.startswith(("remove:0", "generalise:0")) for x in spans[200] + spans[201])
