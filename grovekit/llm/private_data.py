@@ -60,7 +60,7 @@ def _running_ends(df: DataFrame, kinds) -> DataFrame:
     totals = "transform(sequence(0, CAST((size(a_{k}) - 1) / {c} AS INT)), i -> aggregate(slice(a_{k}, i * {c} + 1, {c}), 0, (s, x) -> s + x))"
     offsets = "if(size(a_{k}) = 0, array(0), aggregate(" + totals + ", named_struct('t', 0, 'o', array(0)), (s, x) -> named_struct('t', s.t + x, 'o', concat(s.o, array(s.t + x))), s -> s.o))"
     step = step.select(*carried, *[f"a_{k}" for k in kinds], *[F.expr(offsets.format(k=k, c=CHUNK)).alias(f"o_{k}") for k in kinds])
-    ends = "if(size(a_{k}) = 0, CAST(array() AS array<int>), flatten(transform(sequence(0, CAST((size(a_{k}) - 1) / {c} AS INT)), i -> aggregate(slice(a_{k}, i * {c} + 1, {c}), named_struct('t', element_at(o_{k}, i + 1), 'o', CAST(array() AS array<int>)), (s, x) -> named_struct('t', s.t + x, 'o', concat(s.o, array(s.t + x))), s -> s.o))))"
+    ends = "if(size(a_{k}) = 0, CAST(array() AS array<int>), flatten(transform(sequence(0, least(CAST((size(a_{k}) - 1) / {c} AS INT), size(o_{k}))), i -> aggregate(slice(a_{k}, i * {c} + 1, {c}), named_struct('t', element_at(o_{k}, i + 1), 'o', CAST(array() AS array<int>)), (s, x) -> named_struct('t', s.t + x, 'o', concat(s.o, array(s.t + x))), s -> s.o))))"
     return step.select(*carried, *[F.expr(ends.format(k=k, c=CHUNK)).alias(f"e_{k}") for k in kinds])
 
 
