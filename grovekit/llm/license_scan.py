@@ -5,12 +5,15 @@ set is the member nearest to the constant, and as shingle hashes are uniform, tw
 probability of their Jaccard similarity. Minima are taken of blocks of ``BLOCK`` shingles once, and windows
 of 2, 4, 8, ... blocks, one starting at every block, get theirs from two windows half as long.
 
-Templates are put into classes by their number n of shingles. Up to 4 shingles a match has to hold all of them, so single
-shingles are the windows and one band is certain. For more, the class has the shortest window
-that holds n shingles wherever they start; a match then has Jaccard similarity J >= need / (window + n - need)
+Templates are put into classes by their length in shingles. A match that has to hold all n distinct shingles (up to 4 at 80 percent)
+is certain to be met by single shingles as windows and one band. For other templates the class has the shortest window
+that holds their shingles wherever they start; a match then has Jaccard similarity J >= need / (window + n - need)
 to some window, need = ceil(n * percent / 100), and with b bands of one row it is found with
 probability 1 - (1 - J)^b. ``bands_for`` takes b so that this is at least 0.999.
 
+A window can only agree with a template in a band if it holds the very shingle that is the template's minimum there. So
+texts without any of these shingles are left out before minima are taken: they could not be retrieved.
+
 Windows found are candidates only. Candidates are verified by exact containment: the shingles of the template,
 as words, that are in the window and its surroundings.
 """
@@ -22,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import ascii_lower, checkpointed
+from grovekit.llm.common import checkpointed
 
 BLOCK = 4
 SURE = 0.999
@@ -52,27 +55,47 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "license_id string, text string")
 
 
-def window_blocks(n: int) -> int:
-    """Blocks in the window of templates of n shingles; 0: single shingles."""
-    return 0 if n <= 4 else 2 ** max(1, math.ceil(math.log2((n + BLOCK - 1) / BLOCK)))
+def _need(n: int, percent: int) -> int:
+    return -(-n * percent // 100)
+
+
+def window_blocks(n: int, percent: int, length: int | None = None) -> int:
+    """Blocks in the window of templates of n distinct shingles, ``length`` in all; 0: single shingles, as a match holds each of the n."""
+    return 0 if _need(n, percent) == n else 2 ** max(1, math.ceil(math.log2(((length or n) + BLOCK - 1) / BLOCK)))
 
 
-def bands_for(n: int, percent: int) -> int:
+def bands_for(n: int, percent: int, length: int | None = None) -> int:
     """Bands of one row with which a match is found with probability ``SURE`` or more."""
-    if window_blocks(n) == 0:
+    blocks = window_blocks(n, percent, length)
+    if blocks == 0:
         return 1
-    need = -(-n * percent // 100)
-    return math.ceil(math.log(1 - SURE) / math.log(1 - need / (window_blocks(n) * BLOCK + n - need)))
+    share = _need(n, percent) / (blocks * BLOCK + n - _need(n, percent))
+    return math.ceil(math.log(1 - SURE) / math.log(1 - share))
+
+
+def _signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _constant(j: int) -> str:
-    return f"{(j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 63)}L"
+def _constant(j: int) -> int:
+    """All 64 bits vary: minima are those of signed numbers."""
+    return _signed((j + 1) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019)
+
+
+def _literals(values) -> str:
+    return ", ".join(f"{v}L" if v > -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for v in sorted(set(values)))
 
 
 def _with_shingles(df: DataFrame, k: int) -> DataFrame:
-    words = F.filter(F.split(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    parts = ", ".join(f"get(words, i + {j})" for j in range(k))
-    return df.withColumn("words", words).withColumn("sh", F.expr(f"if(size(words) < {k}, array(), transform(sequence(0, size(words) - {k}), i -> xxhash64({parts})))"))
+    """``df`` with words and sh, the hashes of its k-word shingles.
+
+    sh is made from the text with its words named by an outer transform: whatever the optimizer inlines, a text is split once.
+    """
+    words = "filter(split(translate(coalesce(CAST(text AS STRING), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+    parts = ", ".join(f"get(ws, i + {j})" for j in range(k))
+    shingles = f"element_at(transform(array({words}), ws -> if(size(ws) < {k}, array(), transform(sequence(0, size(ws) - {k}), i -> xxhash64({parts})))), 1)"
+    return df.withColumn("words", F.expr(words)).withColumn("sh", F.expr(shingles))
 
 
 def license_matches(docs: DataFrame, templates: DataFrame | None = None, k: int = 5, percent: int = 80) -> DataFrame:
@@ -82,6 +105,7 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, k: int
     percent / 100), n_windows (windows that reach it), first_word, last_word (the span of those windows in words, 0-based). A template
     of fewer than k words, or a null one, matches nothing, as does a text of fewer than k words.
     Of templates with one id each is matched. Null ids are carried as they are; rows equal in doc_id and text give one result.
+    Long texts are searched whole. Where several windows hold equally many shingles, n_shared is the same for all, and the span covers them.
     Templates are a parameter of bounded number: their band values are collected and sent with the plan. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -93,31 +117,30 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, k: int
     classes: dict[int, int] = {}
     rows = []
     for number, r in enumerate(own):
-        n, distinct = len(r["sh"]), []
-        m, b = window_blocks(n), bands_for(n, percent)
-        classes[m] = max(classes.get(m, 0), b)
-        for i in range(len(r["words"]) - k + 1):
-            s = "\x01".join(r["words"][i : i + k])
-            if s not in distinct:
-                distinct.append(s)
-        rows.append((number, r["license_id"], n, m, distinct, r["sh"]))
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+        length = len(r["words"]) - k + 1
+        n, distinct = len(r["sh"]), list(dict.fromkeys("\x01".join(r["words"][i : i + k]) for i in range(length)))
+        m = window_blocks(n, percent, length)
+        classes[m] = max(classes.get(m, 0), bands_for(n, percent, length))
+        rows.append((number, r["license_id"], n, m, length, distinct, r["sh"]))
     bands: dict[tuple[int, int], dict[int, list[int]]] = {}
-    for number, _, _, m, _, sh in rows:
+    for number, _, _, m, _, _, sh in rows:
         for j in range(classes[m]):
-            value = min(signed((h ^ int(_constant(j)[:-1])) & ((1 << 64) - 1)) for h in sh)
+            value = min(_signed(h ^ _constant(j)) for h in sh)
             bands.setdefault((m, j), {}).setdefault(value, []).append(number)
 
     # One projection for each width of windows: rows are copied between projections, so there are few of them.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frame = _with_shingles(text, k).where(F.size("words") >= k).select("doc_id", "text", "sh", F.expr(f"transform(sequence(0, CAST((size(sh) - 1) / {BLOCK} AS INT)), b -> slice(sh, b * {BLOCK} + 1, {BLOCK}))").alias("blocks"))
+    # The row number also keeps the filter from being pushed down, where it would compute the shingles again.
+    telling = _literals(_signed(v ^ _constant(j)) for (_, j), vs in bands.items() for v in vs)
+    some = _with_shingles(text, k).select("doc_id", "text", "sh", F.monotonically_increasing_id().alias("place")).where(F.expr(f"exists(sh, h -> h IN ({telling}))"))
+    frame = some.select("doc_id", "text", "sh", F.expr(f"transform(sequence(0, CAST((size(sh) - 1) / {BLOCK} AS INT)), b -> slice(sh, b * {BLOCK} + 1, {BLOCK}))").alias("blocks"))
     hits, none = ["doc_id", "text", "hits"], "CAST(array() AS array<struct<m:int,j:int,at:int,v:bigint>>)"
     single = none
     if 0 in classes:
-        values = ", ".join(f"{v ^ int(_constant(0)[:-1])}L" for v in bands[(0, 0)])
-        single = f"transform(filter(sequence(0, size(sh) - 1), i -> element_at(sh, i + 1) IN ({values})), i -> named_struct('m', 0, 'j', 0, 'at', i, 'v', element_at(sh, i + 1) ^ {_constant(0)}))"
+        values = _literals(_signed(v ^ _constant(0)) for v in bands[(0, 0)])
+        single = f"transform(filter(sequence(0, size(sh) - 1), i -> element_at(sh, i + 1) IN ({values})), i -> named_struct('m', 0, 'j', 0, 'at', i, 'v', element_at(sh, i + 1) ^ {_literals([_constant(0)])}))"
     most, widest = max([b for m, b in classes.items() if m], default=0), max(classes)
-    frame = frame.select("doc_id", "text", F.expr(single).alias("hits"), *[F.expr(f"transform(blocks, b -> array_min(transform(b, h -> h ^ {_constant(j)})))").alias(f"x{j}") for j in range(most)])
+    frame = frame.select("doc_id", "text", F.expr(single).alias("hits"), *[F.expr(f"transform(blocks, b -> array_min(transform(b, h -> h ^ {_literals([_constant(j)])})))").alias(f"x{j}") for j in range(most)])
     size = 1
     while size < widest:
         here = [j for j in range(most) if j < max(b for m, b in classes.items() if m > size)]
@@ -126,19 +149,18 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, k: int
         if size in classes:
             new = []
             for j in range(classes[size]):
-                values = ", ".join(f"{v}L" for v in bands[(size, j)])
+                values = _literals(bands[(size, j)])
                 new.append(f"transform(filter(sequence(0, size(x{j}) - 1), i -> element_at(x{j}, i + 1) IN ({values})), i -> named_struct('m', {size}, 'j', {j}, 'at', i * {BLOCK}, 'v', element_at(x{j}, i + 1)))")
             frame = frame.select("doc_id", "text", F.expr(f"concat(hits, {', '.join(new)})").alias("hits"), *[f"x{j}" for j in here])
-    # The row number also keeps the filter from being pushed down, where it would compute everything again.
     numbered = frame.select("doc_id", "text", "hits", F.monotonically_increasing_id().alias("row")).where("size(hits) > 0")
     found = checkpointed(_with_shingles(numbered.dropDuplicates(["doc_id", "text"]), k).select("row", "doc_id", "words", "hits"))
 
     known = spark.createDataFrame([(m, j, v, number) for (m, j), vs in bands.items() for v, numbers in vs.items() for number in numbers], "m int, j int, v long, number int")
-    full = spark.createDataFrame([(number, lid, n, m, shingles) for number, lid, n, m, shingles, _ in rows], "number int, license_id string, n int, m int, want array<string>")
+    full = spark.createDataFrame([row[:6] for row in rows], "number int, license_id string, n int, m int, length int, want array<string>")
     places = found.select("row", F.explode("hits").alias("x")).select("row", "x.*").join(F.broadcast(known), ["m", "j", "v"]).select("row", "number", "at").distinct()
     near = places.join(F.broadcast(full), "number").join(found.select("row", "doc_id", "words"), "row")
-    start = F.greatest(F.lit(0), F.col("at") - F.when(F.col("m") == 0, F.col("n") - 1).otherwise(0))
-    length = F.when(F.col("m") == 0, 2 * F.col("n") - 1).otherwise(F.col("m") * BLOCK)
+    start = F.greatest(F.lit(0), F.col("at") - F.when(F.col("m") == 0, F.col("length") - 1).otherwise(0))
+    length = F.when(F.col("m") == 0, 2 * F.col("length") - 1).otherwise(F.col("m") * BLOCK)
     near = near.withColumn("start", start).withColumn("end", F.least(F.size("words") - k, start + length - 1))
     joined = ", ".join(f"element_at(words, i + {j + 1})" for j in range(k))
     seen = near.withColumn("have", F.expr(f"array_distinct(transform(sequence(start, end), i -> concat_ws('\x01', {joined})))")).withColumn("common", F.size(F.array_intersect("have", "want")))
