@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words in every contract: space and \t \n \v \f \r.
@@ -17,17 +20,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on a single machine without one (as in tests) gets a temporary folder; a cluster without one is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return tempfile.mkdtemp(prefix="checkpoints")
+
+
+def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without one
-    (tests on a single machine) gets a temporary folder.
+    With ``free`` the shuffle files it came from go at once: Spark deletes them when the driver's garbage
+    collector finds them unused, which may otherwise take long.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    written = df.checkpoint(eager=True)
+    if free:
+        context._jvm.System.gc()
+    return written
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives freed memory back: workers wait for later tasks beside others that need it."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return trimmed
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets a name of an operator's own columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def rows_kept(docs: DataFrame, keep: Callable[[Iterator[pa.Array]], Iterator[list[bool]]]) -> DataFrame:
+    """The rows of ``docs(text, ...)`` whose text ``keep`` says stays, with all their columns, in one pass and without a shuffle.
+
+    ``keep`` gets arrays of texts and gives a truth value for each. Only the texts go to Python; equal rows are rows of their own.
+    """
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for stays in keep(parts):
+            yield pa.array(stays, pa.bool_())
+
+    return docs.where(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
+
+
+def salted(df: DataFrame, salts: int, by: Column | None = None, hot: Column | None = None) -> DataFrame:
+    """``df`` with a column ``salt``: of a large side, ``by`` modulo ``salts``; without ``by``, of a small side, one copy of each row per salt.
+
+    With ``hot``, which must say the same of a key on both sides, only keys for which it is true are dealt out.
+    """
+    hot = F.lit(True) if hot is None else hot
+    if by is None:
+        return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(hot, salts - 1).otherwise(0))))
+    return df.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("int"))
 
 
 def partitions(spark: SparkSession) -> int:

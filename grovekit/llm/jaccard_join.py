@@ -35,10 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import WordHashes, checkpointed, mixed, shingle_hashes, words_of
+from grovekit.llm.common import WordHashes, checkpointed, mixed, released, salted, shingle_hashes, whole_row, words_of
 from grovekit.llm.components import components
 
 COUNT_FRAGMENTS = 4
+#: Parts into which the rows of a hot key are dealt, and the rows from which a join key counts as hot.
+SALTS, HOT = 8, 1000
 
 
 def size_classes(percent: int, largest: int) -> list[int]:
@@ -84,25 +86,39 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             yield batch.slice(at, 512), [np.unique(shingle_hashes(hashes.of(words_of(t)), k)) for t in part]
 
 
-def _signature(s: np.ndarray) -> int | None:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None
+def _signature(s: np.ndarray) -> tuple[int, int] | None:
+    """128 bits that stand for the set, as two signed 64-bit numbers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()) if len(s) else None
 
 
-def _signatures(k: int):
+class Renamed(dict):
+    """(first half, second half) of a signature to its node: the first half, but for the few that share it with another signature."""
+
+    def __missing__(self, signature: tuple[int, int]) -> int:
+        return signature[0]
+
+    def of(self, s: np.ndarray) -> int | None:
+        signature = _signature(s)
+        return None if signature is None else self[signature]
+
+
+def _signatures(k: int, carried: tuple[str, ...]):
     def run(batches):
         for batch, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            both = [_signature(s) or (None, None) for s in sets]
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *own], names=[*carried, "n_shingles", "node", "check"])
 
     return run
 
 
-def _keys(k: int, percent: int):
+def _keys(k: int, percent: int, renamed: Renamed):
     def run(batches):
         starts, seen = np.array(size_classes(percent, 1 << 40)), set()
         for _, sets in _sets(batches, k):
             nodes, keys, sizes = [], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for s in sets:
-                node = _signature(s)
+                node = renamed.of(s)
                 if node is not None and node not in seen:
                     if len(seen) >= 200_000:
                         seen.clear()
@@ -128,7 +144,7 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _fragments(k: int):
+def _fragments(k: int, renamed: Renamed):
     def run(batches):
         for _, sets in _sets(batches, k):
             nodes, sizes, which, parts, sketches = [], [], [], [], []
@@ -136,7 +152,7 @@ def _fragments(k: int):
                 if len(s):
                     edges = np.searchsorted(s >> np.uint64(62), np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64))
                     for f in range(COUNT_FRAGMENTS):
-                        nodes.append(_signature(s))
+                        nodes.append(renamed.of(s))
                         sizes.append(len(s))
                         which.append(f)
                         parts.append(s[edges[f] : edges[f + 1]].view(np.int64))
@@ -146,8 +162,17 @@ def _fragments(k: int):
     return run
 
 
-def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+def _of_nodes(fragments: DataFrame, pairs: DataFrame, broadcast_rows: int, *ends: str) -> DataFrame:
+    """The fragments of the nodes at the ``ends`` of ``pairs`` (a written table). Up to ``broadcast_rows`` nodes are sent to the fragments,
+    so that only these are dealt out; more are left to the joins that follow."""
+    nodes = pairs.select(F.explode(F.array(*ends)).alias("node")).distinct()
+    return fragments.join(F.broadcast(nodes), "node", "left_semi") if len(ends) * pairs.count() <= broadcast_rows else fragments
+
+
+def _links(pairs: DataFrame, fragments: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps per fragment, summed per pair."""
+    pairs = checkpointed(pairs)
+    fragments = _of_nodes(fragments, pairs, broadcast_rows, "a", "b")
     left = fragments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("shingles").alias("in_a"))
     right = fragments.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("shingles").alias("in_b"))
     partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("in_a", "in_b")).cast("long").alias("common"))
@@ -168,12 +193,14 @@ def _bounded(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"{100 + percent} * {bits} <= {100 - percent} * (n_a + n_b)")).select("a", "b")
 
 
-def _prefixes(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+def _prefixes(pairs: DataFrame, fragments: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """Differences of the nodes of ``pairs(node, centre, component, far)`` from their centres, one row per difference of a prefix.
 
     ``place`` is its position from 1, ``total`` the number of differences; ``short`` is true in the prefix for partners that are far from
     the centre; the rows of a far node go on to its longer prefix.
     """
+    pairs = checkpointed(pairs)
+    fragments = _of_nodes(fragments, pairs, broadcast_rows, "node", "centre")
     own = fragments.select("node", "n", "fragment", F.col("shingles").alias("own"))
     base = fragments.select(F.col("node").alias("centre"), "fragment", F.col("shingles").alias("base"))
     both = pairs.join(own, "node").join(base, ["centre", "fragment"])
@@ -209,50 +236,113 @@ def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = 500_000, small_key: int = 16) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id.
+def _members(docs: DataFrame, k: int, *carried) -> tuple[DataFrame, DataFrame, Renamed]:
+    """A row per row of ``docs`` with n_shingles and node (and ``carried`` columns); a row per node; and the nodes' names.
 
-    Two documents link when the Jaccard similarity of their distinct k-word shingles is at least
-    ``percent`` / 100; component_id is the smallest doc_id reachable by links. A text with fewer than k words
-    is one shingle; a null, empty or blank text has none and is its own component. A null doc_id takes
-    part with its text and is never the smallest id unless its whole component has no id. Repeated rows and
-    repeated ids are rows of their own. Other columns are not read.
+    Nodes are the first halves of signatures of 128 bits. Of n sets about n * n / 2 ** 65 share such a half with another set
+    (some three hundred of 10 ** 11): these few are found, sent to all tasks, and get names of their own.
     """
+    documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    names = tuple(c for c in documents.columns if c != "text")
+    kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in names)
+    members = checkpointed(documents.mapInArrow(released(_signatures(k, names)), f"{kinds}, n_shingles long, node long, check long"))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names[1:])).alias("first")]
+    nodes = checkpointed(members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.max("n_shingles").alias("n"), *first))
+    alike = members.join(F.broadcast(nodes.where("lo <> hi").select("node")), "node").select("node", "check").distinct().orderBy("node", "check").collect()
+    if not alike:
+        return members, nodes, Renamed()
+    taken, renamed = {r["node"] for r in alike}, Renamed()
+    for i, r in enumerate(alike):
+        name = r["node"]
+        if i and alike[i - 1]["node"] == name:
+            while name in taken:
+                name = int(mixed(np.array([name ^ r["check"]]).view(np.uint64)).view(np.int64)[0])
+            taken.add(name)
+        renamed[r["node"], r["check"]] = name
+    table = members.sparkSession.createDataFrame([(a, b, n) for (a, b), n in renamed.items()], "node long, check long, name long")
+    members = checkpointed(members.join(F.broadcast(table), ["node", "check"], "left").withColumn("node", F.coalesce("name", "node")).select(*names, "n_shingles", "node", "check"))
+    nodes = checkpointed(members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"), *first))
+    return members, nodes, renamed
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, renamed: Renamed, k: int, percent: int, broadcast_rows: int, small_key: int) -> DataFrame:
+    """(node, component) of each node that links with another."""
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = checkpointed(documents.mapInArrow(_signatures(k), "doc_id long, n_shingles long, node long"))
-    keys = documents.mapInArrow(_keys(k, percent), "node long, key long, size int").repartition("key")
+    keys = documents.mapInArrow(released(_keys(k, percent, renamed)), "node long, key long, size int").repartition("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("company"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size").alias("largest")).where("lo <> hi AND largest > 0").select("key", "company")
-    met = checkpointed(keys.join(shared.hint("shuffle_hash"), "key").groupBy("key", "node").agg(F.max("company").alias("company"), F.max("size").alias("size")))
-    nodes = met.groupBy("node").agg(F.sum("company").alias("support"))
-    homes = checkpointed(nodes.join(members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("home"), F.max("n_shingles").alias("n")), "node"))
+    met = checkpointed(keys.join(shared.hint("shuffle_hash"), "key").groupBy("key", "node").agg(F.max("company").alias("company"), F.max("size").alias("size")), free=True)
+    support = met.groupBy("node").agg(F.sum("company").alias("support"))
+    homes = checkpointed(support.join(nodes.select("node", F.col("first.doc_id").alias("home"), "n"), "node"))
 
     wanted = homes.select(F.coalesce("home", F.lit(-(1 << 63))).alias("home")).distinct()
     if homes.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     texts = documents.join(wanted, F.coalesce(documents["doc_id"], F.lit(-(1 << 63))) == wanted["home"], "left_semi")
-    fragments = checkpointed(texts.mapInArrow(_fragments(k), "node long, n long, fragment int, shingles array<long>, sketch array<long>"))
+    fragments = checkpointed(texts.mapInArrow(released(_fragments(k, renamed)), "node long, n long, fragment int, shingles array<long>, sketch array<long>"), free=True)
 
-    centres = met.join(homes, "node").groupBy("key").agg(F.max(F.struct("support", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    # A key may hold a large share of the nodes, so its rows are dealt out by salt, and what is one row a key goes to each salt.
+    centres = met.join(homes, "node").groupBy("key").agg(F.max(F.struct("support", "node")).alias("c"), F.max("company").alias("n")).select("key", "n", F.col("c.node").alias("centre"))
+    around = salted(met, SALTS, F.col("node"), F.col("company") > HOT).join(salted(centres, SALTS, hot=F.col("n") > HOT).drop("n"), ["key", "salt"]).where("node <> centre")
     parity = lambda p: F.sum(F.when(F.col("size") % 4 == p, F.floor(F.col("size") / 4)).otherwise(0))
-    meetings = met.join(centres, "key").where("node <> centre").groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.greatest(parity(0), parity(1)).alias("common"))
+    meetings = around.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.greatest(parity(0), parity(1)).alias("common"))
     tried = checkpointed(_sized(meetings, homes, percent))
     sure = tried.where(_similar(percent)).select("a", "b")
-    links = checkpointed(sure.unionByName(_links(_bounded(tried.where(~_similar(percent)), fragments, percent), fragments, percent)))
+    links = checkpointed(sure.unionByName(_links(_bounded(tried.where(~_similar(percent)), fragments, percent), fragments, percent, broadcast_rows)), free=True)
     label = checkpointed(components(links))
 
     of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("component_c"))
-    around = met.select("key", "node").join(centres, "key").where("node <> centre").join(label, "node", "left").join(of_centre, "centre", "left")
-    around = around.select("key", "node", "centre", F.coalesce("component", "node").alias("component"), F.coalesce("component_c", "centre").alias("component_c"))
-    open_keys = around.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("others")).where("lo <> hi").select("key", "others")
-    beside = checkpointed(around.join(open_keys, "key"))
+    around = around.select("key", "salt", "company", "node", "centre").join(label, "node", "left").join(of_centre, "centre", "left")
+    around = around.select("key", "salt", "company", "node", "centre", F.coalesce("component", "node").alias("component"), F.coalesce("component_c", "centre").alias("component_c"))
+    open_keys = around.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("others"), F.max("company").alias("n")).where("lo <> hi").select("key", "others", "n")
+    beside = checkpointed(around.drop("company").join(salted(open_keys, SALTS, hot=F.col("n") > HOT).drop("n"), ["key", "salt"]), free=True)
     few, many = beside.where(F.col("others") <= small_key), beside.where(F.col("others") > small_key)
     partner = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
     direct = few.withColumnRenamed("node", "a").join(partner, "key").where("a < b AND component <> component_b").select("a", "b")
     many = many.select("node", "centre", "component", (F.col("component") != F.col("component_c")).alias("far")).distinct()
-    met_again = direct.unionByName(_meetings(_prefixes(many, fragments, percent), percent)).distinct()
-    rest = checkpointed(_bounded(met_again.join(tried, ["a", "b"], "left_anti"), fragments, percent))
-    label = components(links.unionByName(_links(rest, fragments, percent))).select("node", "component")
+    met_again = direct.unionByName(_meetings(_prefixes(many, fragments, percent, broadcast_rows), percent)).distinct()
+    rest = _bounded(met_again.join(tried, ["a", "b"], "left_anti"), fragments, percent)
+    return components(links.unionByName(_links(rest, fragments, percent, broadcast_rows))).select("node", "component")
+
+
+def _firsts(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, rows, first) of each node that is not alone: rows and first row of all that is linked with it."""
+    joined = nodes.select("node", "rows", "first").join(label, "node", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+    joined = checkpointed(joined)
+    whole = joined.groupBy("component").agg(F.sum("rows").alias("rows"), F.min("first").alias("first"))
+    return checkpointed(salted(joined.select("node", "component"), SALTS, F.col("node")).join(salted(whole, SALTS), ["component", "salt"]).select("node", "rows", "first"))
 
-    whole = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = whole.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    return whole.join(smallest, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = 500_000, small_key: int = 16) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id.
+
+    Two documents link when the Jaccard similarity of their distinct k-word shingles is at least
+    ``percent`` / 100 (a similarity of just that is a link); component_id is the smallest doc_id reachable by links. A text with fewer
+    than k words is one shingle, a very long one is taken whole; a null, empty or blank text has none and is its own component. A null
+    doc_id takes part with its text and is never the smallest id unless its whole component has no id. Repeated rows and
+    repeated ids are rows of their own. Other columns are not read.
+    """
+    members, nodes, renamed = _members(docs, k)
+    firsts = _firsts(nodes, _linked(docs, nodes, renamed, k, percent, broadcast_rows, small_key))
+    # ``members`` is a written table, so its row numbers stay; a node that very many rows have is dealt out by them.
+    dealt = members.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    whole = dealt.join(salted(firsts, SALTS), ["node", "salt"], "left")
+    return whole.select("doc_id", "n_shingles", F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = 500_000, small_key: int = 16) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, with all their columns: of rows that are linked, directly or through others, one stays.
+
+    It is the one with the smallest doc_id (a null id counts as the largest); of several with that id the one with the smallest hash of all
+    columns. Of rows equal in all columns one stays. Rows decide, not ids: two unlike texts of one id both stay. Texts without words stay.
+    Columns of map type have no hash in Spark and are refused by it.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keys = F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).alias("k2")
+    members, nodes, renamed = _members(docs, k, *keys)
+    firsts = _firsts(nodes, _linked(docs, nodes, renamed, k, percent, broadcast_rows, small_key))
+    same = F.expr("k1 = first.k1 AND k2 = first.k2 AND doc_id <=> first.doc_id")
+    marks = checkpointed(members.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted(firsts, SALTS), ["node", "salt"]).groupBy("k1", "k2").agg(F.max(same).alias("stays"), F.count("*").alias("copies")))
+    keyed = docs.select(whole_row(docs).alias("row"), *keys).join(marks, ["k1", "k2"], "left")
+    once = keyed.where("copies IS NULL OR (stays AND copies = 1)").select("row")
+    repeated = keyed.where("stays AND copies > 1").dropDuplicates(["k1", "k2"]).select("row")
+    return once.unionByName(repeated).select("row.*")

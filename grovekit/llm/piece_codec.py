@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovekit.llm.common import released
 from grovekit.llm.pieces import DEFAULT_MODEL, Vocabulary, model_path, vocabulary
 
 
@@ -122,9 +123,10 @@ def codec(path: str) -> Codec:
 
 
 def _encoded(path: str, known_limit: int):
-    """Per text: the number of ids, the ids as decimal text, the decoded bytes."""
+    """Per text: the number of ids, the ids as decimal text, the decoded bytes. Of a word its ids are remembered, as decimal text."""
     c = codec(path)
-    known: dict[str, tuple[int, str, bytes]] = {}
+    known: dict[str, str] = {}
+    surface = {str(i): b for i, b in c.v.surface.items()}
 
     def one(text: str | None) -> tuple[int, str, bytes]:
         words = c.v.words(text)
@@ -135,13 +137,13 @@ def _encoded(path: str, known_limit: int):
                 known.clear()
             for w in words:
                 if w not in known:
-                    ids = c.encode_word(w)
-                    known[w] = len(ids), ",".join(map(str, ids)), c.decode_bytes(ids)
+                    known[w] = ",".join(map(str, c.encode_word(w)))
             got = list(map(known.__getitem__, words))
         if not got:
             return 0, "", b""
-        counts, texts, decoded = zip(*got, strict=True)
-        return sum(counts), ",".join(texts), b"".join(decoded).removeprefix(b" ")
+        ids = ",".join(got)
+        each = ids.split(",")
+        return len(each), ids, b"".join(map(surface.__getitem__, each)).removeprefix(b" ")
 
     return one
 
@@ -178,15 +180,15 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL, known_limit: int = 400_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL, known_limit: int = 300_000) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, ids, decoded (the text that the ids decode to).
 
     A null or empty text has no ids and decodes to the empty text. Ids of documents may be null or repeated; other columns are not
     read. ``known_limit`` words are remembered in a task.
     """
-    return _documents(docs).mapInArrow(_ids(model_path(model), known_limit), "doc_id long, ids array<int>, decoded string")
+    return _documents(docs).mapInArrow(released(_ids(model_path(model), known_limit)), "doc_id long, ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, model: str = DEFAULT_MODEL, known_limit: int = 400_000) -> DataFrame:
+def encode_digests(docs: DataFrame, model: str = DEFAULT_MODEL, known_limit: int = 300_000) -> DataFrame:
     """As encode_documents, with digests in place of ids and text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return _documents(docs).mapInArrow(_digests(model_path(model), known_limit), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _documents(docs).mapInArrow(released(_digests(model_path(model), known_limit)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
