@@ -1,51 +1,41 @@
 """Cleans ``documents``: five stages, each written as Parquet and read again by the next one.
 
 A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of ``documents``; a stage never changes a row but for the text where that is its purpose.
+columns of ``documents``; a stage never changes a row but for the text where that is its purpose. Stages decide by row, not by id: null
+and repeated ids are rows like others, and so are null and empty texts, which are clean and stay. An empty table
+stays an empty table. ``docs`` needs doc_id and text; other columns, whatever their names, are carried.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from grovekit.llm.common import table
-from grovekit.llm.decontaminate import contained_items
-from grovekit.llm.jaccard_join import near_duplicates
-from grovekit.llm.line_dedup import dedup_lines
+from grovekit.llm import decontaminate, jaccard_join, toxicity
+from grovekit.llm.common import shared_folder, table
+from grovekit.llm.line_dedup import without_repeated_lines
 from grovekit.llm.piece_codec import encode_digests
-from grovekit.llm.toxicity import toxicity_scores
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not in ``rejected(doc_id)``; a null id is never in it. Rows of one id go or stay together."""
-    ids = rejected.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_rejected"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go."""
-    return _without(docs, toxicity_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines of 50 words or more that repeat an earlier document's are cut out of the text; n_chars follows the text."""
-    done = dedup_lines(docs)
-    length = F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return done.select(*[length.cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    """Runs of lines of 50 words or more that repeat an earlier document's are cut out of the text; n_chars, if there, follows the text."""
+    return without_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingles link at 0.8, directly or through others, the one with the smallest id stays. Texts without words stay."""
-    return _without(docs, near_duplicates(docs, k=5, percent=80).where("component_id <> doc_id"))
+    return jaccard_join.distinct_documents(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold 0.8 or more of a benchmark item's five-word shingles go."""
-    return _without(docs, contained_items(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; the tables between them go to the shared checkpoint folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stages')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``; the tables between them go to the shared checkpoint folder, and each goes when the next one is written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
-        docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            at = spark._jvm.org.apache.hadoop.fs.Path(before)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        before = path
     return docs
