@@ -35,7 +35,7 @@ def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
     now = checkpointed(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct())
     before = None
     for _ in range(max_steps):
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(_large_star(now)), free=True)
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == before:
             break

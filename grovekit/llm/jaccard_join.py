@@ -5,8 +5,8 @@ its fragments. Let x and y link, x the smaller, with |x| <= s. Then they differ
 D = s * (1 - t) / t shingles, so of D + 1 + E fragments at least E + 1 are the same in both. Sizes are put
 into classes so narrow that a partner's class is the same or the next; each class has its own number
 of fragments, and a document writes one key per filled fragment for its own class and for the class below.
-Documents with more than E empty fragments, where "the same" may mean "empty in both" each time, also write the keys
-of the prefix filter. So every link meets in a key, however common a shingle is in unrelated texts.
+Documents with more than E empty fragments in a scheme, where "the same" may mean "empty in both" each time, also write the keys
+of the prefix filter there. So every link meets in a key, however common a shingle is in unrelated texts.
 
 The overlap of a pair is counted fragment by fragment and summed. Fragments in which both are the same are known from
 the join already, and their sizes alone carry some links over the threshold. Parity sketches, an exact lower bound of the
@@ -41,6 +41,9 @@ from grovekit.llm.components import components
 COUNT_FRAGMENTS = 4
 #: Parts into which the rows of a hot key are dealt, and the rows from which a join key counts as hot.
 SALTS, HOT = 8, 1000
+#: Members of the centre's component that a node which doesn't link with the centre is compared with next.
+SCOUTS = 8
+ROOM = 1 << 15
 
 
 def size_classes(percent: int, largest: int) -> list[int]:
@@ -52,28 +55,31 @@ def size_classes(percent: int, largest: int) -> list[int]:
 
 
 def fragment_keys(shingles: np.ndarray, percent: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The join keys of one sorted set of hashes, and for each 4 * size of the fragment + its scheme's parity (2: prefix key)."""
+    """The join keys of one sorted set of hashes, and for each of them a tag.
+
+    A tag is its scheme's parity (2: prefix key) + 4 * size of the fragment (cut at ROOM // 4 - 1) + ROOM * hits that may be missing: what a linked set
+    shares in this scheme are more filled fragments than this number, less one.
+    """
     n = len(shingles)
     own = int(np.searchsorted(starts, n, side="right")) - 1
     sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)))
-    keys, sizes, empty = [], [], False
+    keys, sizes, prefix = [], [], n - -(-n * percent // 100) + 1
     for scheme in (own, own - 1):
         if scheme < 0:
             continue
         differences = int(starts[scheme + 1] - 1) * (100 - percent) // percent
-        spare = differences // 16 + 2 if differences >= 7 else 0
+        spare = differences // 10 + (2 if differences >= 7 else 1)
         count = differences + 1 + spare
         which = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         edges = np.searchsorted(which, np.arange(count + 1, dtype=np.uint64))
         filled = edges[1:] > edges[:-1]
-        empty |= count - int(filled.sum()) > spare
+        missing = count - int(filled.sum())
         tag = np.arange(count, dtype=np.uint64) + np.uint64((scheme + 1) << 40)
         keys.append(mixed((sums[edges[1:]] - sums[edges[:-1]]) ^ mixed(tag))[filled])
-        sizes.append((4 * np.diff(edges) + scheme % 2)[filled])
-    if empty:
-        prefix = n - -(-n * percent // 100) + 1
-        keys.append(mixed(shingles[:prefix] ^ np.uint64(0x5BD1E995)))
-        sizes.append(np.full(prefix, 6))
+        sizes.append((4 * np.minimum(np.diff(edges), ROOM // 4 - 1) + scheme % 2 + ROOM * min(max(0, spare - missing + 1), ROOM))[filled])
+        if missing > spare:
+            keys.append(mixed(shingles[:prefix] ^ mixed(tag[-1:] + np.uint64(1))))
+            sizes.append(np.full(prefix, 6))
     return np.concatenate(keys).view(np.int64), np.concatenate(sizes).astype(np.int32)
 
 
@@ -171,7 +177,7 @@ def _of_nodes(fragments: DataFrame, pairs: DataFrame, broadcast_rows: int, *ends
 
 def _links(pairs: DataFrame, fragments: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps per fragment, summed per pair."""
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(pairs, free=True)
     fragments = _of_nodes(fragments, pairs, broadcast_rows, "a", "b")
     left = fragments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("shingles").alias("in_a"))
     right = fragments.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("shingles").alias("in_b"))
@@ -199,7 +205,7 @@ def _prefixes(pairs: DataFrame, fragments: DataFrame, percent: int, broadcast_ro
     ``place`` is its position from 1, ``total`` the number of differences; ``short`` is true in the prefix for partners that are far from
     the centre; the rows of a far node go on to its longer prefix.
     """
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(pairs, free=True)
     fragments = _of_nodes(fragments, pairs, broadcast_rows, "node", "centre")
     own = fragments.select("node", "n", "fragment", F.col("shingles").alias("own"))
     base = fragments.select(F.col("node").alias("centre"), "fragment", F.col("shingles").alias("base"))
@@ -283,19 +289,35 @@ def _linked(docs: DataFrame, nodes: DataFrame, renamed: Renamed, k: int, percent
     # A key may hold a large share of the nodes, so its rows are dealt out by salt, and what is one row a key goes to each salt.
     centres = met.join(homes, "node").groupBy("key").agg(F.max(F.struct("support", "node")).alias("c"), F.max("company").alias("n")).select("key", "n", F.col("c.node").alias("centre"))
     around = salted(met, SALTS, F.col("node"), F.col("company") > HOT).join(salted(centres, SALTS, hot=F.col("n") > HOT).drop("n"), ["key", "salt"]).where("node <> centre")
-    parity = lambda p: F.sum(F.when(F.col("size") % 4 == p, F.floor(F.col("size") / 4)).otherwise(0))
+    around = checkpointed(around.select("key", "salt", "company", "size", "node", "centre"), free=True)
+    parity = lambda p: F.sum(F.when(F.col("size") % 4 == p, F.expr(f"size % {ROOM} DIV 4")).otherwise(0))
     meetings = around.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.greatest(parity(0), parity(1)).alias("common"))
-    tried = checkpointed(_sized(meetings, homes, percent))
+    tried = checkpointed(_sized(meetings, homes, percent), free=True)
     sure = tried.where(_similar(percent)).select("a", "b")
     links = checkpointed(sure.unionByName(_links(_bounded(tried.where(~_similar(percent)), fragments, percent), fragments, percent, broadcast_rows)), free=True)
     label = checkpointed(components(links))
 
-    of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("component_c"))
-    around = around.select("key", "salt", "company", "node", "centre").join(label, "node", "left").join(of_centre, "centre", "left")
-    around = around.select("key", "salt", "company", "node", "centre", F.coalesce("component", "node").alias("component"), F.coalesce("component_c", "centre").alias("component_c"))
+    # Those that the centre leaves open first meet a few others of its component: of a group of near copies that is all but a few.
+    placed = _placed(around, label)
+    near = placed.where("component = component_c").groupBy("key", F.pmod(F.hash("node"), F.lit(SCOUTS)).alias("turn")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("x"), F.max("company").alias("n"))
+    scouts = salted(near.select("key", "n", F.col("x.node").alias("scout")), SALTS, hot=F.col("n") > HOT).drop("n")
+    far = placed.where("component <> component_c").groupBy("node", "centre").agg(F.min(F.struct("key", "company")).alias("x")).select("node", "x.*")
+    asked = salted(far, SALTS, F.col("node"), F.col("company") > HOT).join(scouts, ["key", "salt"]).select(F.least("node", "scout").alias("a"), F.greatest("node", "scout").alias("b")).distinct()
+    asked = checkpointed(_sized(asked.join(tried, ["a", "b"], "left_anti"), homes, percent).select("a", "b"), free=True)
+    links = checkpointed(links.unionByName(_links(_bounded(asked, fragments, percent), fragments, percent, broadcast_rows)), free=True)
+    tried = tried.select("a", "b").unionByName(asked)
+
+    around = checkpointed(_placed(around, checkpointed(components(links))), free=True)
     open_keys = around.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("others"), F.max("company").alias("n")).where("lo <> hi").select("key", "others", "n")
-    beside = checkpointed(around.drop("company").join(salted(open_keys, SALTS, hot=F.col("n") > HOT).drop("n"), ["key", "salt"]), free=True)
+    beside = checkpointed(around.join(salted(open_keys, SALTS, hot=F.col("n") > HOT).drop("n"), ["key", "salt"]), free=True)
     few, many = beside.where(F.col("others") <= small_key), beside.where(F.col("others") > small_key)
+    # What many unlike texts share gives them large keys. A node with fewer of these in a scheme than the hits that may be missing there
+    # meets whatever it links with in another key as well, so it leaves them.
+    bare = many.groupBy("node", F.expr("size % 4").alias("scheme")).agg(F.count("*").alias("large"), F.max(F.expr(f"size DIV {ROOM}")).alias("spare")).where("scheme = 2 OR large >= spare").select("node", "scheme")
+    many = many.withColumn("scheme", F.expr("size % 4")).join(bare, ["node", "scheme"]).drop("scheme", "others")
+    left = many.groupBy("key").agg(F.count("*").alias("others"), F.max("company").alias("n")).where("others > 1")
+    many = checkpointed(many.join(salted(left, SALTS, hot=F.col("n") > HOT).drop("n"), ["key", "salt"]), free=True)
+    few, many = few.drop("company").unionByName(many.where(F.col("others") <= small_key).drop("company")), many.where(F.col("others") > small_key)
     partner = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
     direct = few.withColumnRenamed("node", "a").join(partner, "key").where("a < b AND component <> component_b").select("a", "b")
     many = many.select("node", "centre", "component", (F.col("component") != F.col("component_c")).alias("far")).distinct()
@@ -304,6 +326,13 @@ def _linked(docs: DataFrame, nodes: DataFrame, renamed: Renamed, k: int, percent
     return components(links.unionByName(_links(rest, fragments, percent, broadcast_rows))).select("node", "component")
 
 
+def _placed(around: DataFrame, label: DataFrame) -> DataFrame:
+    """``around`` with the components of node and centre; a node without links is one of its own."""
+    of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("component_c"))
+    both = around.select("key", "salt", "company", "size", "node", "centre").join(label, "node", "left").join(of_centre, "centre", "left")
+    return both.select("key", "salt", "company", "size", "node", "centre", F.coalesce("component", "node").alias("component"), F.coalesce("component_c", "centre").alias("component_c"))
+
+
 def _firsts(nodes: DataFrame, label: DataFrame) -> DataFrame:
     """(node, rows, first) of each node that is not alone: rows and first row of all that is linked with it."""
     joined = nodes.select("node", "rows", "first").join(label, "node", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
