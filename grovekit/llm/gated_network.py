@@ -8,6 +8,8 @@ their ending; their share of the class is fixed and not this network's business.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 F32 = np.float32
@@ -143,21 +145,28 @@ class Trainer:
         self._move("x", np.add.reduceat(d_x.reshape(-1, 3 * h)[order], first, axis=0), rows)
         return state
 
-    def run(self, texts: list[np.ndarray], streams: int = 32, window: int = 16) -> int:
-        """One pass over texts (token numbers, the end token last), laid one after another into streams. Returns the tokens read."""
-        lanes: list[list[np.ndarray]] = [[] for _ in range(min(streams, max(1, len(texts))))]
-        lengths = [0] * len(lanes)
-        for t in sorted(texts, key=len, reverse=True):
-            lane = lengths.index(min(lengths))
-            lanes[lane].append(t)
-            lengths[lane] += len(t)
+    def run(self, texts: list[np.ndarray], streams: int = 256, window: int = 16, segment: int = 1024) -> int:
+        """One pass over texts (token numbers, the end token last), laid one after another into streams. Returns the tokens read.
+
+        Texts longer than ``segment`` are laid out in segments, each of which starts from its last input but without a state, so
+        that a few very long texts don't leave all other streams empty. Scoring knows no segments.
+        """
+        parts = [(t[s : s + segment], t[s - 1] if s else 0) for t in texts for s in range(0, len(t), segment)]
+        lanes: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(min(streams, max(1, len(parts))))]
+        heap = [(0, i) for i in range(len(lanes))]
+        for part in sorted(parts, key=lambda x: len(x[0]), reverse=True):
+            length, lane = heap[0]
+            lanes[lane].append(part)
+            heapq.heapreplace(heap, (length + len(part[0]), lane))
+        lengths = [length for length, _ in heap]
         total = max(lengths, default=0)
         targets = np.full((total, len(lanes)), -1, np.int64)
         ids, fresh = np.zeros((total, len(lanes)), np.int64), np.zeros((total, len(lanes)), bool)
-        for lane, parts in enumerate(lanes):
+        for lane, own in enumerate(lanes):
             at = 0
-            for t in parts:
+            for t, before in own:
                 targets[at : at + len(t), lane] = t
+                ids[at, lane] = before
                 ids[at + 1 : at + len(t), lane] = t[:-1]
                 fresh[at, lane] = True
                 at += len(t)

@@ -15,6 +15,7 @@ What is sent to all tasks: the listed words, the classes' totals and the weights
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -58,17 +59,27 @@ def _count(tails: int):
     return run
 
 
-def _distinct(batches):
-    now, seen = None, set()
-    for batch in batches:
-        for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-            if block != now and seen:
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(seen), pa.int32()), pa.array(list(seen), pa.binary())], names=["block", "word"])
-                seen = set()
-            now = block
-            seen.update(words_of(text.as_py()))
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([now] * len(seen), pa.int32()), pa.array(list(seen), pa.binary())], names=["block", "word"])
+def _distinct(listed: frozenset[bytes]):
+    """The words of each block that are not listed."""
+
+    def run(batches):
+        now, seen = None, set()
+
+        def out():
+            rest = list(seen - listed)
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(rest), pa.int32()), pa.array(rest, pa.binary())], names=["block", "word"])
+
+        for batch in batches:
+            for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
+                if block != now and seen:
+                    yield out()
+                    seen = set()
+                now = block
+                seen.update(words_of(text.as_py()))
+        if seen:
+            yield out()
+
+    return run
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -110,19 +121,19 @@ def _learn(weights, shape: Shape, tokens: int, rate: float):
 
 
 def _sum_slices(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums one slice over all learners, batch by batch."""
+    """Sums one slice over the rows of its group, batch by batch."""
     total, tokens = None, 0
     for batch in batches:
         for n, values in zip(batch.column("tokens").to_pylist(), batch.column("total"), strict=True):
             values = np.asarray(values.values)
             total = values.copy() if total is None else total + values
             tokens += n
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total / tokens], pa.list_(pa.float64()))], names=["slice", "mean"])
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([tokens], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["slice", "tokens", "total"])
 
 
 def train(documents: DataFrame, p: dict, listed: list[bytes], shape: Shape, train_one_in: int, rounds: int, learner_chars: int) -> dict:
     """The weights after ``rounds`` rounds over the training share; without such documents, ``p``."""
-    spark = documents.sparkSession
+    spark, shape_of_sums = documents.sparkSession, "slice int, tokens long, total array<double>"
     turn = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id"), F.length("text")), F.lit(train_one_in * rounds))
     for r in range(rounds):
         part = documents.where(~F.col("held_out") & (turn == r)).select("doc_id", "text")
@@ -130,9 +141,12 @@ def train(documents: DataFrame, p: dict, listed: list[bytes], shape: Shape, trai
         learners = max(1, -(-chars // learner_chars))
         weights = spark.sparkContext.broadcast((p, listed))
         learnt = part.repartition(learners, F.xxhash64("doc_id", "text")).select("text").mapInArrow(_learn(weights, shape, 300_000, 0.1 / 2**r), "slice int, tokens long, total array<double>")
-        means = learnt.groupBy("slice").applyInArrow(_sum_slices, "slice int, mean array<double>").orderBy("slice").collect()
-        if means:
-            p = _unflat(np.concatenate([np.array(m["mean"]) for m in means]), p)
+        # Two steps: groups of learners first, so no task gets a slice of all of them.
+        turns = max(1, math.isqrt(learners))
+        some = learnt.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(turns))).groupBy("slice", "turn").applyInArrow(_sum_slices, shape_of_sums)
+        sums = some.groupBy("slice").applyInArrow(_sum_slices, shape_of_sums).orderBy("slice").collect()
+        if sums:
+            p = _unflat(np.concatenate([np.array(m["total"]) / m["tokens"] for m in sums]), p)
     return p
 
 
@@ -141,12 +155,12 @@ RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_sco
 
 def _score(sent, shape: Shape, chunk_tokens: int):
     def run(key: tuple[pa.Scalar, ...], documents: pa.Table, dictionary: pa.Table) -> pa.Table:
-        """Scores a block's documents; ``dictionary`` has the block's words that have a count."""
-        p, tail_logs, n_end, total, distinct = sent.value
+        """Scores a block's documents; ``dictionary`` has the block's words that have a count, but for the listed ones, which are sent."""
+        p, tail_logs, n_end, total, distinct, listed = sent.value
         log_all = np.log10(total + distinct + 1)
-        words = {w: i for i, w in enumerate(dictionary.column("word").to_pylist())}
-        numbers = np.append(dictionary.column("number").to_numpy().astype(np.int64), 0)
-        counts = np.append(dictionary.column("n").to_numpy().astype(np.int64), 0)
+        words = {w: i for i, w in enumerate([*(w for w, _ in listed), *dictionary.column("word").to_pylist()])}
+        numbers = np.concatenate([np.arange(1, len(listed) + 1), dictionary.column("number").to_numpy().astype(np.int64), [0]])
+        counts = np.concatenate([np.array([n for _, n in listed], np.int64), dictionary.column("n").to_numpy().astype(np.int64), [0]])
         n_tokens, n_known, base, score = [], [], [], []
         waiting: list[tuple[np.ndarray, float]] = []
 
@@ -184,7 +198,7 @@ def lm_scores(docs: DataFrame, shape: Shape | None = None, train_one_in: int = 1
 
     Learns from documents whose crc32(doc_id as text) modulo 7 is not 2 (a null id is the empty text). A text is its words, A-Z
     lower-cased, and then one end; a null or empty text is the end alone. base_score is the add-one unigram log10
-    probability, score the model's. Without training documents nothing is known, and the model is uniform over its classes.
+    probability, score the model's. Very long texts are read whole; words with equal counts are listed in order of their bytes. Without training documents nothing is known, and the model is uniform over its classes.
     Rows equal in id and text are documents each. Other columns are not read.
     """
     spark, shape = docs.sparkSession, shape or Shape()
@@ -209,9 +223,8 @@ def lm_scores(docs: DataFrame, shape: Shape | None = None, train_one_in: int = 1
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = documents.withColumn("block", block).repartition(blocks, "block")
     # Both uses of ``dealt`` take all its columns, so that the documents are dealt out once.
-    distinct_words = dealt.sortWithinPartitions("block").mapInArrow(_distinct, "block int, word binary")
-    short = spark.createDataFrame([(w, i) for i, w in enumerate(words, 1)], "word binary, number int")
-    numbered = table.join(F.broadcast(short), "word", "left").select("word", "n", F.coalesce("number", F.lit(shape.short) + F.col("tail")).alias("number"))
+    distinct_words = dealt.sortWithinPartitions("block").mapInArrow(_distinct(frozenset(words)), "block int, word binary")
+    numbered = table.select("word", "n", (F.lit(shape.short) + F.col("tail")).alias("number"))
     known = distinct_words.join(numbered, "word").select("block", "word", "number", "n")
-    sent = spark.sparkContext.broadcast((p, np.log(tail_n + tail_v + 1), n_end, total, distinct))
+    sent = spark.sparkContext.broadcast((p, np.log(tail_n + tail_v + 1), n_end, total, distinct, [(w, n) for w, n, _ in listed]))
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(sent, shape, chunk_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

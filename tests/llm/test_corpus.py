@@ -372,3 +372,73 @@ def test_disclosing_terms_in_whole_documents(spark):
         got = {x.split(":", 1)[1] for x in spans[i] if x.startswith(("remove", "generalise"))}
         assert len(places["zanzibarov"]) == 2 and {*places["zanzibarov"], *places["quillfeather's"]} <= got
     assert spans[100] == [""] and not any(x.startswith(("remove:0", "generalise:0")) for x in spans[200] + spans[201])
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Repeated and null ids are rows like others, equal rows stay once, an empty table stays empty, other columns are carried."""
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    a, b = prose(80), prose(90)
+    rows = [(3, a, 1), (1, b, 2), (3, b, 3), (5, a, 4), (None, b, 5), (None, prose(70), 6), (8, None, 7), (8, "", 8), (9, a, 9), (9, a, 9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, node long").withColumn("row", F.lit("x")).withColumn("n_lines", F.lit(0))
+    kept = jaccard_join.distinct_documents(table)
+    assert kept.columns == table.columns
+    assert sorted(r.node for r in kept.collect()) == [1, 2, 6, 7, 8]
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, table.limit(0), source)
+        assert none.collect() == [] and (name == "piece_codec" or none.columns == table.columns)
+    items = spark.read.parquet(f"{source}/benchmark.parquet").limit(1).collect()[0]
+    dirty = table.unionByName(spark.createDataFrame([(None, f"{a} {items.text} {b}", 100)], "doc_id long, text string, node long").withColumn("row", F.lit("x")).withColumn("n_lines", F.lit(0)))
+    clean = decontaminate.clean_documents(dirty, spark.read.parquet(f"{source}/benchmark.parquet"))
+    assert sorted(r.node for r in clean.collect()) == sorted(r[2] for r in rows)
+
+
+def test_equal_halves_of_signatures_are_told_apart(spark, monkeypatch):
+    """Sets that share the first half of a signature are still nodes of their own."""
+    table = spark.createDataFrame([(1, BASE[0]), (2, BASE[1]), (3, BASE[2]), (4, BASE[0])], "doc_id long, text string")
+    members, nodes, renamed = jaccard_join._members(table, 5)
+    both = {r.doc_id: (r.node, r.check) for r in members.collect()}
+    assert not renamed and both[1] == both[4] and nodes.count() == 3
+    alike = jaccard_join.Renamed({(7, 1): 7, (7, 2): 99})
+    assert alike[7, 1] == 7 and alike[7, 2] == 99 and alike[5, 3] == 5
+
+
+def test_sketches_lose_no_contained_item():
+    draw = random.Random(21)
+    word = lambda: "w" + str(draw.randrange(10**6))
+    found = total = 0
+    for _ in range(300):
+        item = [word() for _ in range(draw.choice((6, 20, 40, 90, 200)))]
+        index = decontaminate.ItemIndex([(1, " ".join(item))], 5, 80)
+        n = len(shingles(" ".join(item), 5))
+        cut = max(0, int(0.2 * n) - 1)
+        document = [word() for _ in range(50)] + item[cut:] + [word() for _ in range(400)]
+        if 100 * len(shingles(" ".join(document), 5) & shingles(" ".join(item), 5)) >= 80 * n:
+            hashed = decontaminate.WordHashes().of([w.encode() for w in document])
+            total += 1
+            found += bool(list(index.search([w.encode() for w in document], hashed)))
+    assert total > 200 and found == total
+
+
+def test_licence_bands_for_short_and_any_templates(spark):
+    draw = random.Random(5)
+    templates = [(f"t{i}", " ".join("v" + str(draw.randrange(10**6)) for _ in range(draw.choice((5, 7, 9, 10, 12, 30))))) for i in range(120)]
+    for percent in (80, 60):
+        rows = [(i, prose(draw.randint(0, 60)) + " " + t + " " + prose(40)) for i, (_, t) in enumerate(templates)]
+        got = license_scan.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(templates, "license_id string, text string"), percent=percent).collect()
+        exact = {(r.doc_id, r.license_id): r for r in got}
+        assert sum((i, name) in exact for i, (name, _) in enumerate(templates)) >= 119
+        assert all(r.license_id == f"t{r.doc_id}" and r.n_shared <= r.n_template_shingles and r.containment == r.n_shared / r.n_template_shingles for r in got)
+
+
+def test_label_model_finds_accuracies_and_discounts_copies():
+    draw = np.random.default_rng(3)
+    y = draw.random(6000) < 0.3
+    rates = [(0.05, 0.7), (0.1, 0.6), (0.6, 0.1), (0.02, 0.4), (0.3, 0.3)]
+    votes = np.stack([draw.random(6000) < np.where(y, b, a) for a, b in rates], axis=1).astype(np.float32)
+    noisy = (draw.random(6000) < 0.2).astype(np.float32)
+    votes = np.hstack([votes, np.stack([noisy] * 3, axis=1)])
+    posterior, weight = toxicity.fit_label_model(votes, np.array([[0.1, 0.4], [0.1, 0.4], [0.4, 0.1], [0.1, 0.4], [0.2, 0.2], [0.2, 0.25], [0.2, 0.25], [0.2, 0.25]]), 0.3)
+    assert (weight[-3:] < 0.4).all() and (weight[:5] > 0.6).all()
+    assert ((posterior > 0.5) == y).mean() > 0.85
