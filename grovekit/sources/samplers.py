@@ -1,0 +1,151 @@
+"""Synthetic collections: Galton-Watson trees, planted label paths, timestamps. A tree is drawn from (seed, tree_id) alone, so tasks need nothing of each other."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+
+@dataclass(frozen=True)
+class GaltonWatson:
+    """Poisson offspring down to ``depth``, at most ``cap`` nodes; trees that are too small or not deep enough are drawn again."""
+
+    depth: int = 12
+    lam: float = 1.8
+    cap: int = 300
+    smallest: int = 1
+    order: str = "bfs"
+    full_depth: bool = True
+    tries: int = 500
+
+    def sample(self, rng: np.random.Generator) -> tuple[list[int], list[int]]:
+        """(parents, nodes of the path from the root to a uniformly drawn deepest node)."""
+        for _ in range(self.tries):
+            parent, level, waiting = [-1], [0], [0]
+            while waiting and len(parent) < self.cap:
+                u = waiting.pop(0 if self.order == "bfs" else -1)
+                if level[u] < self.depth:
+                    for _ in range(min(int(rng.poisson(self.lam)), self.cap - len(parent))):
+                        waiting.append(len(parent))
+                        parent.append(u)
+                        level.append(level[u] + 1)
+            if len(parent) >= self.smallest and (not self.full_depth or max(level) == self.depth):
+                u = int(rng.choice(np.flatnonzero(np.array(level) == max(level))))
+                path = [u]
+                while parent[path[-1]] >= 0:
+                    path.append(parent[path[-1]])
+                return parent, path[::-1]
+        raise RuntimeError(f"no tree of {self} in {self.tries} tries")
+
+
+def default_samplers(**options) -> dict[str, GaltonWatson]:
+    return {"gw_bfs": GaltonWatson(order="bfs", **options), "gw_dfs": GaltonWatson(order="dfs", **options)}
+
+
+def nonsense_dictionary(k: int) -> list[str]:
+    return [f"sym{i}" for i in range(k)]
+
+
+def normalized(p: Sequence[float]) -> np.ndarray:
+    out = np.asarray(p, float)
+    if out.ndim != 1 or not np.isfinite(out).all() or (out < 0).any() or out.sum() <= 0:
+        raise ValueError("probabilities must be finite, not negative, and not all zero")
+    return out / out.sum()
+
+
+def symbol_shares(symbols: Sequence[str], pi: Sequence[float] | Mapping[str, float] | None = None, alpha: float | None = None, rng: np.random.Generator | None = None) -> np.ndarray:
+    """Shares of the symbols: as given, drawn from a symmetric Dirichlet distribution, or equal."""
+    if pi is not None and alpha is not None:
+        raise ValueError("give shares or alpha, not both")
+    if isinstance(pi, Mapping):
+        return normalized([pi.get(s, 0.0) for s in symbols])
+    if pi is not None:
+        return normalized(pi)
+    return normalized(np.ones(len(symbols))) if alpha is None else (rng or np.random.default_rng()).dirichlet(np.full(len(symbols), alpha))
+
+
+def weighted_subset(weights: Sequence[float], size: int, rng: np.random.Generator) -> list[int]:
+    """``size`` places, a set S with probability in proportion to the product of its weights; exact.
+
+    ways[i][r] is the sum of the products over all sets of r of the places from i on; places are then taken or left in turn.
+    """
+    w, n = [float(x) for x in weights], len(weights)
+    ways = [[1.0, *[0.0] * size] for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for r in range(1, size + 1):
+            ways[i][r] = ways[i + 1][r] + w[i] * ways[i + 1][r - 1]
+    if size > n or ways[0][size] <= 0:
+        raise ValueError("no subset of that size")
+    out = []
+    for i in range(n):
+        r = size - len(out)
+        if r and rng.random() * ways[i][r] < w[i] * ways[i + 1][r - 1]:
+            out.append(i)
+    return out
+
+
+def planted_labels(n: int, path: Sequence[int], template: Sequence[str], symbols: Sequence[str], shares: np.ndarray, seen: float, rng: np.random.Generator, weights: Sequence[float] | None = None) -> tuple[list[str], list[bool]]:
+    """(label, is on the path) of each node: background symbols, then part of the template in order at places of the path.
+
+    min(Binomial(len(path), seen), len(template)) symbols are planted, at uniform places of the path; which of the
+    template is drawn by its weights.
+    """
+    labels = list(rng.choice(symbols, size=n, p=shares))
+    count = min(int(rng.binomial(len(path), seen)), len(template))
+    places = sorted(rng.choice(len(path), size=count, replace=False).tolist())
+    for place, which in zip(places, weighted_subset(weights or [1.0] * len(template), count, rng), strict=True):
+        labels[path[place]] = template[which]
+    on_path = set(path)
+    return [str(x) for x in labels], [u in on_path for u in range(n)]
+
+
+def class_templates(classes: int, length: int, symbols: Sequence[str], seed: int) -> list[list[str]]:
+    """Permutations of one base sequence, one for each class."""
+    rng = np.random.default_rng(seed)
+    base = list(rng.choice(symbols, size=length))
+    return [[str(x) for x in rng.permutation(base)] for _ in range(classes)]
+
+
+TOY = "tree_id long, class int, u int, parent int, label string, is_planted boolean"
+
+
+def toy_model(spark: SparkSession, classes: int = 4, per_class: int = 20, length: int = 10, alphabet: int = 16, seen: float = 0.85, sampler: GaltonWatson | None = None, seed: int = 0) -> DataFrame:
+    """Trees of several classes, each with its class's template planted on a root path; a row per node."""
+    sampler, symbols = sampler or GaltonWatson(depth=max(10, length), lam=1.9, cap=200, full_depth=False), nonsense_dictionary(alphabet)
+    templates, shares = class_templates(classes, length, symbols, seed), symbol_shares(symbols)
+
+    def draw(frames):
+        for frame in frames:
+            for i in frame["id"]:
+                rng = np.random.default_rng([seed, int(i)])
+                parent, path = sampler.sample(rng)
+                labels, planted = planted_labels(len(parent), path, templates[int(i) % classes], symbols, shares, seen, rng)
+                yield pd.DataFrame({"tree_id": int(i), "class": int(i) % classes, "u": range(len(parent)), "parent": parent, "label": labels, "is_planted": planted})
+
+    return spark.range(classes * per_class).mapInPandas(draw, TOY)
+
+
+def monotone_timestamps(trees: DataFrame, step: float = 1.0, jitter: float = 0.5, seed: int = 0) -> DataFrame:
+    """``trees`` with ts: a child's is its parent's, plus ``step``, plus a uniform draw up to ``jitter``; a root's is 0. Nodes come parents first in u."""
+
+    def timed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("u")
+        rng, ts = np.random.default_rng([seed, int(frame["tree_id"].iloc[0])]), {}
+        for u, p in zip(frame["u"], frame["parent"], strict=True):
+            ts[u] = ts[p] + step + rng.uniform(0, jitter) if p >= 0 else 0.0
+        return frame.assign(ts=[ts[u] for u in frame["u"]])
+
+    return trees.groupBy("tree_id").applyInPandas(timed, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in trees.schema)}, ts double")
+
+
+def subtree_root(depth: Sequence[int], size: Sequence[int], least_depth: int, rng: np.random.Generator, most: int | None = None) -> int:
+    """A random node of at least that depth, and of a subtree of at most ``most`` nodes; without such a node the smallest subtree deep enough."""
+    deep = [u for u, d in enumerate(depth) if d >= least_depth]
+    if not deep:
+        raise ValueError("no node is that deep")
+    small = [u for u in deep if most is None or size[u] <= most]
+    return int(rng.choice(small)) if small else min(deep, key=lambda u: (size[u], u))
