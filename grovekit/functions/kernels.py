@@ -20,10 +20,13 @@ def forest(parents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.where(p >= 0, p + s, -1) for p, s in zip(parents, starts[:-1], strict=True)]), starts[:-1]
 
 
-def path_scores(g: np.ndarray, h: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The best nested chain of pairs of G and each tree of the forest H: all cells of a depth of G and a depth of H at once."""
+def path_scores(g: np.ndarray, h: np.ndarray, starts: np.ndarray, weight: np.ndarray, rows: list[np.ndarray] | None = None) -> np.ndarray:
+    """The best nested chain of pairs of G and each tree of the forest H: all cells of a depth of G and a depth of H at once.
+
+    ``rows`` are the levels of H, for callers that score many trees against one forest.
+    """
     table = np.zeros((len(g) + 1, len(h) + 1))
-    above, rows = h + 1, levels(h)
+    above, rows = h + 1, levels(h) if rows is None else rows
     for now in levels(g):
         up = table[g[now] + 1]
         best = np.maximum(up[:, 1:], weight[now] + up[:, above])

@@ -20,16 +20,24 @@ def inverse_frequency(nodes: DataFrame, power: float = 1.0) -> DataFrame:
     return counts.join(F.broadcast(total)).select("label", (1 / F.greatest(F.pow(F.col("cnt") / F.col("total"), F.lit(power)), F.lit(1e-8))).alias("weight"))
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``place``, from 0 in the given order: sorted by ranges, each of which counts on from the ones before. No task gets all rows."""
+    ranged = df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()).persist()  # ranges are drawn once
+    ahead = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("ahead", F.sum("n").over(W.orderBy("range")) - F.col("n"))  # one row a range
+    own = F.row_number().over(W.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("own", own).join(F.broadcast(ahead.select("range", "ahead")), "range").withColumn("place", F.col("own") - 1 + F.col("ahead")).drop("range", "own", "ahead")
+
+
 def token_dictionary(tokens: DataFrame, default: float = 1.0) -> DataFrame:
     """token, token_id (in order of the token), weight."""
     distinct = tokens.where("token IS NOT NULL").select("token").distinct()
-    return distinct.select("token", (F.row_number().over(W.orderBy("token")) - 1).cast("int").alias("token_id"), F.lit(default).alias("weight"))
+    return numbered(distinct, F.col("token")).select("token", F.col("place").cast("int").alias("token_id"), F.lit(default).alias("weight"))
 
 
 def token_vocabulary(tokens: DataFrame, specials: int = 4, min_freq: int = 1) -> DataFrame:
     """token, cnt, token_id: after the special ids, by falling count, then token."""
     counts = tokens.groupBy("token").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_freq)
-    return counts.select("token", "cnt", (F.row_number().over(W.orderBy(F.desc("cnt"), "token")) + specials - 1).cast("int").alias("token_id"))
+    return numbered(counts, F.desc("cnt"), F.col("token")).select("token", "cnt", (F.col("place") + specials).cast("int").alias("token_id"))
 
 
 def blocking_prefix_keys(nodes: DataFrame, depth: int = 5) -> DataFrame:
@@ -39,6 +47,12 @@ def blocking_prefix_keys(nodes: DataFrame, depth: int = 5) -> DataFrame:
     return cut.select("tree_id", "u", F.explode(F.expr(f"transform(sequence(1, least({depth}, size(t))), i -> array_join(slice(t, 1, i), '/'))")).alias("key"))
 
 
+def meeting_pairs(keys: DataFrame) -> DataFrame:
+    """(g, h), g < h: trees with a key in common; the keys decide which pairs are looked at, not the collection's size."""
+    own = keys.select("tree_id", "key").distinct()
+    return own.withColumnRenamed("tree_id", "g").join(own.withColumnRenamed("tree_id", "h"), "key").where("g < h").select("g", "h").distinct()
+
+
 def rarest_keys(keys: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
     """For each pair (g, h) and node u of g: up to ``most`` of its keys that h has too, the rarest in both trees first."""
     counts = keys.groupBy("tree_id", "key").agg(F.count("*").alias("n"))
@@ -115,8 +129,14 @@ def bag_summary(bags: DataFrame) -> DataFrame:
 
 def medoids(bags: DataFrame) -> DataFrame:
     """cluster, seq, objective: the sequence (one character a token) with the smallest weighted edit distance to its bag, ties to the smaller one."""
-    other = bags.select("cluster", F.col("seq").alias("other"), F.col("weight").alias("w"))
-    cost = bags.select("cluster", "seq").join(other, "cluster").groupBy("cluster", "seq").agg(F.sum(F.col("w") * F.levenshtein("seq", "other")).alias("objective"))
+    # Each pair is compared once and counts for both; a cluster is dealt out over ``salts`` tasks.
+    salts = 32
+    own = bags.select("cluster", "seq", "weight", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int").alias("salt"))
+    other = bags.select("cluster", F.col("seq").alias("other"), F.col("weight").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = own.join(other, ["cluster", "salt"]).where("seq < other").withColumn("d", F.levenshtein("seq", "other"))
+    halves = F.explode(F.array(F.struct(F.col("seq"), (F.col("w") * F.col("d")).alias("part")), F.struct(F.col("other").alias("seq"), (F.col("weight") * F.col("d")).alias("part"))))
+    parts = pairs.select("cluster", halves.alias("x")).select("cluster", "x.*").unionByName(bags.select("cluster", "seq", F.lit(0.0).alias("part")))
+    cost = parts.groupBy("cluster", "seq").agg(F.sum("part").alias("objective"))
     return cost.groupBy("cluster").agg(F.min(F.struct(F.round("objective", 6).alias("objective"), "seq")).alias("m")).select("cluster", "m.seq", "m.objective")
 
 

@@ -42,7 +42,22 @@ def token_weights(a: list, b: list, weights: dict | None) -> np.ndarray:
     return out
 
 
-def _block_pairs(weigh, weights):
+def weigher(labels: list, weights: dict | None, overlap: bool = False):
+    """A function from a tree's labels to its weights with ``labels``, whose codes are made once."""
+    if overlap:
+        return lambda own: token_weights(own, labels, weights)
+    codes: dict = {}
+    y = np.array([-1 if t is None else codes.setdefault(t, len(codes)) for t in labels])
+    worth = np.array([*(1.0 if weights is None else weights.get(t, 0.0) for t in codes), 0.0])
+
+    def weigh(own: list) -> np.ndarray:
+        x = np.array([codes.get(t, -2) if t is not None else -2 for t in own])
+        return np.where(x[:, None] == y[None, :], worth[x][:, None], 0.0)
+
+    return weigh
+
+
+def _block_pairs(overlap: bool, weights: dict | None):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         x, y = key[0].as_py(), key[1].as_py()
@@ -50,10 +65,10 @@ def _block_pairs(weigh, weights):
         right.sort(key=lambda r: r["tree_id"])
         if right:
             h, starts = kernels.forest([np.array(r["parent"]) for r in right])
-            labels = [t for r in right for t in r["label"]]
+            weigh, rows = weigher([t for r in right for t in r["label"]], weights, overlap), kernels.levels(h)
         for r in left:
             if right:
-                got = kernels.path_scores(np.array(r["parent"]), h, starts, weigh(r["label"], labels, weights))
+                got = kernels.path_scores(np.array(r["parent"]), h, starts, weigh(r["label"]), rows)
                 other = [(o["tree_id"], float(s)) for o, s in zip(right, got, strict=True) if (r["tree_id"] < o["tree_id"] if x == y else r["tree_id"] != o["tree_id"])]
                 ends = [(min(r["tree_id"], o), max(r["tree_id"], o), s) for o, s in other]
                 yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in ends], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["g", "h", "score"])
@@ -67,7 +82,7 @@ def all_pair_scores(nodes: DataFrame, weights: dict | None = None, overlap: bool
     blocks = max(1, -(-trees.count() // block_trees))
     own = trees.withColumn("block", F.pmod(F.xxhash64("tree_id"), F.lit(blocks)).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return dealt.select("x", "y", "block", "tree_id", "parent", "label").groupBy("x", "y").applyInArrow(_block_pairs(token_weights if overlap else label_weights, weights), PAIRS)
+    return dealt.select("x", "y", "block", "tree_id", "parent", "label").groupBy("x", "y").applyInArrow(_block_pairs(overlap, weights), PAIRS)
 
 
 def landmark_scores(nodes: DataFrame, landmarks: list[dict], weights: dict | None = None) -> DataFrame:
@@ -78,10 +93,13 @@ def landmark_scores(nodes: DataFrame, landmarks: list[dict], weights: dict | Non
     names = [r["tree_id"] for r in sent]
 
     def run(batches):
+        weigh, rows = weigher(labels, weights), kernels.levels(h)
         for batch in batches:
-            for r in batch.to_pylist():
-                got = kernels.path_scores(np.array(r["parent"]), h, starts, label_weights(r["label"], labels, weights))
-                yield pa.RecordBatch.from_arrays([pa.array([r["tree_id"]] * len(names)), pa.array(names), pa.array(got)], names=["g", "h", "score"])
+            trees = batch.to_pylist()
+            got = [kernels.path_scores(np.array(r["parent"]), h, starts, weigh(r["label"]), rows) for r in trees]
+            if trees:
+                ids = [r["tree_id"] for r in trees for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names * len(trees)), pa.array(np.concatenate(got))], names=["g", "h", "score"])
 
     return packed(nodes).mapInArrow(run, PAIRS)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import kernels
 from grovekit.operators import collections as C
+from grovekit.operators import exemplars as E
 from grovekit.operators import matching as M
 from grovekit.operators import trees as T
 from grovekit.sources.views import VIEWS, duckdb_sql, read, sql, view
@@ -140,9 +141,7 @@ _KEYS = """k AS (SELECT CAST(tree_id AS VARCHAR) AS tree_id, u, label AS key FRO
 
 def _url_keys(spark, d):
     keys = view(spark, d, "url_tree").select("tree_id", "u", F.col("label").alias("key"))
-    ids = keys.select("tree_id").distinct()
-    pairs = ids.select(F.col("tree_id").alias("g")).join(ids.select(F.col("tree_id").alias("h")), F.col("g") < F.col("h"))
-    return keys, pairs
+    return keys, C.meeting_pairs(keys)
 
 
 @query(f"WITH {_KEYS} SELECT g, h, u, key, cnt, place FROM r WHERE place <= 4")
@@ -330,6 +329,73 @@ def replication_counts(spark, d):
     return C.replication_counts(_bags(spark, d))
 
 
+# --- exemplars of bags: the heaviest sequence of a cluster, and what alignments and likelihoods make of it -------------
+_HEAVIEST = _BAGS + ", x AS (SELECT cluster, seq AS exemplar FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cnt DESC, seq) AS r FROM b) WHERE r = 1)"
+_DISTANCE, _LONGEST = "levenshtein(seq, exemplar)", "greatest(length(seq), length(exemplar))"
+
+
+def _heaviest(bags: DataFrame) -> DataFrame:
+    return bags.groupBy("cluster").agg(F.min(F.struct((-F.col("cnt")).alias("n"), "seq")).alias("x")).select("cluster", F.col("x.seq").alias("exemplar"))
+
+
+def _tokens(spark, d) -> DataFrame:
+    return _bags(spark, d).withColumn("seq", F.filter(F.split("seq", ""), lambda c: c != ""))
+
+
+@query(_SEQ_DUCK + " SELECT cluster, CAST(median(length(seq)) AS DOUBLE) AS median_length FROM s GROUP BY cluster")
+def bag_median_length(spark, d):
+    return E.median_length(_bags(spark, d), F.length("seq"))
+
+
+@query(_HEAVIEST + """, y AS (SELECT x.cluster, b.cluster AS other, sum(weight * levenshtein(seq, exemplar)) / sum(weight) AS mean_distance,
+  sum(weight * levenshtein(seq, exemplar) / greatest(length(seq), length(exemplar), 1)) / sum(weight) AS mean_normalized FROM b, x GROUP BY ALL)
+  SELECT cluster, other, round(mean_distance, 6) AS mean_distance, round(mean_normalized, 6) AS mean_normalized FROM y""")
+def exemplar_distances(spark, d):
+    bags = _bags(spark, d)
+    found = E.exemplar_distances(bags, _heaviest(bags), F.expr(_DISTANCE), F.expr(_LONGEST))
+    return found.withColumn("mean_distance", F.round("mean_distance", 6)).withColumn("mean_normalized", F.round("mean_normalized", 6))
+
+
+@query(_HEAVIEST + """, y AS (SELECT x.cluster, b.cluster AS other, sum(weight * levenshtein(seq, exemplar)) / sum(weight) AS m,
+  sum(weight * levenshtein(seq, exemplar) / greatest(length(seq), length(exemplar), 1)) / sum(weight) AS n FROM b, x GROUP BY ALL),
+  z AS (SELECT cluster, max(m) FILTER (WHERE cluster = other) AS own, max(n) FILTER (WHERE cluster = other) AS own_n, avg(m) FILTER (WHERE cluster <> other) AS others FROM y GROUP BY cluster)
+  SELECT cluster, round(own, 5) AS own, round(own_n, 5) AS own_normalized, round(others, 5) AS others, round(others - own, 5) AS gap FROM z""")
+def exemplar_separation(spark, d):
+    bags = _bags(spark, d)
+    found = E.evaluated(bags, _heaviest(bags), F.expr(_DISTANCE), F.expr(_LONGEST))
+    return found.select("cluster", *[F.round(c, 5).alias(c) for c in ("own", "own_normalized", "others", "gap")])
+
+
+@query(_BAGS + """, t AS (SELECT cluster, min(seq) || 'X' AS truth FROM b GROUP BY cluster)
+  SELECT cluster, round(1 - count(*) / sum(cnt), 6) AS duplicates, bool_or(seq = truth) AS present, CAST(min(levenshtein(seq, truth)) AS INT) AS best_edit FROM b JOIN t USING (cluster) GROUP BY cluster""")
+def bag_truth_diagnostics(spark, d):
+    bags = _bags(spark, d)
+    truths = bags.groupBy("cluster").agg(F.concat(F.min("seq"), F.lit("X")).alias("seq"))
+    return E.truth_diagnostics(bags, truths, F.expr(_DISTANCE)).withColumn("duplicates", F.round("duplicates", 6))
+
+
+@query(_BAGS + " SELECT cluster, seq, CAST(sum(cnt) AS BIGINT) AS copies FROM b GROUP BY ALL")
+def bag_raw_sequences(spark, d):
+    return E.raw_sequences(_bags(spark, d)).groupBy("cluster", "seq").agg(F.count("*").alias("copies"))
+
+
+@query()
+def consensus_exemplars(spark, d):
+    return E.consensus_exemplars(_tokens(spark, d), most=64)
+
+
+@query()
+def likelihood_exemplars(spark, d):
+    return E.likelihood_exemplars(_tokens(spark, d), most=24)
+
+
+@query()
+def toy_model(spark, d):
+    from grovekit.sources import samplers
+
+    return samplers.monotone_timestamps(samplers.toy_model(spark, classes=2, per_class=8))
+
+
 @query("""WITH p AS (SELECT label AS truth, CAST(vec_id % 7 AS INT) AS found FROM embeddings), c AS (SELECT truth, found, count(*) AS n FROM p GROUP BY ALL),
  a AS (SELECT truth, sum(n) AS n FROM c GROUP BY truth), b AS (SELECT found, sum(n) AS n FROM c GROUP BY found), t AS (SELECT sum(n) AS t FROM c),
  x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS same, (SELECT sum(n * (n - 1) / 2) FROM a) AS sa, (SELECT sum(n * (n - 1) / 2) FROM b) AS sb, t,
