@@ -49,6 +49,15 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     return written
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python ``rows`` at a time, unless the session says otherwise: Spark's 10,000 texts, held by executor and worker at once, are too many."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the worker gives freed memory back: workers wait for later tasks beside others that need it."""
 
@@ -74,6 +83,8 @@ def rows_kept(docs: DataFrame, keep: Callable[[Iterator[pa.Array]], Iterator[lis
     ``keep`` gets arrays of texts and gives a truth value for each. Only the texts go to Python; equal rows are rows of their own.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for stays in keep(parts):
             yield pa.array(stays, pa.bool_())
@@ -109,7 +120,7 @@ def text_key(column="text"):
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash, remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import WordHashes, mixed, released, rows_kept, shingle_hashes, words_of
+from grovekit.llm.common import WordHashes, mixed, released, rows_kept, shingle_hashes, small_batches, words_of
 
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 
@@ -163,6 +163,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     item at exactly the threshold counts. Other columns are not read.
     ``block_bytes`` bounds the text of the items that are held, and sent to the tasks, at a time.
     """
+    small_batches(docs.sparkSession)
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = [documents.mapInArrow(released(_search(index)), SCHEMA) for index in _indexes(docs.sparkSession, items, k, percent, block_bytes)]
     out = found[0]

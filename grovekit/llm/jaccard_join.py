@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import WordHashes, checkpointed, mixed, released, salted, shingle_hashes, whole_row, words_of
+from grovekit.llm.common import WordHashes, checkpointed, mixed, released, salted, shingle_hashes, small_batches, whole_row, words_of
 from grovekit.llm.components import components
 
 COUNT_FRAGMENTS = 4
@@ -126,7 +126,7 @@ def _keys(k: int, percent: int, renamed: Renamed):
             for s in sets:
                 node = renamed.of(s)
                 if node is not None and node not in seen:
-                    if len(seen) >= 200_000:
+                    if len(seen) >= 50_000:
                         seen.clear()
                     seen.add(node)
                     nodes.append(node)
@@ -248,6 +248,7 @@ def _members(docs: DataFrame, k: int, *carried) -> tuple[DataFrame, DataFrame, R
     Nodes are the first halves of signatures of 128 bits. Of n sets about n * n / 2 ** 65 share such a half with another set
     (some three hundred of 10 ** 11): these few are found, sent to all tasks, and get names of their own.
     """
+    small_batches(docs.sparkSession)
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     names = tuple(c for c in documents.columns if c != "text")
     kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in names)

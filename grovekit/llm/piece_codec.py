@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import released
+from grovekit.llm.common import released, small_batches
 from grovekit.llm.pieces import DEFAULT_MODEL, Vocabulary, model_path, vocabulary
 
 
@@ -177,6 +177,7 @@ def _ids(path: str, known_limit: int):
 
 
 def _documents(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovekit.llm.common import small_batches
 from grovekit.llm.pieces import DEFAULT_MODEL, Vocabulary, model_path, vocabulary
 
 LONG = 256
@@ -198,5 +199,6 @@ def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, limit: int = 4096,
     A null or empty text has 0 bytes and 0 tokens. Ids may be null or repeated; other columns are not read.
     ``known_limit`` pre-tokens are remembered in a task; ``slice_chars`` characters of text are worked on at a time.
     """
+    small_batches(docs.sparkSession)
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return documents.mapInArrow(_count(model_path(model), limit, known_limit, slice_chars), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

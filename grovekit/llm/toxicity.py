@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import checkpointed, released, rows_kept, salted, words_of
+from grovekit.llm.common import checkpointed, released, rows_kept, salted, small_batches, words_of
 
 PATTERNS = (
     re.compile(rb"!{3,}"),
@@ -186,6 +186,7 @@ def _sampled(documents: DataFrame, truth: DataFrame, words: dict[int, int], samp
 
 def train(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int = 1024, sample: int = 20_000, folds: int = 5):
     """(words, weights, pattern weights, intercept) of the classifier; reads labels of training rows only."""
+    small_batches(docs.sparkSession)
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(folds)).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").where(~held_out(folds))
     given = salted(documents.mapInArrow(released(_features), "doc_id long, words array<int>"), 4, F.hash("words")).join(salted(truth, 4), ["doc_id", "salt"])
