@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int
     small_batches(docs.sparkSession)
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(folds)).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").where(~held_out(folds))
-    given = salted(documents.mapInArrow(released(_features), "doc_id long, words array<int>"), 4, F.hash("words")).join(salted(truth, 4), ["doc_id", "salt"])
+    # Labels grow with the documents: never broadcast, the plan is the same at every size.
+    given = salted(documents.mapInArrow(released(_features), "doc_id long, words array<int>"), 4, F.hash("words")).join(salted(truth, 4).hint("merge"), ["doc_id", "salt"])
     counted = given.select("words", "toxic").mapInArrow(released(_word_counts), "word int, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = checkpointed(counted.where("word IS NULL OR clean + toxic >= 5"))
     totals = counts.where("word IS NULL").first()
