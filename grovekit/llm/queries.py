@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import decontaminate, jaccard_join, license_scan, line_dedup, lm_scoring, maxscore, packing, piece_codec, private_data, token_counts, toxicity
+from grovekit.llm import decontaminate, importance, jaccard_join, license_scan, line_dedup, lm_scoring, maxscore, packing, piece_codec, private_data, token_counts, toxicity
 from grovekit.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed_pieces(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -58,7 +62,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_maxscore, op2_lm_scoring, op3_token_counts, op4_private_data, op5_toxicity, op6_jaccard_join, op7_decontamination, op8_license_scan, op9_piece_codec, op10_line_dedup, op13_packing]
+    own = [op1_maxscore, op2_lm_scoring, op3_token_counts, op4_private_data, op5_toxicity, op6_jaccard_join, op7_decontamination, op8_license_scan, op9_piece_codec, op10_line_dedup, op12_importance, op13_packing]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
