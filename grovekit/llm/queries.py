@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import decontaminate, importance, jaccard_join, license_scan, line_dedup, lm_scoring, maxscore, packing, piece_codec, private_data, token_counts, toxicity
+from grovekit.llm import decontaminate, hard_negatives, importance, jaccard_join, license_scan, line_dedup, lm_scoring, maxscore, packing, piece_codec, private_data, token_counts, toxicity
 from grovekit.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
@@ -62,7 +67,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_maxscore, op2_lm_scoring, op3_token_counts, op4_private_data, op5_toxicity, op6_jaccard_join, op7_decontamination, op8_license_scan, op9_piece_codec, op10_line_dedup, op12_importance, op13_packing]
+    own = [op1_maxscore, op2_lm_scoring, op3_token_counts, op4_private_data, op5_toxicity, op6_jaccard_join, op7_decontamination, op8_license_scan, op9_piece_codec, op10_line_dedup, op11_hard_negatives, op12_importance, op13_packing]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -101,5 +106,20 @@ SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, CAST(c AS DOUBLE) /
 """
 
 
+OP11_SQL = """
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+   coalesce(CAST(list_sum(list_transform(range(1, least(len(a.x), len(c.x)) + 1), lambda i: a.x[i] * c.x[i])) AS BIGINT), 0) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+   CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maxscore": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op7_decontamination": OP7_SQL}
+    return {"op1_maxscore": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op7_decontamination": OP7_SQL, "op11_hard_negatives": OP11_SQL}
