@@ -25,56 +25,133 @@ def path_scores(g: np.ndarray, h: np.ndarray, starts: np.ndarray, weight: np.nda
 
     ``rows`` are the levels of H, for callers that score many trees against one forest.
     """
+    table = path_table(g, h, weight, rows)
+    return np.maximum.reduceat(table[:, 1:].max(axis=0), starts)
+
+
+def path_table(g: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: list[np.ndarray] | None = None) -> np.ndarray:
+    """Best chain that ends at or above each pair of nodes; row and column 0 stand for nothing above the roots."""
     table = np.zeros((len(g) + 1, len(h) + 1))
     above, rows = h + 1, levels(h) if rows is None else rows
     for now in levels(g):
         up = table[g[now] + 1]
-        best = np.maximum(up[:, 1:], weight[now] + up[:, above])
-        best = np.concatenate([np.zeros((len(now), 1)), best], axis=1)
+        best = np.concatenate([np.zeros((len(now), 1)), np.maximum(up[:, 1:], weight[now] + up[:, above])], axis=1)
         for level in rows:
             best[:, level + 1] = np.maximum(best[:, level + 1], best[:, above[level]])
         table[now + 1] = best
-    return np.maximum.reduceat(table[:, 1:].max(axis=0), starts)
+    return table
+
+
+def path_matches(g: np.ndarray, h: np.ndarray, starts: np.ndarray, weight: np.ndarray, prefer_match: bool = True, only_positive: bool = True, rows: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Scores and pairs (node of G, node of the forest H) for each tree of the forest.
+
+    The chains of all trees are traced back at once, a step at a time; a step compares a cell with the three it may come from, so no table of choices is
+    kept. Ties: match, then leaving v, then leaving u; reversed unless ``prefer_match``. The end is the first best cell by u, then v.
+    """
+    if not len(g) or not len(starts):
+        return np.zeros(len(starts)), [[] for _ in starts]
+    table, ends = path_table(g, h, weight, rows), np.append(starts[1:], len(h))
+    by_row = np.maximum.reduceat(table[1:, 1:], starts, axis=1)
+    u, scores = by_row.argmax(axis=0), by_row.max(axis=0)
+    v = np.array([s + int(table[a + 1, s + 1 : e + 1].argmax()) for a, s, e in zip(u, starts, ends, strict=True)])
+    u, v, pairs, trees = u + 1, v + 1, [[] for _ in starts], np.arange(len(starts))
+    while len(trees):
+        up, left = g[u - 1] + 1, h[v - 1] + 1
+        here, w = table[u, v], weight[u - 1, v - 1]
+        match, skip_u, skip_v = w + table[up, left] == here, table[up, v] == here, table[u, left] == here
+        matched = match if prefer_match else match & ~skip_u & ~skip_v
+        leave_v = ~matched & (skip_v if prefer_match else skip_v & ~skip_u)
+        for i in np.flatnonzero(matched & (w > 0) if only_positive else matched):
+            pairs[trees[i]].append((int(u[i]) - 1, int(v[i]) - 1))
+        u, v = np.where(leave_v, u, up), np.where(matched | leave_v, left, v)
+        on = (u > 0) & (v > 0)
+        u, v, trees = u[on], v[on], trees[on]
+    return scores, [p[::-1] for p in pairs]
 
 
 def path_pairs(g: np.ndarray, h: np.ndarray, weight: np.ndarray, prefer_match: bool = True, only_positive: bool = False) -> tuple[float, list[tuple[int, int]]]:
     """The score and the pairs of the best chain. Ties: match, then leaving v, then leaving u; reversed unless ``prefer_match``."""
-    n, m = len(g), len(h)
-    score, choice = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
-    order = (3, 2, 1) if prefer_match else (1, 2, 3)
-    for u in range(1, n + 1):
-        pu = g[u - 1] + 1
-        for v in range(1, m + 1):
-            pv = h[v - 1] + 1
-            options = {1: score[pu, v], 2: score[u, pv], 3: weight[u - 1, v - 1] + score[pu, pv]}
-            top = max(options.values())
-            score[u, v], choice[u, v] = top, next(c for c in order if options[c] == top)
-    u, v = np.unravel_index(np.argmax(score[1:, 1:]), (n, m))
-    u, v, pairs = int(u) + 1, int(v) + 1, []
-    best = float(score[u, v])
-    while u and v:
-        if choice[u, v] == 3:
-            if not only_positive or weight[u - 1, v - 1] > 0:
-                pairs.append((u - 1, v - 1))
-            u, v = int(g[u - 1]) + 1, int(h[v - 1]) + 1
-        elif choice[u, v] == 2:
-            v = int(h[v - 1]) + 1
-        else:
-            u = int(g[u - 1]) + 1
-    return best, pairs[::-1]
+    scores, pairs = path_matches(g, h, np.zeros(1, np.int64), weight, prefer_match, only_positive)
+    return float(scores[0]), pairs[0]
+
+
+def chain_over(tin_u: np.ndarray, tout_u: np.ndarray, tin_v: np.ndarray, tout_v: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
+    """The heaviest chain of the given node pairs, each strictly below the one before in both trees: its weight and the pairs' numbers.
+
+    Pairs are taken in preorder of G. ``below`` holds, for each place of H that a pair has, the best chain that ends at a pair whose G node is above
+    the current one and whose H node is above the place; a pair raises it on its own interval of places, and when the walk leaves its G node the interval gets its
+    former values back. No table of all nodes is made. Ties keep the pair that comes first by (tin_u, tin_v).
+    """
+    usable = np.flatnonzero(w > 0)
+    order = usable[np.lexsort((tin_v[usable], tin_u[usable]))]
+    if not len(order):
+        return 0.0, []
+    places = np.unique(tin_v[order])
+    at, low, high = (np.searchsorted(places, x[order], side) for x, side in ((tin_v, "left"), (tin_v, "right"), (tout_v, "left")))
+    below, by = np.zeros(len(places)), np.full(len(places), -1)
+    total, before = np.empty(len(order)), np.empty(len(order), np.int64)
+    starts, weights, enters, leaves, open_nodes = tin_u[order], w[order], tin_u[order], tout_u[order], []
+    edges = np.flatnonzero(np.concatenate(([True], starts[1:] != starts[:-1], [True])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        while open_nodes and open_nodes[-1][0] <= enters[a]:
+            for lo, hi, values, owners in reversed(open_nodes.pop()[1]):
+                below[lo:hi], by[lo:hi] = values, owners
+        total[a:b], before[a:b] = weights[a:b] + below[at[a:b]], by[at[a:b]]
+        undo = []
+        for i in range(a, b):  # the pairs of one G node can't follow each other
+            lo, hi = low[i], high[i]
+            if lo < hi:
+                better = below[lo:hi] < total[i]
+                if better.any():
+                    undo.append((lo, hi, below[lo:hi].copy(), by[lo:hi].copy()))
+                    below[lo:hi][better], by[lo:hi][better] = total[i], i
+        if undo:
+            open_nodes.append((leaves[a], undo))
+    end, chain = int(np.argmax(total)), []
+    i = end
+    while i >= 0:
+        chain.append(int(order[i]))
+        i = int(before[i])
+    return float(total[end]), chain[::-1]
 
 
 def template_repeat(g: np.ndarray, h: np.ndarray, weight: np.ndarray, penalty: float = 0.0) -> float:
     """Best score of G against a path H whose nodes may be used again, in order; each further use costs ``penalty``."""
+    return template_matches(g, h, weight, penalty)[0]
+
+
+def template_matches(g: np.ndarray, h: np.ndarray, weight: np.ndarray, penalty: float = 0.0) -> tuple[float, list[tuple[int, int]]]:
+    """The score and the pairs of G against a path H whose nodes may be used again. Ties: a further use, then a first use, then leaving u; the end is the first best cell by u, then v."""
     if not np.array_equal(h, np.arange(-1, len(h) - 1)):
         raise ValueError("the template has to be a path")
     first, again = np.zeros((len(g) + 1, len(h) + 1)), np.full((len(g) + 1, len(h) + 1), -np.inf)
-    for u in range(1, len(g) + 1):
-        up = g[u - 1] + 1
-        take = np.maximum(weight[u - 1] + first[up, :-1], weight[u - 1] - penalty + again[up, 1:])
-        again[u, 1:] = np.maximum(again[up, 1:], take)
-        first[u, 1:] = np.maximum.accumulate(np.maximum(first[up, 1:], again[u, 1:]))
-    return float(max(0.0, first[:, 1:].max(initial=0.0), again[:, 1:].max(initial=0.0)))
+    for now in levels(g):
+        up = g[now] + 1
+        take = np.maximum(weight[now] + first[up, :-1], weight[now] - penalty + again[up, 1:])
+        again[now + 1, 1:] = np.maximum(again[up, 1:], take)
+        first[now + 1, 1:] = np.maximum.accumulate(np.maximum(first[up, 1:], again[now + 1, 1:]), axis=1)
+    if not len(g) or not len(h) or first[1:, 1:].max() <= 0:
+        return 0.0, []
+    u, v = (int(x) + 1 for x in np.unravel_index(np.argmax(first[1:, 1:]), (len(g), len(h))))
+    score, used, pairs = float(first[u, v]), False, []
+    while u and v:
+        up = int(g[u - 1]) + 1
+        if not used:  # the best prefix of the template that ends at v or before it
+            if first[u, v] == again[u, v]:
+                used = True
+            elif first[u, v] == first[u, v - 1]:
+                v -= 1
+            else:
+                u = up
+            continue
+        w = weight[u - 1, v - 1]
+        if again[u, v] == w - penalty + again[up, v]:
+            pairs.append((u - 1, v - 1))
+        elif again[u, v] == w + first[up, v - 1]:
+            pairs.append((u - 1, v - 1))
+            used, v = False, v - 1
+        u = up
+    return score, pairs[::-1]
 
 
 def ordered_subtree(g: np.ndarray, h: np.ndarray, weight: np.ndarray) -> float:
@@ -142,23 +219,53 @@ def assignment(weight: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(sum(weight[a, b] for a, b in pairs)), sorted(pairs)
 
 
-def weighted_reference(parent: np.ndarray, labels: list[list[tuple[object, float | None]]], reference: list, weights: list[float], combine: str = "add", rule=None) -> float:
+def weighted_reference(parent: np.ndarray, labels: list[list[tuple[object, float | None]]], reference: list, weights: list[float], combine="add", rule=None) -> float:
     """Best path of a tree against a weighted symbol list; per label only the first fitting place from j on is tried."""
-    rule = rule or (lambda a, r: a == r or (isinstance(a, str) and a[:1] == r))
-    join = {"add": lambda r, w: r + w, "min": min, "multiply": lambda r, w: r * w}[combine]
+    return reference_matches(parent, labels, reference, weights, combine, rule)[0]
+
+
+COMBINED = {"add": lambda r, w: r + w, "min": min, "multiply": lambda r, w: r * w}
+
+
+def reference_matches(
+    parent: np.ndarray, labels: list[list[tuple[object, float | None]]], reference: list, weights: list[float], combine="add", rule=None, every_place: bool = False
+) -> tuple[float, list[tuple[int, int, int]]]:
+    """The score and (node, place, label's number) along the best path from the root, skipped nodes left out.
+
+    ``combine`` is a name or a function of both weights. With ``every_place`` a label may take any fitting place from j on and places may be left out on their own; else
+    it takes the first one. Ties keep what comes first: ending, going down without a match, then labels and places in order.
+    """
+    rule, join = rule or (lambda a, r: a == r or (isinstance(a, str) and a[:1] == r)), COMBINED.get(combine, combine)
     k, kids = len(reference), [[] for _ in parent]
     if not k or not len(parent):
-        return 0.0
+        return 0.0, []
     for u in range(1, len(parent)):
         kids[parent[u]].append(u)
-    best = np.zeros((len(parent), k + 1))
+    best, fits = np.zeros((len(parent), k + 1)), {}
+    step: list[list] = [[None] * (k + 1) for _ in parent]  # (next node, next place, place taken, label)
     for u in range(len(parent) - 1, -1, -1):
-        below = best[kids[u]].max(axis=0) if kids[u] else np.zeros(k + 1)
-        for j in range(k):
-            top = max(0.0, below[j])
-            for label, w in labels[u]:
-                i = next((i for i in range(j, k) if rule(label, reference[i])), None)
-                if i is not None:
-                    top = max(top, join(weights[i], w or 0.0) + (below[i + 1] if kids[u] else 0.0))
-            best[u, j] = top
-    return float(best[0, 0])
+        under = best[kids[u]] if kids[u] else np.zeros((1, k + 1))
+        below, child = under.max(axis=0), [kids[u][c] for c in under.argmax(axis=0)] if kids[u] else [None] * (k + 1)
+        for label, _ in labels[u]:
+            if label not in fits:
+                fits[label] = [i for i in range(k) if rule(label, reference[i])]
+        for j in range(k - 1, -1, -1):
+            top, how = 0.0, None
+            if below[j] > top:
+                top, how = below[j], (child[j], j, None, None)
+            if every_place and best[u, j + 1] > top:
+                top, how = best[u, j + 1], (u, j + 1, None, None)
+            for number, (label, w) in enumerate(labels[u]):
+                places = [i for i in fits[label] if i >= j]
+                for i in places if every_place else places[:1]:
+                    gain = join(weights[i], w or 0.0) + (below[i + 1] if kids[u] else 0.0)
+                    if gain > top:
+                        top, how = gain, (child[i + 1], i + 1, i, number)
+            best[u, j], step[u][j] = top, how
+    u, j, path = 0, 0, []
+    while u is not None and j <= k and step[u][j] is not None:
+        following, after, place, number = step[u][j]
+        if place is not None:
+            path.append((u, place, number))
+        u, j = following, after
+    return float(best[0, 0]), path
