@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grovekit.operators import collections as C
 from grovekit.operators import paths as P
+from grovekit.operators import sketches as S
 from grovekit.operators import trees as T
 from grovekit.operators.weights import KeyedWeight, label_keys, node_matches
 from grovekit.registry import _CHAIN, _KEYS, _URL, _neighbours, _pairs_sql, _TOP, _url_keys, _walk, _ANC, query
@@ -41,3 +42,38 @@ def sparse_path_matches(spark, d):
     worth = node_matches(weight.keys(nodes), pairs)
     found = P.sparse_matches(C.sparse_candidates(keys, pairs).join(worth, ["g", "h", "u", "v"]), _index(spark, d, "url_tree"))
     return P.checked(found, nodes, _index(spark, d, "url_tree"), weight)
+
+
+@query(_SPARSE.replace("r.place <= 4", "true"))
+def beam_path_matches(spark, d):
+    """A beam that is wide enough finds the best score of all pairs of trees that share a label, and its pairs are worth it."""
+    nodes, weight = view(spark, d, "url_tree"), _lengths(spark, d)
+    keys, pairs = _url_keys(spark, d)
+    labelled = S.labelled_index(_index(spark, d, "url_tree"), nodes)
+    sketches = [(S.lookahead_sketches(labelled), 1.0)]
+    beam = P.Beam(width=10_000, expansion=None)
+    found = P.beam_matches(node_matches(weight.keys(nodes), pairs), labelled, beam, sketches, weight.values)
+    return P.checked(found, nodes, _index(spark, d, "url_tree"), weight)
+
+
+@query("WITH RECURSIVE " + _walk("trade_tree") + ", " + _ANC + """, l AS (SELECT CAST(tree_id AS VARCHAR) AS tree_id, u, label FROM {trade_tree}),
+ x AS (SELECT anc.tree_id, anc.anc AS u, l.label, pow(0.85, anc.dist - 1) AS m FROM anc JOIN l ON l.tree_id = anc.tree_id AND l.u = anc.u
+  UNION ALL SELECT w.tree_id, -1, l.label, pow(0.85, w.depth) FROM w JOIN l ON l.tree_id = w.tree_id AND l.u = w.u)
+ SELECT tree_id, CAST(u AS INT) AS u, label, round(sum(m), 6) AS mass FROM x GROUP BY ALL""")
+def lookahead_sketches(spark, d):
+    """With room for all labels a sketch is the discounted number of each label below a node."""
+    nodes = view(spark, d, "trade_tree")
+    sketches = S.lookahead_sketches(S.labelled_index(_index(spark, d, "trade_tree"), nodes), size=1000)
+    return sketches.select("tree_id", "u", F.col("token")[0].alias("label"), F.round("mass", 6).alias("mass"))
+
+
+@query("WITH RECURSIVE " + _walk("url_tree") + ", " + _ANC + """, l AS (SELECT CAST(tree_id AS VARCHAR) AS tree_id, u, parent, label FROM {url_tree}),
+ r AS (SELECT b.tree_id, a.u AS first, a.label || '>' || b.label AS run FROM l b JOIN l a ON a.tree_id = b.tree_id AND a.u = b.parent),
+ x AS (SELECT anc.tree_id, anc.anc AS u, r.run, pow(0.5, anc.dist - 1) AS m FROM anc JOIN r ON r.tree_id = anc.tree_id AND r.first = anc.u
+  UNION ALL SELECT w.tree_id, -1, r.run, pow(0.5, w.depth) FROM w JOIN r ON r.tree_id = w.tree_id AND r.first = w.u)
+ SELECT tree_id, CAST(u AS INT) AS u, run, round(sum(m), 6) AS mass FROM x GROUP BY ALL""")
+def lookahead_runs(spark, d):
+    """The same of downward runs of two labels."""
+    nodes = view(spark, d, "url_tree")
+    sketches = S.lookahead_sketches(S.labelled_index(_index(spark, d, "url_tree"), nodes), size=1000, discount=0.5, run_length=2)
+    return sketches.select("tree_id", "u", F.array_join("token", ">").alias("run"), F.round("mass", 6).alias("mass"))

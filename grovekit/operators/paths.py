@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grovekit.functions import kernels
-from grovekit.operators.trees import packed, tree_index
+from grovekit.operators.sketches import sketch_overlap
+from grovekit.operators.trees import packed
 from grovekit.operators.weights import KeyedWeight
 from grovekit.sources.storage import checkpointed
 
@@ -134,3 +135,144 @@ def checked(matches: DataFrame, nodes: DataFrame, index: DataFrame, weight: Keye
     nested = placed(worth, index).withColumn("ok", F.coalesce(below("u") & below("v"), F.lit(True)))
     sums = nested.groupBy("g", "h").agg(F.sum("w").alias("score"), F.min("ok").alias("nested"))
     return matches.select("g", "h").join(sums, ["g", "h"], "left").select("g", "h", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("nested", F.lit(True)).alias("nested"))
+
+
+Hook = Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Beam:
+    """How a beam goes on. ``width`` states a pair of trees and layer, ``expansion`` continuations a state (None: all).
+
+    A candidate's priority is its weight + rarity * how rare its labels are + future * what may follow - gap * levels left out - balance * difference of the steps,
+    + look * its look-ahead; a state's is its score + state_future * what may follow + look * its look-ahead + length * its pairs. ``candidate_priority`` and ``state_priority``
+    get that column and give the one that counts; they may use the other columns of the rows (u, v, w, rarity, gap, balance, future, lookahead, score, layer).
+    ``expand`` gives the continuations of the frontier itself: it gets rows (g, h, state, u, v, score) and returns rows (g, h, state, u, v, w).
+    """
+
+    width: int = 200
+    expansion: int | None = 64
+    least: float = 0.0
+    rarity: float = 0.25
+    future: float = 0.03
+    state_future: float = 0.20
+    gap: float = 0.03
+    balance: float = 0.01
+    look: float = 0.35
+    length: float = 0.0
+    layers: int | None = None
+    bounded: bool = True
+    candidate_priority: Hook | None = None
+    state_priority: Hook | None = None
+    expand: Callable[[DataFrame], DataFrame] | None = None
+
+    def __post_init__(self):
+        if self.width < 1 or (self.expansion is not None and self.expansion < 1):
+            raise ValueError("a beam needs room for a state and a continuation")
+        if self.layers is not None and self.layers < 0:
+            raise ValueError("layers can't be negative")
+
+
+def _described(matches: DataFrame, labelled: DataFrame, sketches: list[tuple[DataFrame, float]], weights: DataFrame | None) -> DataFrame:
+    """``matches(g, h, u, v, w)`` with places and depths, rarity, future (what may follow at most) and lookahead."""
+    size = labelled.groupBy("tree_id").agg(F.count("*").cast("double").alias("n"))
+    held = labelled.groupBy("tree_id", "label").agg(F.count("*").alias("f"))
+    rows = placed(matches, labelled, "depth", "height", "label")
+    for tree, side in (("g", "u"), ("h", "v")):
+        rows = rows.join(size.select(F.col("tree_id").alias(tree), F.col("n").alias(f"n_{side}")), tree)
+        counts = held.select(F.col("tree_id").alias(tree), F.col("label").alias(f"l_{side}"), F.col("f").alias(f"f_{side}"))
+        rows = rows.join(counts, (rows[tree] == counts[tree]) & rows[f"label_{side}"].eqNullSafe(counts[f"l_{side}"])).drop(counts[tree], f"l_{side}")
+    nodes = F.col("n_u") * F.col("n_v")
+    rarity = F.greatest(F.lit(0.0), F.log(F.greatest(F.lit(1.0), nodes / (F.col("f_u") * F.col("f_v")))) / F.log(F.greatest(F.lit(2.0), nodes)))
+    most = F.max("w").over(W.partitionBy("g", "h"))
+    rows = rows.withColumn("rarity", rarity).withColumn("future", F.least("height_u", "height_v") * most)
+    look = F.lit(0.0)
+    for number, (sketch, share) in enumerate(sketches):
+        found = sketch_overlap(rows, sketch, weights).withColumnRenamed("look", f"look_{number}")
+        rows = rows.join(found, ["g", "h", "u", "v"], "left")
+        look = look + share * F.coalesce(f"look_{number}", F.lit(0.0))
+    return rows.withColumn("lookahead", F.least(look, F.col("future"))).select(
+        "g", "h", "u", "v", "w", "tin_u", "tout_u", "tin_v", "tout_v", "depth_u", "depth_v", "rarity", "future", "lookahead"
+    )
+
+
+def _kept(column: Column) -> Column:
+    """A priority that is not a finite number takes its row out."""
+    return column.isNotNull() & ~F.isnan(column) & (F.abs(column) < F.lit(float("inf")))
+
+
+def beam_matches(matches: DataFrame, labelled: DataFrame, beam: Beam | None = None, sketches: list[tuple[DataFrame, float]] | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """(g, h, score, pairs): the best chain that a beam finds among ``matches(g, h, u, v, w)``, layer by layer for all pairs of trees at once.
+
+    ``labelled`` is the tree index with labels; ``sketches`` are look-ahead sketches and their shares. A layer joins the frontier with the matches strictly below its states,
+    keeps the best continuations of a state, the best state of a pair of end nodes, and the best states of a pair of trees; with ``bounded`` also only states that may still
+    beat the best score so far, by what may follow at most (the lower node's height times the largest weight), which never loses a better chain that would be kept. With enough width the score
+    is that of the exact match. Pairs of trees without a match have no row. Ties: the higher score, then the earlier continuation by priority, weight, u and v.
+    """
+    beam = beam or Beam()
+    some = checkpointed(_described(matches.where(F.col("w") > beam.least), labelled, (sketches or []) if beam.look else [], weights))
+    heights = labelled.groupBy("tree_id").agg((F.max("height") + 1).alias("levels"))
+    pair = some.select("g", "h").distinct().join(heights.withColumnRenamed("tree_id", "g").withColumnRenamed("levels", "a"), "g").join(heights.withColumnRenamed("tree_id", "h").withColumnRenamed("levels", "b"), "h")
+    most = pair.agg(F.max(F.least("a", "b"))).collect()[0][0] or 0
+    layers = most if beam.layers is None else beam.layers
+    nothing = F.lit(None).cast("int")
+    frontier = some.select("g", "h").distinct().select(
+        "g", "h", F.lit(1).alias("state"), nothing.alias("u"), nothing.alias("v"), F.lit(-1).alias("tin_u"), F.lit(1 << 30).alias("tout_u"), F.lit(-1).alias("tin_v"),
+        F.lit(1 << 30).alias("tout_v"), F.lit(-1).alias("depth_u"), F.lit(-1).alias("depth_v"), F.lit(0.0).alias("score"), F.lit(0.0).alias("best"), F.array().cast(PAIRS).alias("pairs"),
+    )
+    found = frontier.select("g", "h", "score", "pairs", F.lit(0).alias("layer"), "state")
+    for layer in range(layers):
+        now = frontier.select(*[F.col(c).alias(f"p_{c}" if c not in ("g", "h", "state", "best", "pairs") else c) for c in frontier.columns])
+        if beam.expand is None:
+            inside = (F.col("tin_u") > F.col("p_tin_u")) & (F.col("tin_u") < F.col("p_tout_u")) & (F.col("tin_v") > F.col("p_tin_v")) & (F.col("tin_v") < F.col("p_tout_v"))
+            reached = now.join(some, ["g", "h"]).where(inside)
+        else:
+            reached = _expanded(beam, frontier, now, some, labelled)
+        gap = (F.col("depth_u") - F.col("p_depth_u") - 1) + (F.col("depth_v") - F.col("p_depth_v") - 1)
+        balance = F.abs((F.col("depth_u") - F.col("p_depth_u")) - (F.col("depth_v") - F.col("p_depth_v")))
+        reached = reached.withColumn("gap", gap).withColumn("balance", balance).withColumn("score", F.col("p_score") + F.col("w")).withColumn("layer", F.lit(layer + 1))
+        priority = F.col("w") + beam.rarity * F.col("rarity") + beam.future * F.col("future") + beam.look * F.col("lookahead") - beam.gap * F.col("gap") - beam.balance * F.col("balance")
+        reached = reached.withColumn("priority", (beam.candidate_priority or (lambda c: c))(priority)).where(_kept(F.col("priority")))
+        order = [F.desc("priority"), F.desc("w"), F.col("u"), F.col("v")]
+        reached = reached.withColumn("place", F.row_number().over(W.partitionBy("g", "h", "state").orderBy(*order)))
+        if beam.expansion is not None:
+            reached = reached.where(F.col("place") <= beam.expansion)
+        ahead = F.row_number().over(W.partitionBy("g", "h", "u", "v").orderBy(F.desc("score"), "state", "place"))
+        states = reached.withColumn("ahead", ahead).where("ahead = 1").withColumn("best", F.greatest("best", F.max("score").over(W.partitionBy("g", "h"))))
+        value = F.col("score") + beam.state_future * F.col("future") + beam.look * F.col("lookahead") + beam.length * F.col("layer")
+        states = states.withColumn("value", (beam.state_priority or (lambda c: c))(value)).withColumn("pairs", F.concat("pairs", F.array(F.struct(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v")))))
+        states = checkpointed(states.withColumn("earlier", F.struct("state", "place")))
+        found = found.unionByName(states.select("g", "h", "score", "pairs", "layer", "state"))
+        going = states.where(_kept(F.col("value")))
+        if beam.bounded and beam.expand is None:
+            going = going.where(F.col("score") + F.col("future") > F.col("best"))
+        rank = F.row_number().over(W.partitionBy("g", "h").orderBy(F.desc("value"), F.desc("score"), "earlier"))
+        frontier = checkpointed(going.withColumn("state", rank).where(F.col("state") <= beam.width).select(*frontier.columns))
+        if frontier.isEmpty():
+            break
+    best = found.where("layer > 0").groupBy("g", "h").agg(F.min(F.struct((-F.col("score")).alias("s"), "layer", "state", "pairs")).alias("x"))
+    return best.select("g", "h", (-F.col("x.s")).alias("score"), F.col("x.pairs").alias("pairs"))
+
+
+def _expanded(beam: Beam, frontier: DataFrame, now: DataFrame, some: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The continuations that ``beam.expand`` names; nodes that a tree doesn't have are an error, pairs that don't lie below their state are left out."""
+    named = checkpointed(beam.expand(frontier.select("g", "h", "state", "u", "v", "score")).select("g", "h", "state", "u", "v", F.col("w").cast("double").alias("w")))
+    kept = placed(named, labelled, "depth")
+    if named.count() != kept.count():
+        raise ValueError("a continuation lies outside tree bounds")
+    known = some.select("g", "h", "u", "v", "rarity", "future", "lookahead")
+    joined = now.join(kept.where(F.col("w") > beam.least), ["g", "h", "state"]).join(known, ["g", "h", "u", "v"], "left").fillna(0.0, ["rarity", "future", "lookahead"])
+    return joined.where("tin_u > p_tin_u AND tin_u < p_tout_u AND tin_v > p_tin_v AND tin_v < p_tout_v")
+
+
+def beam_matches_symmetric(matches: DataFrame, labelled: DataFrame, beam: Beam | None = None, sketches: list[tuple[DataFrame, float]] | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """The better of the beam on (g, h) and on (h, g); the reverse one only if it is strictly better. With ``expand`` only the first, as that names nodes by side."""
+    forward = beam_matches(matches, labelled, beam, sketches, weights)
+    if beam is not None and beam.expand is not None:
+        return forward
+    turned = matches.select(F.col("h").alias("g"), F.col("g").alias("h"), F.col("v").alias("u"), F.col("u").alias("v"), "w")
+    back = beam_matches(turned, labelled, beam, sketches, weights)
+    back = back.select(F.col("h").alias("g"), F.col("g").alias("h"), "score", F.transform("pairs", lambda p: F.struct(p["v"].alias("u"), p["u"].alias("v"))).cast(PAIRS).alias("pairs"))
+    both = forward.withColumn("way", F.lit(0)).unionByName(back.withColumn("way", F.lit(1)))
+    best = both.groupBy("g", "h").agg(F.min(F.struct((-F.col("score")).alias("s"), "way", "pairs")).alias("x"))
+    return best.select("g", "h", (-F.col("x.s")).alias("score"), F.col("x.pairs").alias("pairs"))
