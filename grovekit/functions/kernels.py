@@ -156,34 +156,129 @@ def template_matches(g: np.ndarray, h: np.ndarray, weight: np.ndarray, penalty:
 
 def ordered_subtree(g: np.ndarray, h: np.ndarray, weight: np.ndarray) -> float:
     """Best ordered embedding from the roots: a pair's weight and the best order-preserving matching of the children, or going down on one side."""
-    return _subtree(g, h, weight, _chain_of_children)
+    return float(subtree_table(g, h, weight)[0, 0]) if weight.size else 0.0
 
 
 def unordered_subtree(g: np.ndarray, h: np.ndarray, weight: np.ndarray) -> float:
     """The same with the children's order ignored: a maximum-weight assignment."""
-    return _subtree(g, h, weight, lambda table: assignment(table)[0])
+    return float(subtree_table(g, h, weight, ordered=False)[0, 0]) if weight.size else 0.0
 
 
-def _subtree(g, h, weight, inner) -> float:
-    kids = [[[] for _ in p] for p in (g, h)]
-    for side, p in enumerate((g, h)):
-        for u in range(1, len(p)):
-            kids[side][p[u]].append(u)
-    best = np.zeros((len(g), len(h)))
-    for u in range(len(g) - 1, -1, -1):
-        for v in range(len(h) - 1, -1, -1):
-            a, b = kids[0][u], kids[1][v]
-            top = weight[u, v] + (inner(best[np.ix_(a, b)]) if a and b else 0.0)
-            top = max(top, best[a, v].max() if a else top, best[u, b].max() if b else top)
-            best[u, v] = top
-    return float(best[0, 0]) if best.size else 0.0
+def children(parent: np.ndarray, rank: np.ndarray | None = None) -> list[np.ndarray]:
+    """Each node's children, by ``rank`` and then by number."""
+    rank = np.arange(len(parent)) if rank is None else rank
+    order = np.lexsort((np.arange(len(parent)), rank, parent))
+    starts = np.searchsorted(parent[order], np.arange(len(parent) + 1))
+    return [order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def heights(parent: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(parent), np.int64)
+    for level in reversed(levels(parent)):
+        below = level[parent[level] >= 0]
+        np.maximum.at(out, parent[below], out[below] + 1)
+    return out
+
+
+#: The children of the smaller side up to which their assignment goes over all subsets at once; above, by augmenting paths.
+SUBSETS = 6
+
 
+def subtree_table(g: np.ndarray, h: np.ndarray, weight: np.ndarray, ordered: bool = True, ranks: tuple = (None, None)) -> np.ndarray:
+    """The best embeddings of all subtrees of G and H, by node and node: (n, m).
 
-def _chain_of_children(table: np.ndarray) -> float:
-    row = np.zeros(table.shape[1] + 1)
-    for r in table:
-        row = np.maximum.accumulate(np.maximum(row, np.concatenate(([0.0], row[:-1] + r))))
-    return float(row[-1])
+    Nodes are taken by height, and of one height those with as many children together: a block of G's nodes and a block of H's share every step. ``ranks`` order
+    the children (timestamps, say); without them their numbers do.
+    """
+    kids, sides = [children(g, ranks[0]), children(h, ranks[1])], []
+    for parent, own in zip((g, h), kids, strict=True):
+        height, blocks = heights(parent), {}
+        for u in range(len(parent)):
+            blocks.setdefault((height[u], len(own[u])), []).append(u)
+        sides.append([(np.array(nodes), np.array([own[u] for u in nodes]).reshape(len(nodes), -1)) for _, nodes in sorted(blocks.items())])
+    table = np.zeros((len(g), len(h)))
+    for us, below_u in sides[0]:
+        deeper = table[below_u].max(axis=1) if below_u.size else np.full((len(us), len(h)), -np.inf)  # u left out
+        for vs, below_v in sides[1]:
+            best = weight[np.ix_(us, vs)].astype(float)
+            if below_u.size and below_v.size:
+                problems = table[below_u[:, None, :, None].astype(int), below_v[None, :, None, :].astype(int)]
+                best = best + (_best_chains(problems) if ordered else _best_assignments(problems))
+            best = np.maximum(best, deeper[:, vs])
+            if below_v.size:
+                best = np.maximum(best, table[us[:, None, None], below_v[None, :, :]].max(axis=2))
+            table[np.ix_(us, vs)] = best
+    return table
+
+
+def _best_chains(problems: np.ndarray) -> np.ndarray:
+    """Heaviest order-preserving matchings; problems are (..., rows, columns)."""
+    row = np.zeros((*problems.shape[:-2], problems.shape[-1] + 1))
+    for i in range(problems.shape[-2]):
+        taken = np.concatenate([np.zeros((*row.shape[:-1], 1)), row[..., :-1] + problems[..., i, :]], axis=-1)
+        row = np.maximum.accumulate(np.maximum(row, taken), axis=-1)
+    return row[..., -1]
+
+
+def _best_assignments(problems: np.ndarray) -> np.ndarray:
+    """Heaviest matchings without order."""
+    if problems.shape[-2] < problems.shape[-1]:
+        problems = problems.swapaxes(-1, -2)
+    long, short = problems.shape[-2:]
+    if short > SUBSETS:
+        flat = problems.reshape(-1, long, short)
+        return np.array([assignment(p)[0] for p in flat]).reshape(problems.shape[:-2])
+    masks = np.arange(1 << short)
+    best = np.zeros((*problems.shape[:-2], 1 << short))
+    for i in range(long):
+        now = best.copy()
+        for j in range(short):
+            with_j = masks[masks >> j & 1 == 1]
+            now[..., with_j] = np.maximum(now[..., with_j], best[..., with_j ^ (1 << j)] + problems[..., i, j, None])
+        best = now
+    return best[..., -1]
+
+
+def _chain_pairs(table: np.ndarray) -> list[tuple[int, int]]:
+    """Rows and columns of a heaviest order-preserving matching; ties take the pair, then leave the column."""
+    n, m = table.shape
+    best = np.zeros((n + 1, m + 1))
+    for i in range(n):
+        best[i + 1] = np.maximum.accumulate(np.maximum(best[i], np.concatenate(([0.0], best[i, :-1] + table[i]))))
+    i, j, pairs = n, m, []
+    while i and j:
+        if best[i, j] == best[i - 1, j - 1] + table[i - 1, j - 1]:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i -= 1
+    return pairs[::-1]
+
+
+def subtree_matches(g: np.ndarray, h: np.ndarray, weight: np.ndarray, roots: list[tuple[int, int]], ordered: bool = True, ranks: tuple = (None, None)) -> list[tuple[float, list[tuple[int, int]]]]:
+    """The score and the pairs for each of the ``roots`` (u, v), from one table. A pair whose children are matched belongs to the result even if it weighs
+    nothing; ties: a pair at both roots, then leaving u, then leaving v."""
+    if not weight.size:
+        return [(0.0, []) for _ in roots]
+    table, kids, out = subtree_table(g, h, weight, ordered, ranks), (children(g, ranks[0]), children(h, ranks[1])), []
+    for root in roots:
+        open_pairs, pairs = [root], []
+        while open_pairs:
+            u, v = open_pairs.pop()
+            a, b = kids[0][u], kids[1][v]
+            own = table[np.ix_(a, b)]
+            inner = [] if not own.size else _chain_pairs(own) if ordered else assignment(own)[1]
+            if np.isclose(table[u, v], weight[u, v] + sum(own[i, j] for i, j in inner), rtol=1e-12, atol=1e-9):
+                pairs.append((u, v))
+                open_pairs += [(int(a[i]), int(b[j])) for i, j in inner]
+            elif len(a) and table[a, v].max() == table[u, v]:
+                open_pairs.append((int(a[table[a, v].argmax()]), v))
+            else:
+                open_pairs.append((u, int(b[table[u, b].argmax()])))
+        out.append((float(table[root]), sorted(pairs)))
+    return out
 
 
 def assignment(weight: np.ndarray) -> tuple[float, list[tuple[int, int]]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from grovekit.operators import collections as C
 from grovekit.operators import paths as P
 from grovekit.operators import sketches as S
+from grovekit.operators import subtrees as U
 from grovekit.operators import trees as T
 from grovekit.operators.weights import KeyedWeight, label_keys, node_matches
 from grovekit.registry import _CHAIN, _KEYS, _URL, _neighbours, _pairs_sql, _TOP, _url_keys, _walk, _ANC, query
@@ -77,3 +78,56 @@ def lookahead_runs(spark, d):
     nodes = view(spark, d, "url_tree")
     sketches = S.lookahead_sketches(S.labelled_index(_index(spark, d, "url_tree"), nodes), size=1000, discount=0.5, run_length=2)
     return sketches.select("tree_id", "u", F.array_join("token", ">").alias("run"), F.round("mass", 6).alias("mass"))
+
+
+_FLAT = "f AS (SELECT CAST(tree_id AS VARCHAR) AS tree_id, u, label FROM {url_tree} WHERE parent < 1), "
+_BEST = _TOP + ", p AS (SELECT DISTINCT least(g, h) AS g, greatest(g, h) AS h FROM r WHERE rank <= 5), " + _FLAT
+#: What a root may weigh on its own: equal labels of the two roots, or of a root and a child of the other one.
+_ALONE = """alone AS (SELECT p.g, p.h, CAST(max(CASE WHEN a.label = b.label AND (a.u = 0 OR b.u = 0) THEN 1 ELSE 0 END) AS DOUBLE) AS one,
+  CAST(max(CASE WHEN a.label = b.label AND a.u = 0 AND b.u = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS roots FROM p JOIN f a ON a.tree_id = p.g JOIN f b ON b.tree_id = p.h GROUP BY ALL)"""
+
+
+def _flat(spark, d):
+    """Hosts and the first parts of their paths: trees of height 1."""
+    return view(spark, d, "url_tree").where("parent < 1")
+
+
+@query(_BEST + _ALONE + """, eq AS (SELECT p.g, p.h, a.u, b.u AS v FROM p JOIN f a ON a.tree_id = p.g JOIN f b ON b.tree_id = p.h AND b.label = a.label WHERE a.u > 0 AND b.u > 0),
+ runs(g, h, u, v, len) AS (SELECT g, h, u, v, 1 FROM eq UNION SELECT eq.g, eq.h, eq.u, eq.v, runs.len + 1 FROM runs JOIN eq ON eq.g = runs.g AND eq.h = runs.h AND eq.u > runs.u AND eq.v > runs.v),
+ longest AS (SELECT g, h, max(len) AS len FROM runs GROUP BY g, h)
+ SELECT alone.g, alone.h, CAST(greatest(one, roots + coalesce(len, 0)) AS DOUBLE) AS score FROM alone LEFT JOIN longest USING (g, h)""")
+def subtree_ordered_flat(spark, d):
+    """On trees of height 1 an ordered match is a common subsequence of the children."""
+    return U.subtree_matches(_neighbours(spark, d), _flat(spark, d)).select("g", "h", "score")
+
+
+@query(_BEST + _ALONE + """, kinds AS (SELECT tree_id, label, count(*) AS cnt FROM f WHERE u > 0 GROUP BY ALL),
+ common AS (SELECT p.g, p.h, sum(least(a.cnt, b.cnt)) AS cnt FROM p JOIN kinds a ON a.tree_id = p.g JOIN kinds b ON b.tree_id = p.h AND b.label = a.label GROUP BY ALL)
+ SELECT alone.g, alone.h, CAST(greatest(one, roots + coalesce(cnt, 0)) AS DOUBLE) AS score FROM alone LEFT JOIN common USING (g, h)""")
+def subtree_unordered_flat(spark, d):
+    """On trees of height 1 an unordered match is what the children's labels have in common, with their numbers."""
+    return U.subtree_matches(_neighbours(spark, d), _flat(spark, d), ordered=False).select("g", "h", "score")
+
+
+@query(_pairs_sql("conv_chain", "1").replace("k AS (", "k AS MATERIALIZED (") + "SELECT g, h, score FROM scores WHERE CAST(g AS BIGINT) % 5 = CAST(h AS BIGINT) % 5")
+def subtree_chains(spark, d):
+    """On chains a subtree match is a path match."""
+    nodes = view(spark, d, "conv_chain")
+    ids = nodes.select(F.col("tree_id").cast("string").alias("g"), (F.col("tree_id") % 5).alias("k")).distinct()
+    pairs = ids.join(ids.withColumnRenamed("g", "h"), "k").where("g < h")
+    return U.subtree_matches(pairs, nodes).select("g", "h", "score")
+
+
+@query(_TOP + """, p AS (SELECT DISTINCT least(g, h) AS g, greatest(g, h) AS h FROM r WHERE rank <= 5) SELECT p.g, p.h, true AS worth, true AS kept FROM p""")
+def subtree_pairs(spark, d):
+    """The pairs of a match add up to its score, and what lies below on one side lies below on the other."""
+    nodes = view(spark, d, "url_tree")
+    found = U.subtree_matches(_neighbours(spark, d), nodes, ordered=False)
+    steps = found.select("g", "h", "score", F.explode_outer("pairs").alias("p")).select("g", "h", "score", F.col("p.u").alias("u"), F.col("p.v").alias("v"))
+    labels = nodes.select(F.col("tree_id").cast("string").alias("t"), F.col("u").alias("n"), "label")
+    worth = P.placed(steps, _index(spark, d, "url_tree")).join(labels.select(F.col("t").alias("g"), F.col("n").alias("u"), F.col("label").alias("a")), ["g", "u"]).join(labels.select(F.col("t").alias("h"), F.col("n").alias("v"), F.col("label").alias("b")), ["h", "v"])
+    other = worth.select("g", "h", *[F.col(c).alias(f"o_{c}") for c in ("tin_u", "tout_u", "tin_v", "tout_v")])
+    below = lambda s: (F.col(f"o_tin_{s}") > F.col(f"tin_{s}")) & (F.col(f"o_tin_{s}") < F.col(f"tout_{s}"))
+    nests = worth.join(other, ["g", "h"]).groupBy("g", "h").agg(F.min(below("u") == below("v")).alias("kept"))
+    sums = worth.groupBy("g", "h").agg((F.sum((F.col("a") == F.col("b")).cast("double")) == F.first("score")).alias("worth"))
+    return found.select("g", "h", "score").join(sums, ["g", "h"], "left").join(nests, ["g", "h"], "left").select("g", "h", F.coalesce("worth", F.col("score") == 0).alias("worth"), F.coalesce("kept", F.lit(True)).alias("kept"))

@@ -77,6 +77,41 @@ def path_matches(pairs: DataFrame, nodes: DataFrame, weight: KeyedWeight | None
     return wanted.join(left, "g").join(right, "h").mapInArrow(run, MATCHES)
 
 
+def template_matches(nodes: DataFrame, template: list, penalty: float = 0.0, mismatch: float = -100.0) -> DataFrame:
+    """(tree_id, score, pairs) of every tree against one path of labels whose places may be used again in order, each further use for ``penalty``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = np.arange(-1, len(template) - 1)
+        for batch in batches:
+            ids, parents, labels = (batch.column(c).to_pylist() for c in ("tree_id", "parent", "label"))
+            found = [kernels.template_matches(np.array(p), h, np.array([[1.0 if a == b else mismatch for b in template] for a in own]).reshape(len(own), -1), penalty) for p, own in zip(parents, labels, strict=True)]
+            pairs = pa.array([[{"u": u, "v": v} for u, v in f[1]] for f in found], PAIR_TYPE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([f[0] for f in found], pa.float64()), pairs], names=["tree_id", "score", "pairs"])
+
+    return packed(nodes).mapInArrow(run, f"tree_id string, score double, pairs {PAIRS}")
+
+
+def reference_matches(nodes: DataFrame, reference: list, weights: list[float], combine="add", rule=None, every_place: bool = False) -> DataFrame:
+    """(tree_id, score, pairs) of every tree's best path from its root against a weighted list of symbols; a pair is a node and a place of the list.
+
+    A label that is a struct of (symbol, weight) rows, or an array of them, offers each; a plain label offers itself. ``combine`` and ``rule`` as in the kernel.
+    """
+
+    def offers(label) -> list[tuple]:
+        if isinstance(label, list):
+            return [tuple(x.values()) if isinstance(x, dict) else (x, None) for x in label]
+        return [tuple(label.values())] if isinstance(label, dict) else [(label, None)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parents, labels = (batch.column(c).to_pylist() for c in ("tree_id", "parent", "label"))
+            found = [kernels.reference_matches(np.array(p), [offers(t) for t in own], reference, weights, combine, rule, every_place) for p, own in zip(parents, labels, strict=True)]
+            pairs = pa.array([[{"u": u, "v": place} for u, place, _ in f[1]] for f in found], PAIR_TYPE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([f[0] for f in found], pa.float64()), pairs], names=["tree_id", "score", "pairs"])
+
+    return packed(nodes).mapInArrow(run, f"tree_id string, score double, pairs {PAIRS}")
+
+
 def placed(matches: DataFrame, index: DataFrame, *extra: str) -> DataFrame:
     """``matches(g, h, u, v, w)`` with both nodes' tin and tout, and the ``extra`` columns of ``index``, as tin_u, tin_v and so on."""
     columns = ["tin", "tout", *extra]
