@@ -80,18 +80,14 @@ def denoise(sequences: list[Tokens], rounds: int = 1, seed: int = 0) -> list[lis
     return now
 
 
-def replicated(weights: Sequence[float], target: int = 96, most: int = 192) -> list[int]:
-    """Copies of each sequence by largest remainders, one at least; equal remainders go by place; cut where the sum reaches ``most``."""
+def replicated(weights: Sequence[float], target: int = 96) -> list[int]:
+    """Copies of each sequence by largest remainders, one at least (so more than ``target`` if there are more sequences); equal remainders go by place."""
     total = sum(weights) or 1.0
     raw = [target * w / total for w in weights]
     copies = [int(x) for x in raw]
     for i in sorted(range(len(raw)), key=lambda i: (copies[i] - raw[i], i))[: max(0, target - sum(copies))]:
         copies[i] += 1
-    out, left = [], most
-    for c in copies:
-        out.append(min(max(1, c), left))
-        left -= out[-1]
-    return out
+    return [max(1, c) for c in copies]
 
 
 def medoid(sequences: list[Tokens], weights: Sequence[float], length_penalty: float = 0.0) -> tuple[int, float]:

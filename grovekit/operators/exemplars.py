@@ -1,19 +1,16 @@
-"""Exemplars of sequence bags ``(cluster, seq, weight, cnt)``: consensus and likelihood per cluster, and how good an exemplar is. seq is an array of tokens.
+"""Exemplars of sequence bags ``(cluster, seq, weight, cnt)``: medoid, consensus and likelihood per cluster, and how good an exemplar is. seq is an array of tokens.
 
-A cluster's exemplar needs its whole bag in one task (a bag holds distinct sequences only). ``most`` bounds the sequences a kernel
-aligns: beyond it the bag is replaced by copies in proportion to the weights, as expand_bag does.
+Every sequence of a bag counts, and no task holds a bag: medoids come from pairs that are dealt out, consensus and likelihood from sums by place.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grovekit.functions import likelihood, sequences
-
-EXEMPLAR = "cluster string, seq array<string>, value double"
+from grovekit.operators.collections import medoids
+from grovekit.operators.masters import fitted_masters
 
 
 def sequences_by_cluster(pairs: DataFrame) -> DataFrame:
@@ -63,50 +60,39 @@ def truth_diagnostics(bags: DataFrame, truths: DataFrame, distance: Column) -> D
     return met.groupBy("cluster").agg((1 - F.count("*") / F.sum("cnt")).alias("duplicates"), F.max(F.col("seq") == F.col("exemplar")).alias("present"), F.min(distance).alias("best_edit"))
 
 
-def _per_cluster(bags: DataFrame, kernel) -> DataFrame:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(seq=[tuple(s) for s in frame["seq"]]).sort_values("seq")
-        best, value = kernel([list(s) for s in frame["seq"]], frame["weight"].tolist())
-        return pd.DataFrame({"cluster": [str(frame["cluster"].iloc[0])], "seq": [list(best)], "value": [float(value)]})
-
-    return bags.select("cluster", "seq", "weight").groupBy("cluster").applyInPandas(run, EXEMPLAR)
-
-
-def expanded(bag: list[list], weights: list[float], target: int = 96, most: int = 192) -> list[list]:
-    return [s for s, n in zip(bag, sequences.replicated(weights, target, most), strict=True) for _ in range(n)]
-
-
-def medoid_exemplars(bags: DataFrame, length_penalty: float = 0.0) -> DataFrame:
-    def kernel(bag, weights):
-        at, value = sequences.medoid(bag, weights, length_penalty)
-        return bag[at], value
+def as_text(bags: DataFrame) -> DataFrame:
+    """``bags`` with ``text``: each token of ``seq`` as one character, by the token's rank in its cluster, so that built-in distances of texts are those of the sequences."""
+    tokens = bags.select("cluster", F.explode("seq").alias("token")).distinct()
+    rank = F.dense_rank().over(W.partitionBy("cluster").orderBy("token"))
+    letters = tokens.select("cluster", "token", F.decode(F.unhex(F.lpad(F.hex(rank + 0xFF), 4, "0")), "UTF-16BE").alias("letter"))  # from U+0100 on
+    spelled = letters.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("token", "letter"))).alias("letters"))
+    return bags.join(spelled, "cluster", "left").withColumn("text", F.array_join(F.transform("seq", lambda t: F.col("letters")[t]), "")).drop("letters")
 
-    return _per_cluster(bags, kernel)
 
+def medoid_exemplars(bags: DataFrame) -> DataFrame:
+    """(cluster, seq, value): the sequence of the least weighted edit distance to its bag, ties to the smaller one by its tokens."""
+    spelled = as_text(bags.groupBy("cluster", "seq").agg(F.sum("weight").alias("weight")))
+    found = medoids(spelled.select("cluster", F.col("text").alias("seq"), "weight"))
+    return found.withColumnRenamed("seq", "text").join(spelled.select("cluster", "text", "seq"), ["cluster", "text"]).select(F.col("cluster").cast("string").alias("cluster"), "seq", F.col("objective").alias("value"))
 
-def consensus_exemplars(bags: DataFrame, seed: str = "medoid", order: str = "closest_first", threshold: float = 1.0, rounds: int = 0, most: int = 192) -> DataFrame:
-    """Progressive consensus of each bag, after ``rounds`` rounds of denoising; value is the weighted mean distance to the bag."""
 
-    def kernel(bag, weights):
-        rows, w = bag, weights
-        if rounds or len(bag) > most:
-            rows = sequences.denoise(expanded(bag, weights, most=most), rounds)
-            w = [1.0] * len(rows)
-        best = sequences.progressive_consensus(rows, w, seed, order, threshold)
-        return best, sum(x * sequences.edit_distance(best, s) for s, x in zip(bag, weights, strict=True)) / sum(weights)
+def consensus_exemplars(bags: DataFrame, threshold: float = 1.0, rounds: int = 8) -> DataFrame:
+    """(cluster, seq, value): the consensus of all sequences of a bag (see ``masters``); value is their weighted mean edit distance to it.
 
-    return _per_cluster(bags, kernel)
-
-
-def likelihood_exemplars(bags: DataFrame, init: str = "medoid", restarts: int = 1, steps: int = 0, eps: float = 0.05, seed: int = 0, most: int = 192) -> DataFrame:
-    """The likeliest master of each bag under the indel model; value is its log-likelihood. eps = 0: the simple model."""
-
-    def kernel(bag, weights):
-        rows, w = (bag, weights) if len(bag) <= most else (expanded(bag, weights, most=most), None)
-        master, _, value = likelihood.search_master(rows, w, init, restarts=restarts, steps=steps, eps=eps, seed=seed)
-        return master, value
-
-    return _per_cluster(bags, kernel)
+    A place stays if its emitted weight is at least ``threshold`` times the weight that leaves it out.
+    """
+    found = fitted_masters(bags, rounds=rounds, threshold=threshold).select("cluster", "seq")
+    own = bags.select(F.col("cluster").cast("string").alias("cluster"), "seq", "weight")
+    spelled = as_text(own.unionByName(found.withColumn("weight", F.lit(None).cast("double"))))
+    texts = spelled.where("weight IS NULL").select("cluster", F.col("seq").alias("best"), F.col("text").alias("exemplar"))
+    met = spelled.where("weight IS NOT NULL").join(texts, "cluster")
+    mean = F.sum(F.col("weight") * F.levenshtein("text", "exemplar")) / F.sum("weight")
+    return met.groupBy("cluster").agg(F.first("best").alias("seq"), mean.alias("value"))
+
+
+def likelihood_exemplars(bags: DataFrame, rounds: int = 8, eps: float = 0.05) -> DataFrame:
+    """(cluster, seq, value): the likeliest master of all sequences of a bag under the indel model; value is their weighted log probability. eps = 0: the simple model."""
+    return fitted_masters(bags, rounds=rounds, eps=eps).select("cluster", "seq", "value")
 
 
 def exemplars_frame(exemplars: DataFrame) -> DataFrame:

@@ -381,12 +381,12 @@ def bag_raw_sequences(spark, d):
 
 @query()
 def consensus_exemplars(spark, d):
-    return E.consensus_exemplars(_tokens(spark, d), most=64)
+    return E.consensus_exemplars(_tokens(spark, d))
 
 
 @query()
 def likelihood_exemplars(spark, d):
-    return E.likelihood_exemplars(_tokens(spark, d), most=24)
+    return E.likelihood_exemplars(_tokens(spark, d))
 
 
 @query()
