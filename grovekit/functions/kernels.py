@@ -14,6 +14,14 @@ def levels(parent: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1))) if len(parent) else []
 
 
+def heaviest_path(parent: np.ndarray, weight: np.ndarray) -> float:
+    """The largest sum of weights (none below 0) from a root down: the path score of a tree with itself."""
+    total = np.maximum(weight, 0.0)
+    for level in levels(parent)[1:]:
+        total[level] += total[parent[level]]
+    return float(total.max(initial=0.0))
+
+
 def forest(parents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Several trees as one parent array (roots -1), and where each begins."""
     starts = np.cumsum([0, *map(len, parents)])

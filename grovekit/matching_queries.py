@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovekit.operators import collections as C
+from grovekit.operators import matching as M
+from grovekit.operators import neighbours as N
 from grovekit.operators import paths as P
 from grovekit.operators import sketches as S
 from grovekit.operators import subtrees as U
@@ -131,3 +133,55 @@ def subtree_pairs(spark, d):
     nests = worth.join(other, ["g", "h"]).groupBy("g", "h").agg(F.min(below("u") == below("v")).alias("kept"))
     sums = worth.groupBy("g", "h").agg((F.sum((F.col("a") == F.col("b")).cast("double")) == F.first("score")).alias("worth"))
     return found.select("g", "h", "score").join(sums, ["g", "h"], "left").join(nests, ["g", "h"], "left").select("g", "h", F.coalesce("worth", F.col("score") == 0).alias("worth"), F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+#: Token shares of event trees, their cosines, and a recursive choice of the farthest tree, unrolled.
+_COSINES = """f AS (SELECT CAST(tree_id AS VARCHAR) AS tree_id, token, CAST(count(*) AS DOUBLE) AS value FROM {event_tokens} GROUP BY ALL),
+ l AS (SELECT tree_id, sqrt(sum(value * value)) AS len FROM f GROUP BY tree_id), x AS (SELECT tree_id, token, value / len AS value FROM f JOIN l USING (tree_id))"""
+
+
+def _event_features(spark, d):
+    return N.tree_features(view(spark, d, "event_tokens"))
+
+
+@query(f"WITH {_COSINES}, c AS (SELECT a.tree_id AS g, b.tree_id AS h, round(sum(a.value * b.value), 9) AS cosine FROM x a JOIN x b USING (token) WHERE a.tree_id <> b.tree_id GROUP BY ALL), "
+       "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY cosine DESC, h) AS INT) AS rank FROM c) SELECT g, h, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 10")
+def nearest_trees(spark, d):
+    return N.nearest_trees(_event_features(spark, d), k=10).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("SELECT CAST(tree_id AS VARCHAR) AS tree_id, token AS dim, CAST(1.0 AS DOUBLE) AS value FROM {event_tokens} GROUP BY ALL")
+def tree_features(spark, d):
+    return N.tree_features(view(spark, d, "event_tokens"), binary=True, normalised=False)
+
+
+def _spread_sql(n: int) -> str:
+    steps = ["p1 AS (SELECT min(tree_id) AS tree_id FROM l)", "d1 AS (SELECT l.tree_id, round(2 - 2 * coalesce(sum(a.value * b.value), 0), 9) AS far FROM l LEFT JOIN x a ON a.tree_id = l.tree_id LEFT JOIN x b ON b.token = a.token AND b.tree_id = (SELECT tree_id FROM p1) GROUP BY l.tree_id)"]
+    for i in range(2, n + 1):
+        gone = " UNION ALL ".join(f"SELECT tree_id FROM p{j}" for j in range(1, i))
+        steps.append(f"p{i} AS (SELECT tree_id FROM d{i - 1} WHERE tree_id NOT IN ({gone}) ORDER BY far DESC, tree_id LIMIT 1)")
+        steps.append(f"e{i} AS (SELECT l.tree_id, round(2 - 2 * coalesce(sum(a.value * b.value), 0), 9) AS far FROM l LEFT JOIN x a ON a.tree_id = l.tree_id LEFT JOIN x b ON b.token = a.token AND b.tree_id = (SELECT tree_id FROM p{i}) GROUP BY l.tree_id)")
+        steps.append(f"d{i} AS (SELECT tree_id, least(d{i - 1}.far, e{i}.far) AS far FROM d{i - 1} JOIN e{i} USING (tree_id))")
+    return f"WITH {_COSINES}, " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT tree_id, {i} AS place FROM p{i}" for i in range(1, n + 1))
+
+
+@query(_spread_sql(6))
+def landmarks_spread(spark, d):
+    return N.landmarks(_event_features(spark, d), n=6, seed=None)
+
+
+_SELF = "best AS (SELECT tree_id, max(s) AS s FROM (SELECT w.tree_id, w.u, sum(1 + length(t.label) % 3) AS s FROM w JOIN t ON t.tree_id = w.tree_id AND list_contains(w.p, t.u) GROUP BY ALL) GROUP BY tree_id)"
+
+
+@query("WITH RECURSIVE " + _walk("url_tree") + ", t AS (SELECT CAST(tree_id AS VARCHAR) AS tree_id, u, label FROM {url_tree}), " + _SELF + " SELECT tree_id, CAST(s AS DOUBLE) AS score FROM best")
+def self_scores_weighted(spark, d):
+    return M.self_scores(view(spark, d, "url_tree"), _lengths(spark, d))
+
+
+@query(_URL + ", own AS (SELECT tree_id, CAST(max(depth) + 1 AS DOUBLE) AS s FROM w GROUP BY tree_id), two AS (SELECT g, h, score FROM scores UNION ALL SELECT h, g, score FROM scores UNION ALL SELECT tree_id, tree_id, s FROM own), "
+       "chosen AS (SELECT tree_id FROM own ORDER BY tree_id LIMIT 8) SELECT two.g, two.h, round(score / sqrt(a.s * b.s), 6) AS similarity FROM two JOIN chosen c ON c.tree_id = two.h JOIN own a ON a.tree_id = two.g JOIN own b ON b.tree_id = two.h")
+def landmark_features(spark, d):
+    """Path scores with landmarks, scaled by the self-scores of both."""
+    nodes = view(spark, d, "url_tree")
+    ids = nodes.select(F.col("tree_id").cast("string").alias("tree_id")).distinct().orderBy("tree_id").limit(8)
+    return M.landmark_features(nodes, ids).withColumn("similarity", F.round("similarity", 6))

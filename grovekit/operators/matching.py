@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.functions import kernels
+from grovekit.operators.collections import normalised
 from grovekit.operators.trees import packed
+from grovekit.operators.weights import KeyedWeight
 
 PAIRS = "g string, h string, score double"
 
@@ -57,7 +59,26 @@ def weigher(labels: list, weights: dict | None, overlap: bool = False):
     return weigh
 
 
-def _block_pairs(overlap: bool, weights: dict | None):
+def keyed_weigher(labels: list):
+    """A function from a tree's labels to its weights with ``labels``; labels are lists of (key, value), or null. The largest value of a common key counts."""
+    places: dict[str, list[int]] = {}
+    for v, keys in enumerate(labels):
+        for k in keys or ():
+            places.setdefault(k["key"], []).append(v)
+    at = {key: np.array(vs) for key, vs in places.items()}
+
+    def weigh(own: list) -> np.ndarray:
+        out = np.zeros((len(own), len(labels)))
+        for u, keys in enumerate(own):
+            for k in keys or ():
+                if k["key"] in at:
+                    out[u, at[k["key"]]] = np.maximum(out[u, at[k["key"]]], k["value"])
+        return out
+
+    return weigh
+
+
+def _block_pairs(overlap: bool, keyed: bool):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         x, y = key[0].as_py(), key[1].as_py()
@@ -65,7 +86,8 @@ def _block_pairs(overlap: bool, weights: dict | None):
         right.sort(key=lambda r: r["tree_id"])
         if right:
             h, starts = kernels.forest([np.array(r["parent"]) for r in right])
-            weigh, rows = weigher([t for r in right for t in r["label"]], weights, overlap), kernels.levels(h)
+            labels = [t for r in right for t in r["label"]]
+            weigh, rows = keyed_weigher(labels) if keyed else weigher(labels, None, overlap), kernels.levels(h)
         for r in left:
             if right:
                 got = kernels.path_scores(np.array(r["parent"]), h, starts, weigh(r["label"]), rows)
@@ -76,13 +98,13 @@ def _block_pairs(overlap: bool, weights: dict | None):
     return run
 
 
-def all_pair_scores(nodes: DataFrame, weights: dict | None = None, overlap: bool = False, block_trees: int = 64) -> DataFrame:
-    """(g, h, score), g < h as text, of all pairs: the best nested chain of nodes with equal labels (or common tokens)."""
-    trees = packed(nodes)
-    blocks = max(1, -(-trees.count() // block_trees))
+def all_pair_scores(nodes: DataFrame, weight: KeyedWeight | None = None, overlap: bool = False, block_trees: int = 64) -> DataFrame:
+    """(g, h, score), g < h as text, of all pairs: the best nested chain of nodes with equal labels (or common tokens), or of what ``weight`` says."""
+    trees = packed(nodes if weight is None else weight.keyed_nodes(nodes))
+    blocks = max(1, -(-nodes.select("tree_id").distinct().count() // block_trees))
     own = trees.withColumn("block", F.pmod(F.xxhash64("tree_id"), F.lit(blocks)).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return dealt.select("x", "y", "block", "tree_id", "parent", "label").groupBy("x", "y").applyInArrow(_block_pairs(overlap, weights), PAIRS)
+    return dealt.select("x", "y", "block", "tree_id", "parent", "label").groupBy("x", "y").applyInArrow(_block_pairs(overlap, weight is not None), PAIRS)
 
 
 def landmark_scores(nodes: DataFrame, landmarks: list[dict], weights: dict | None = None) -> DataFrame:
@@ -104,6 +126,27 @@ def landmark_scores(nodes: DataFrame, landmarks: list[dict], weights: dict | Non
     return packed(nodes).mapInArrow(run, PAIRS)
 
 
+def landmark_features(nodes: DataFrame, landmarks: DataFrame, mode: str = "cosine") -> DataFrame:
+    """(g, h, similarity) of every tree g and every landmark h (``landmarks(tree_id)``, a bounded number): path scores scaled by the self-scores of both."""
+    chosen = landmarks.select(F.col("tree_id").cast("string").alias("tree_id"))
+    rows = packed(nodes.join(F.broadcast(chosen.withColumnRenamed("tree_id", "_landmark")), F.col("tree_id").cast("string") == F.col("_landmark"), "left_semi")).collect()
+    scales = self_scores(nodes).withColumnRenamed("score", "scale")
+    return normalised(landmark_scores(nodes, [r.asDict() for r in rows]), mode, scales)
+
+
+def self_scores(nodes: DataFrame, weight: KeyedWeight | None = None) -> DataFrame:
+    """(tree_id, score): each tree's path score with itself, the heaviest path from its root; a node weighs what its heaviest key does."""
+    own = (weight or KeyedWeight()).keys(nodes).groupBy("tree_id", "u").agg(F.max("value").alias("w"))
+    weighed = nodes.select(F.col("tree_id").cast("string").alias("tree_id"), "u", "parent", "label").join(own, ["tree_id", "u"], "left").fillna(0.0, ["w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [kernels.heaviest_path(np.array(p), np.array(w)) for p, w in zip(batch.column("parent").to_pylist(), batch.column("w").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("tree_id"), pa.array(scores, pa.float64())], names=["tree_id", "score"])
+
+    return packed(weighed, "w").mapInArrow(run, "tree_id string, score double")
+
+
 def per_pair(pairs: DataFrame, nodes: DataFrame, kernel, schema: str = PAIRS) -> DataFrame:
     """``kernel(g_row, h_row) -> tuple`` for each row of ``pairs(g, h)``; rows have tree_id, parent, label."""
     trees = packed(nodes)

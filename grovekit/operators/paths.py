@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grovekit.functions import kernels
+from grovekit.operators.matching import keyed_weigher
 from grovekit.operators.sketches import sketch_overlap
 from grovekit.operators.trees import packed
 from grovekit.operators.weights import KeyedWeight
@@ -28,17 +29,7 @@ PAIR_TYPE = pa.list_(pa.struct([("u", pa.int32()), ("v", pa.int32())]))
 
 def keyed_weights(g: list, h: list) -> np.ndarray:
     """Largest value of a key that both nodes have; labels are lists of (key, value) or null."""
-    out = np.zeros((len(g), len(h)))
-    places: dict[str, list[int]] = {}
-    for v, keys in enumerate(h):
-        for k in keys or ():
-            places.setdefault(k["key"], []).append(v)
-    for u, keys in enumerate(g):
-        for k in keys or ():
-            if k["key"] in places:
-                at = places[k["key"]]
-                out[u, at] = np.maximum(out[u, at], k["value"])
-    return out
+    return keyed_weigher(h)(g)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -10,6 +10,7 @@ from grovekit.operators import collections as C
 from grovekit.operators import exemplars as E
 from grovekit.operators import matching as M
 from grovekit.operators import trees as T
+from grovekit.operators.weights import KeyedWeight
 from grovekit.sources.views import VIEWS, duckdb_sql, read, sql, view
 
 _QUERIES: dict = {}
@@ -163,8 +164,8 @@ def path_score_equality(spark, d):
 @query(_pairs_sql("url_tree", "1 + length(label) % 3") + "SELECT g, h, score FROM scores")
 def path_score_weighted(spark, d):
     nodes = view(spark, d, "url_tree")
-    weights = {r["label"]: float(1 + len(r["label"]) % 3) for r in nodes.select("label").distinct().collect()}
-    return M.all_pair_scores(nodes, weights)
+    values = nodes.select(F.col("label").alias("key"), (1.0 + F.length("label") % 3).alias("value")).distinct()
+    return M.all_pair_scores(nodes, KeyedWeight(values=values))
 
 
 @query(_pairs_sql("conv_chain", "1").replace("k AS (", "k AS MATERIALIZED (") + "SELECT g, h, score FROM scores")
@@ -181,8 +182,7 @@ def path_score_overlap(spark, d):
 
 @query("WITH RECURSIVE w AS (SELECT CAST(tree_id AS VARCHAR) AS tree_id, u, 1 AS s FROM {trade_tree} WHERE parent = -1 UNION ALL SELECT w.tree_id, t.u, w.s + 1 FROM {trade_tree} t JOIN w ON w.tree_id = CAST(t.tree_id AS VARCHAR) AND t.parent = w.u) SELECT tree_id, CAST(max(s) AS DOUBLE) AS score FROM w GROUP BY tree_id")
 def self_scores(spark, d):
-    index = T.tree_index(view(spark, d, "trade_tree"))
-    return index.groupBy("tree_id").agg((F.max("depth") + 1).cast("double").alias("score"))
+    return M.self_scores(view(spark, d, "trade_tree"))
 
 
 def _landmarks(spark, d, n=32):
