@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovekit.operators import collections as C
+from grovekit.operators import exemplars as E
 from grovekit.operators import matching as M
 from grovekit.operators import neighbours as N
 from grovekit.operators import paths as P
@@ -13,7 +14,8 @@ from grovekit.operators import subtrees as U
 from grovekit.operators import trees as T
 from grovekit.operators.weights import KeyedWeight, label_keys, node_matches
 from grovekit.registry import _CHAIN, _KEYS, _URL, _neighbours, _pairs_sql, _TOP, _url_keys, _walk, _ANC, query
-from grovekit.sources.views import view
+from grovekit.sources import edges as G
+from grovekit.sources.views import sql, view
 
 
 def _index(spark, d, name):
@@ -185,3 +187,48 @@ def landmark_features(spark, d):
     nodes = view(spark, d, "url_tree")
     ids = nodes.select(F.col("tree_id").cast("string").alias("tree_id")).distinct().orderBy("tree_id").limit(8)
     return M.landmark_features(nodes, ids).withColumn("similarity", F.round("similarity", 6))
+
+
+# --- edge lists: the trees of hosts with their nodes numbered backwards, and faults in some of them -------------------
+_EDGES = "SELECT tree_id, 100 - parent AS src, 100 - u AS dst FROM {url_tree} WHERE parent >= 0"
+_FAULTY = """SELECT tree_id, 100 - parent AS src, 100 - u AS dst FROM {url_tree} WHERE parent >= 0 AND NOT (length(tree_id) % 7 = 4 AND u = 1)
+ UNION ALL SELECT tree_id, 100 AS src, 100 AS dst FROM {url_tree} WHERE u = 0 AND length(tree_id) % 7 = 1
+ UNION ALL SELECT tree_id, 99 AS src, 98 AS dst FROM {url_tree} WHERE u = 2 AND length(tree_id) % 7 = 2
+ UNION ALL SELECT tree_id, 99 AS src, 100 AS dst FROM {url_tree} WHERE u = 1 AND length(tree_id) % 7 = 3
+ UNION ALL SELECT tree_id, 100 AS src, 999 AS dst FROM {url_tree} WHERE u = 0 AND length(tree_id) % 7 = 5"""
+_NODES = "SELECT tree_id, 100 - u AS id, label FROM {url_tree}"
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), n AS ({_NODES}),
+ w AS (SELECT tree_id, id, [id] AS p, 0 AS depth FROM n WHERE id = 100 UNION ALL SELECT e.tree_id, e.dst, list_append(w.p, e.dst), w.depth + 1 FROM w JOIN e ON e.tree_id = w.tree_id AND e.src = w.id),
+ x AS (SELECT tree_id, id, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY p) - 1 AS INT) AS u FROM w)
+ SELECT n.tree_id, CAST(n.id AS INT) AS orig, x.u, coalesce(y.u, -1) AS parent, n.label FROM n JOIN x USING (tree_id, id) LEFT JOIN e ON e.tree_id = n.tree_id AND e.dst = n.id LEFT JOIN x y ON y.tree_id = e.tree_id AND y.id = e.src""")
+def edge_list_trees(spark, d):
+    found = G.trees_from_edges(sql(spark, d, _NODES), sql(spark, d, _EDGES))
+    return found.select("tree_id", F.col("orig").cast("int").alias("orig"), "u", "parent", "label")
+
+
+@query(f"""WITH RECURSIVE raw AS ({_FAULTY}), n AS ({_NODES}), k AS (SELECT raw.*, a.id IS NOT NULL AND b.id IS NOT NULL AS known FROM raw LEFT JOIN n a ON a.tree_id = raw.tree_id AND a.id = src LEFT JOIN n b ON b.tree_id = raw.tree_id AND b.id = dst),
+ up AS (SELECT tree_id, dst AS id, min(src) AS parent, count(DISTINCT src) AS c FROM k WHERE known AND src <> dst GROUP BY ALL),
+ r AS (SELECT n.tree_id, n.id FROM n LEFT JOIN up USING (tree_id, id) WHERE parent IS NULL), w AS (SELECT * FROM r UNION SELECT up.tree_id, up.id FROM w JOIN up ON up.tree_id = w.tree_id AND up.parent = w.id),
+ c AS (SELECT tree_id, count(*) AS n, (SELECT count(*) FROM r WHERE r.tree_id = n.tree_id) AS roots, count(*) - (SELECT count(*) FROM w WHERE w.tree_id = n.tree_id) AS unreachable,
+   (SELECT count(*) FROM up WHERE up.tree_id = n.tree_id AND c > 1) AS many_parents, (SELECT count(*) FROM k WHERE k.tree_id = n.tree_id AND NOT known) AS unknown_nodes, (SELECT count(*) FROM k WHERE k.tree_id = n.tree_id AND known AND src = dst) AS self_loops FROM n GROUP BY tree_id)
+ SELECT tree_id, n, unknown_nodes, self_loops, many_parents, roots, unreachable FROM c""")
+def edge_issues(spark, d):
+    return G.edge_issues(sql(spark, d, _NODES), sql(spark, d, _FAULTY))
+
+
+# --- bags of what matched ----------------------------------------------------------------------------------------------
+@query(_TOP + """, p AS (SELECT DISTINCT least(g, h) AS g, greatest(g, h) AS h FROM r WHERE rank <= 5), size AS (SELECT tree_id, count(*) % 2 AS cluster FROM t GROUP BY tree_id),
+ ms AS (SELECT p.g, p.h, a.cluster, scores.score FROM p JOIN scores USING (g, h) JOIN size a ON a.tree_id = p.g JOIN size b ON b.tree_id = p.h WHERE a.cluster = b.cluster AND scores.score > 0),
+ obs AS (SELECT cluster, g AS source, score FROM ms UNION ALL SELECT cluster, h, score FROM ms), ow AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY cluster, source) AS weight FROM obs)
+ SELECT cluster, count(*) AS n_observations, count(DISTINCT source) AS n_sources, round(sum(weight), 5) AS total_weight, round(sum(score * weight) / sum(weight), 5) AS mean_length FROM ow GROUP BY cluster""")
+def matched_bags(spark, d):
+    """Trees with as many nodes modulo 2 are a cluster; what two of them have in common is a sequence of labels from each."""
+    nodes = view(spark, d, "url_tree")
+    clusters = nodes.groupBy(F.col("tree_id").cast("string").alias("tree_id")).agg((F.count("*") % 2).alias("cluster"))
+    observed = E.matched_sequences(P.path_matches(_neighbours(spark, d), nodes), nodes, clusters)
+    bags = C.sequence_bags(observed)
+    sources = observed.groupBy("cluster").agg(F.countDistinct("source").alias("n_sources"))
+    sums = bags.groupBy("cluster").agg(F.sum("cnt").alias("n_observations"), F.round(F.sum("weight"), 5).alias("total_weight"), F.round(F.sum(F.size("seq") * F.col("weight")) / F.sum("weight"), 5).alias("mean_length"))
+    return sums.join(sources, "cluster").select("cluster", "n_observations", "n_sources", "total_weight", "mean_length")

@@ -19,6 +19,21 @@ def sequences_by_cluster(pairs: DataFrame) -> DataFrame:
     return pairs.where("cluster_g = cluster_h").select(F.col("cluster_g").alias("cluster"), both.alias("x")).select("cluster", "x.*")
 
 
+def matched_sequences(matches: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, source, seq) of ``matches(g, h, pairs)`` within ``clusters(tree_id, cluster)``: the labels of the matched nodes of each side, from the top down.
+
+    A match without pairs gives no sequence; a null label is the text of none.
+    """
+    own = clusters.select(F.col("tree_id").cast("string").alias("tree_id"), "cluster")
+    both = matches.where(F.size("pairs") > 0).join(own.select(F.col("tree_id").alias("g"), "cluster"), "g").join(own.select(F.col("tree_id").alias("h"), F.col("cluster").alias("other")), "h").where(F.col("cluster") == F.col("other"))
+    steps = both.select("cluster", "g", "h", F.posexplode("pairs").alias("place", "p"))
+    sides = F.explode(F.array(*[F.struct(F.col(t).alias("source"), F.col(f"p.{n}").alias("u"), F.lit(i).alias("side")) for i, (t, n) in enumerate((("g", "u"), ("h", "v")))])).alias("x")
+    labels = nodes.select(F.col("tree_id").cast("string").alias("source"), "u", F.coalesce(F.col("label").cast("string"), F.lit("None")).alias("label"))
+    named = steps.select("cluster", "g", "h", "place", sides).select("cluster", "g", "h", "place", "x.*").join(labels, ["source", "u"])
+    rows = named.groupBy("cluster", "g", "h", "side", "source").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("s"))
+    return rows.select("cluster", "source", F.col("s.label").alias("seq"))
+
+
 def raw_sequences(bags: DataFrame) -> DataFrame:
     """Each sequence as often as it was observed."""
     return bags.select("cluster", "seq", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int")))).select("cluster", "seq")
