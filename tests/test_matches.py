@@ -214,3 +214,66 @@ def test_template_pairs_are_worth_their_score():
         again = sum(b == d for (_, b), (_, d) in itertools.pairwise(pairs))
         assert score == pytest.approx(sum(w[p] for p in pairs) - c * again)
         assert all(b <= d for (_, b), (_, d) in itertools.pairwise(pairs))
+
+
+def test_nearest_trees_equal_all_pairs(spark):
+    from grovekit.operators import neighbours as N
+
+    rng = random.Random(3)
+    tokens = {f"t{i:02}": [rng.choice("abcdefghij"[: 3 + i % 8]) for _ in range(rng.randrange(1, 9))] for i in range(40)}
+    tokens |= {f"same{i:02}": list("common") for i in range(25)} | {"alone": ["z"]}
+    rows = [(t, x) for t, xs in tokens.items() for x in xs] + [("t00", None), ("empty", None)]
+    features = N.tree_features(spark.createDataFrame(rows, "tree_id string, token string"))
+    vectors = {}
+    for r in features.collect():
+        vectors.setdefault(r["tree_id"], {})[r["dim"]] = r["value"]
+    want = set()
+    for g, a in vectors.items():
+        near = sorted((-round(sum(x * b.get(d, 0.0) for d, x in a.items()), 9), h) for h, b in vectors.items() if h != g and a.keys() & b.keys())
+        want |= {(g, h, -c, rank) for rank, (c, h) in enumerate(near[:4], 1)}
+    for probes in (1, 8):
+        got = {(r["g"], r["h"], r["cosine"], r["rank"]) for r in N.nearest_trees(features, k=4, probes=probes).collect()}
+        assert {(g, h, r) for g, h, _, r in got} == {(g, h, r) for g, h, _, r in want} and not any(g in ("alone", "empty") for g, *_ in got)
+    hashed = N.tree_features(spark.createDataFrame(rows, "tree_id string, token string"), hash_dim=4, binary=True, normalised=False)
+    assert {r["value"] for r in hashed.collect()} == {1.0} and hashed.select("dim").distinct().count() <= 4
+    chosen = [r["tree_id"] for r in N.landmarks(features, 5, seed=None).orderBy("place").collect()]
+    apart = lambda a, b: round(max(0.0, sum(x * x for x in a.values()) + sum(x * x for x in b.values()) - 2 * sum(x * b.get(d, 0.0) for d, x in a.items())), 9)
+    plain = [min(vectors)]
+    while len(plain) < 5:
+        plain.append(min((t for t in vectors if t not in plain), key=lambda t: (-min(apart(vectors[t], vectors[p]) for p in plain), t)))
+    assert chosen == plain
+    assert N.landmarks(features, 3, "random").count() == 3 and N.landmarks(features, 500).count() == len(vectors)
+    with pytest.raises(ValueError):
+        N.landmarks(features, 0)
+
+
+def test_edge_lists(spark):
+    from grovekit.sources import edges as G
+
+    trees = {
+        "ok": ([0, 1, 2, 3], [(0, 1), (0, 2), (1, 3)]), "mixed": ([7, 5, 9, 1], [(9, 5), (9, 1), (1, 7)]), "deep": (list(range(40)), [(i + 1, i) for i in range(39)]), "one": ([3], []),
+        "loop": ([0, 1], [(0, 1), (1, 1)]), "two": ([0, 1, 2], [(0, 2), (1, 2)]), "cycle": ([0, 1, 2, 3], [(1, 2), (2, 3), (3, 1)]), "ring": ([0, 1], [(0, 1), (1, 0)]), "lost": ([0, 1], [(0, 1), (0, 8)]),
+    }
+    nodes = spark.createDataFrame([(t, i, f"{t}{i}", 100 - i if i != 2 else None) for t, (ids, _) in trees.items() for i in ids], "tree_id string, id int, label string, ts int")
+    edges = spark.createDataFrame([(t, a, b) for t, (_, es) in trees.items() for a, b in es], "tree_id string, src int, dst int")
+    found = {r["tree_id"]: tuple(r)[1:] for r in G.edge_issues(nodes, edges).collect()}  # n, unknown, loops, many parents, roots, unreachable
+    assert found["ok"] == (4, 0, 0, 0, 1, 0) and found["deep"] == (40, 0, 0, 0, 1, 0) and found["one"] == (1, 0, 0, 0, 1, 0)
+    assert found["loop"] == (2, 0, 1, 0, 1, 0) and found["two"] == (3, 0, 0, 1, 2, 0) and found["cycle"] == (4, 0, 0, 0, 1, 3) and found["ring"] == (2, 0, 0, 0, 0, 2) and found["lost"] == (2, 1, 0, 0, 1, 0)
+    with pytest.raises(ValueError, match="not a rooted tree"):
+        G.trees_from_edges(nodes, edges)
+    got = {}
+    for r in G.trees_from_edges(nodes, edges, strict=False).collect():
+        got.setdefault(r["tree_id"], {})[r["u"]] = (r["orig"], r["parent"], r["label"])
+    assert set(got) == {"ok", "mixed", "deep", "one"}
+    assert got["ok"] == {i: (i, p, f"ok{i}") for i, p in enumerate([-1, 0, 0, 1])}  # already in order
+    assert got["mixed"] == {0: (9, -1, "mixed9"), 1: (1, 0, "mixed1"), 2: (7, 1, "mixed7"), 3: (5, 0, "mixed5")}
+    assert [got["deep"][u][0] for u in range(40)] == list(range(39, -1, -1))
+    own = nodes.where("tree_id IN ('ok', 'mixed')"), edges.where("tree_id IN ('ok', 'mixed')")
+    timed = {(r["tree_id"], r["u"]): r["orig"] for r in G.trees_from_edges(*own, "time").collect()}
+    assert [timed["mixed", u] for u in range(4)] == [9, 5, 1, 7] and [timed["ok", u] for u in range(4)] == [0, 2, 1, 3]
+    with pytest.raises(ValueError, match="parents first"):
+        G.trees_from_edges(*own, "given")
+    given = G.trees_from_edges(own[0].where("tree_id = 'ok'"), own[1].where("tree_id = 'ok'"), "given")
+    again = {r["u"]: r["orig"] for r in G.timed_trees(given, own[0].select("tree_id", F.col("id").alias("orig"), F.col("id").alias("ts"))).collect()}
+    assert again == {0: 0, 1: 1, 2: 2, 3: 3}
+    assert G.edge_issues(nodes.limit(0), edges).collect() == []
