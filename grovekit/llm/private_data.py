@@ -43,7 +43,8 @@ VALID = {
     "phone": "length(regexp_replace(x.m, '[^0-9]', '')) BETWEEN 9 AND 15",
 }
 CHUNK = 64
-CONTEXT = 64
+#: Characters beside a span that are looked at for its words at first; where they hold too few words, the next number of them, and then all up to the next match.
+CONTEXTS = (64, 4096)
 TERM = r"\p{L}[\p{L}\x27-]*\p{L}"
 #: A word with a digit or @.
 BARRED = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
@@ -74,11 +75,19 @@ def base_spans(docs: DataFrame, reach: int = 4) -> DataFrame:
     some = text.select("doc_id", "text", *[F.expr(f"if({HINTS[k]}, regexp_extract_all(text, {_quoted(PATTERNS[k])}, 0), array())").alias(f"m_{k}") for k in KINDS])
     masked = f"array_join(zip_with(split(text, {_quoted(BARRED)}, -1), regexp_extract_all(text, {_quoted(BARRED)}, 0), (g, m) -> concat(g, repeat(' ', coalesce(length(m), 0)))), '')"
     cut = some.select("doc_id", F.xxhash64("text").alias("key"), *[f"m_{k}" for k in KINDS], *[F.expr(f"if(size(m_{k}) = 0, array(), split(text, {_quoted(PATTERNS[k])}, -1))").alias(f"g_{k}") for k in KINDS], F.expr(f"if({' + '.join(f'size(m_{k})' for k in KINDS)} = 0, '', {masked})").alias("masked"))
-    piece = "transform(m_{k}, (m, i) -> named_struct('g', length(element_at(g_{k}, i + 1)), 'm', m, 'l', right(element_at(g_{k}, i + 1), {c}), 'r', left(element_at(g_{k}, i + 2), {c}), 'n', length(element_at(g_{k}, i + 2))))"
-    pieces = cut.select("doc_id", "key", *[F.expr(piece.format(k=k, c=CONTEXT)).alias(f"x_{k}") for k in KINDS], F.expr(f"filter(zip_with(split(masked, {_quoted(TERM)}, -1), regexp_extract_all(masked, {_quoted(TERM)}, 0), (g, m) -> named_struct('g', length(g), 'm', m)), x -> x.m IS NOT NULL)").alias("x_word"))
+    piece = "transform(m_{k}, (m, i) -> named_struct('g', length(element_at(g_{k}, i + 1)), 'm', m, 'l', {left}, 'r', {right}, 'n', length(element_at(g_{k}, i + 2))))"
+
+    def beside(side: str, k: str, place: int) -> str:
+        """The part of a gap beside a span that holds ``reach`` whole words: a cut may go through one more."""
+        gap, out = f"element_at(g_{k}, i + {place})", f"element_at(g_{k}, i + {place})"
+        for c in reversed(CONTEXTS):
+            out = f"if(length({gap}) <= {c} OR size(regexp_extract_all({side}({gap}, {c}), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)) > {reach}, {side}({gap}, {c}), {out})"
+        return out
+
+    pieces = cut.select("doc_id", "key", *[F.expr(piece.format(k=k, left=beside("right", k, 1), right=beside("left", k, 2))).alias(f"x_{k}") for k in KINDS], F.expr(f"filter(zip_with(split(masked, {_quoted(TERM)}, -1), regexp_extract_all(masked, {_quoted(TERM)}, 0), (g, m) -> named_struct('g', length(g), 'm', m)), x -> x.m IS NOT NULL)").alias("x_word"))
     ended = _running_ends(pieces, (*KINDS, "word"))
-    spans = "filter(transform(x_{k}, (x, i) -> named_struct('kind', {n}, 'e', element_at(e_{k}, i + 1), 'm', x.m, 'l', x.l, 'lcut', x.g > {c}, 'r', x.r, 'rcut', x.n > {c})), x -> {valid})"
-    joined = ended.select("doc_id", "key", F.expr("concat(" + ", ".join(spans.format(k=k, n=n, c=CONTEXT, valid=VALID[k]) for n, k in enumerate(KINDS)) + ")").alias("y"), F.expr("transform(x_word, (x, i) -> named_struct('t', lower(x.m), 's', element_at(e_word, i + 1) - length(x.m), 'e', element_at(e_word, i + 1)))").alias("words"))
+    spans = "filter(transform(x_{k}, (x, i) -> named_struct('kind', {n}, 'e', element_at(e_{k}, i + 1), 'm', x.m, 'l', x.l, 'lcut', x.g > length(x.l), 'r', x.r, 'rcut', x.n > length(x.r))), x -> {valid})"
+    joined = ended.select("doc_id", "key", F.expr("concat(" + ", ".join(spans.format(k=k, n=n, valid=VALID[k]) for n, k in enumerate(KINDS)) + ")").alias("y"), F.expr("transform(x_word, (x, i) -> named_struct('t', lower(x.m), 's', element_at(e_word, i + 1) - length(x.m), 'e', element_at(e_word, i + 1)))").alias("words"))
     space, word = "[\\\\x20\\\\x09-\\\\x0D]", "[^\\\\x20\\\\x09-\\\\x0D]"
     near = joined.select(
         "doc_id",

@@ -189,6 +189,16 @@ def base_spans(t):
     return out
 
 
+def test_words_beside_a_span_are_counted_not_measured(spark):
+    """One text that names an address six times beside one term, other words around: the term is found whatever its length and the white space before it."""
+    for term, space in (("abcdefghijklmnopqrstuvwx", " "), ("abcdefgh" * 9, " "), ("abcdefgh" * 700, " "), ("shortterm", " " * 5000)):
+        text = " ".join(f"w{i}x zz{'abcdefgh'[i]}qq {term}{space}joe@x.org yy{'abcdefgh'[i]}kk u{i}v" for i in range(6))
+        rows = [(1, text), (2, "other words only " * 40)]
+        got = {r.doc_id: r.spans for r in private_data.span_digests(private_data.private_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+        at = [i for i in range(len(text)) if text.startswith(term, i)]
+        assert [s for s in got[1].split(",") if s.split(":")[0] in ("generalise", "remove") and int(s.split(":")[1]) in at and int(s.split(":")[2]) - int(s.split(":")[1]) == len(term)].__len__() == 6, (term[:20], got[1][:300])
+
+
 def test_private_data(spark, docs, nothing):
     letters = "a.b@c-1 2+3()9 5_4%\n4242 4242424242424é𠮷"
     odd = ["a@b.c_foo@bar.com", "1.2.3.4.5.6.7.8 999.1.1.1 001.02.3.255", *("".join(RNG.choice(letters) for _ in range(RNG.randint(1, 80))) for _ in range(400))]
