@@ -2,16 +2,14 @@
 
 Texts are cut into pre-tokens (see pieces.py). The pre-tokens of a batch that are not known yet are held as one flat
 array of symbols, one row after another. In each step every row that still has a mergeable pair applies its pair of
-the lowest rank, the leftmost of equals, all rows at once; rows without such a pair leave the array.
-One pair a row and step is what keeps the result exact: a new symbol may merge at a better rank than a
-second copy of the pair would. What survives is counted; a character outside the vocabulary counts its
-bytes. A pre-token of more than ``LONG`` symbols would need as many steps, so it is merged by a queue.
+the lowest rank, all rows at once; rows without such a pair leave the array. If no pair with the new symbol has a rank as low
+(the rank is calm), the row applies all occurrences of the rank at once, from the left where they overlap, which is what one after the other
+would give. Otherwise it applies them up to the first whose new symbol makes a pair of a rank as low with a neighbour, as that pair may merge before the next copy
+does. So a row takes a few steps for each rank that it meets, however long it is. What survives is counted; a character outside the vocabulary counts its bytes.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +18,6 @@ from pyspark.sql import functions as F
 from grovekit.llm.common import small_batches
 from grovekit.llm.pieces import DEFAULT_MODEL, Vocabulary, model_path, vocabulary
 
-LONG = 256
 NONE = np.int64(1 << 40)
 
 
@@ -34,7 +31,7 @@ class PairTable:
         for piece in v.ids:
             for c in piece:
                 symbols.setdefault(c, len(symbols))
-        self.symbols, self.vocabulary, self.size = symbols, v, np.int64(len(symbols) + 1)
+        self.symbols, self.size = symbols, np.int64(len(symbols) + 1)
         self.unknown = len(symbols)
         rows = []
         for piece, rank in v.rank.items():
@@ -46,6 +43,12 @@ class PairTable:
         self.keys = np.array([r[0] for r in rows], np.int64)
         self.ranks = np.array([r[1] for r in rows] + [NONE], np.int64)
         self.merged = np.array([r[2] for r in rows] + [0], np.int64)
+        #: Of each rank: do all pairs with one of its symbols have a higher rank?
+        soonest = np.full(len(symbols), NONE)
+        for side in (self.keys // self.size, self.keys % self.size):
+            np.minimum.at(soonest, side, self.ranks[:-1])
+        self.calm = np.ones(int(self.ranks[:-1].max(initial=0)) + 1, bool)
+        np.logical_and.at(self.calm, self.ranks[:-1], soonest[self.merged[:-1]] > self.ranks[:-1])
         #: Open addressing: a key's first slot, and the few that follow it.
         bits = max(4, int(np.ceil(np.log2(len(rows) + 1))) + 2)
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
@@ -78,19 +81,17 @@ class PairTable:
             rest, at = rest[go], (at[go] + 1) & self.mask
         return out
 
-    def counts(self, words: list[str]) -> list[int]:
-        """Surviving symbols of each pre-token."""
-        out = [0] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) <= LONG:
-                short.append(i)
-            else:
-                out[i] = sum(self._queue(p) for p in self.vocabulary.cut(w))
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            for i, n in zip(part, self._merge([words[i] for i in part]), strict=True):
-                out[i] = n
+    def counts(self, words: list[str], symbols: int = 400_000) -> list[int]:
+        """Surviving symbols of each pre-token; some ``symbols`` of them are merged at a time, a pre-token is never cut."""
+        out: list[int] = []
+        held: list[str] = []
+        size = 0
+        for i, w in enumerate(words, 1):
+            held.append(w)
+            size += len(w)
+            if size >= symbols or i == len(words):
+                out += self._merge(held)
+                held, size = [], 0
         return out
 
     def _merge(self, words: list[str]) -> list[int]:
@@ -109,14 +110,22 @@ class PairTable:
             rank = self.ranks[pair]
             first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             widths = np.diff(np.append(first, len(row)))
-            place = np.arange(len(row)) - np.repeat(first, widths)
-            best = np.minimum.reduceat((rank << np.int64(20)) | place, first)
-            live = (best >> np.int64(20)) < NONE
+            best = np.minimum.reduceat(rank, first)
+            live = best < NONE
             if not live.any():
                 break
-            at = first[live] + (best[live] & np.int64((1 << 20) - 1))
+            at = np.flatnonzero((rank == np.repeat(best, widths)) & (rank < NONE))
+            number = np.arange(len(at))
+            fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))  # a row's last symbol has no pair, so a run stays in its row
+            alternate = (number - np.maximum.accumulate(np.where(fresh, number, 0))) % 2 == 0
+            at = at[alternate]
+            stir = np.flatnonzero(~self.calm[rank[at]])
+            if len(stir):
+                before = np.cumsum(hot := self._stirs(sym, row, pair, rank, at, stir)) - hot  # occurrences on its left after which others come first
+                opens = np.concatenate(([True], row[at[1:]] != row[at[:-1]]))
+                at = at[before == np.maximum.accumulate(np.where(opens, before, 0))]
             sym[at] = self.merged[pair[at]]
-            total[row[at]] -= 1
+            total -= np.bincount(row[at], minlength=len(total))
             keep = np.repeat(live, widths)
             keep[at + 1] = False
             moved = np.cumsum(keep) - 1
@@ -129,32 +138,19 @@ class PairTable:
                 pair[left] = self.find(sym[left], sym[left + 1])
         return total.tolist()
 
-    def _queue(self, word: str) -> int:
-        rank = self.vocabulary.rank
-        parts: list[str | None] = list(word)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[int, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < len(parts):
-                both = parts[i] + parts[j]
-                if both in rank:
-                    heapq.heappush(heap, (rank[both], i, both))
-
-        for i in range(len(parts) - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != both:
-                continue
-            parts[i], parts[j] = both, None
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return sum(1 if p in self.symbols else len(p.encode("utf-8", "surrogatepass")) for p in parts if p is not None)
+
+    def _stirs(self, sym: np.ndarray, row: np.ndarray, pair: np.ndarray, rank: np.ndarray, at: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Of the merges ``at`` (those numbered ``some``; the others do not): would the new symbol make a pair of a rank as low with a neighbour, merged in this step or not?"""
+        out = np.zeros(len(at), np.int64)
+        here = at[some]
+        new, low, end = self.merged[pair[here]], rank[here], len(sym) - 1
+        left, right = np.maximum(here - 1, 0), np.minimum(here + 2, end)
+        has_left, has_right = (here > 0) & (row[left] == row[here]), (here + 2 <= end) & (row[right] == row[here])
+        beside = np.concatenate(([-9], at[:-1]))[some] == here - 2  # the pair on its left merges too
+        joined = self.merged[pair[np.maximum(here - 2, 0)]]
+        for fits, a, b in ((has_left, sym[left], new), (has_left & beside, joined, new), (has_right, new, sym[right])):
+            out[some] |= fits & (self.ranks[self.find(a, b)] <= low)
+        return out
 
 
 _TABLES: dict[str, PairTable] = {}

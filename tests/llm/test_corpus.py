@@ -189,6 +189,18 @@ def base_spans(t):
     return out
 
 
+def test_pretokens_of_any_length_are_merged_in_one_way():
+    import sentencepiece
+
+    table = token_counts.pair_table(pieces.model_path())
+    library, words_of = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.vocabulary(pieces.model_path()).words
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(letters) for _ in range(n)) for letters in ("ethaoni", "aab", "the", "xé漢 ab") for n in (1, 30, 255, 256, 257, 300, 3000, 30_000)]
+    texts += ["the" * 3000, "a" * 30_000, "ab" * 777, "thethehe" * 300]
+    assert [sum(table.counts(words_of(t))) for t in texts] == [len(library.encode(t)) for t in texts]
+    assert 0 < table.calm.mean() < 1  # both kinds of ranks are met
+
+
 def test_words_beside_a_span_are_counted_not_measured(spark):
     """One text that names an address six times beside one term, other words around: the term is found whatever its length and the white space before it."""
     for term, space in (("abcdefghijklmnopqrstuvwx", " "), ("abcdefgh" * 9, " "), ("abcdefgh" * 700, " "), ("shortterm", " " * 5000)):
