@@ -12,7 +12,8 @@ two pieces, and remembered. A character outside the vocabulary ends a stretch an
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from collections import defaultdict
+from itertools import pairwise
 
 import ahocorasick
 import pyarrow as pa
@@ -20,7 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.llm.common import released, small_batches
-from grovekit.llm.pieces import DEFAULT_MODEL, Vocabulary, model_path, vocabulary
+from grovekit.llm.pieces import DEFAULT_MODEL, SPACE, Vocabulary, model_path, vocabulary
+
+
+NEVER = float("inf")
+PAIRS = 1 << 18
 
 
 class Codec:
@@ -33,7 +38,10 @@ class Codec:
             self.automaton.add_word(p[::-1], len(p))
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:j] for j in range(len(p) - 1, 0, -1) if p[:j] in self.own), None) for p in self.own}
-        self.compatible = lru_cache(maxsize=1 << 18)(self._compatible)
+        self.histories: dict[str, list[tuple[float, str, str]]] = {}
+        #: What is known of pairs: by the left piece, the right ones and whether they are compatible.
+        self.checked: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.n_checked = 0
 
     def merge(self, parts: list[str]) -> list[str]:
         """What the merges make of a sequence of characters; it is as long as two pieces at most."""
@@ -49,46 +57,98 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def history(self, piece: str) -> list[tuple[float, str, str]]:
+        """The merges that make a piece, in order: before each its rank, and the first and the last symbol at that time; at the end no rank."""
+        found = self.histories.get(piece)
+        if found is None:
+            rank, parts, found = self.v.rank, list(piece), []
+            while True:
+                ranks = [rank.get(a + b, NEVER) for a, b in pairwise(parts)]
+                best = min(ranks, default=NEVER)
+                found.append((best, parts[0], parts[-1]))
+                if best == NEVER:
+                    break
+                at = ranks.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.histories[piece] = found
+        return found
+
+    def compatible(self, left: str, right: str) -> bool:
+        """Remembered, up to ``PAIRS`` pairs."""
+        if self.n_checked >= PAIRS:
+            self.checked.clear()
+            self.n_checked = 0
+        self.n_checked += 1
+        found = self.checked[left][right] = self._compatible(left, right)
+        return found
+
     def _compatible(self, left: str, right: str) -> bool:
-        """No merge crosses the border of the two: re-merged, they are the two again."""
+        """No merge crosses the border of the two: re-merged side by side, they are the two again.
+
+        Until a merge crosses it, each side merges as it does alone. So its history is followed, the lower rank first (the left one of equals), and at each
+        moment the last symbol of the one and the first of the other must not merge before.
+        """
         if (left[-1], right[0]) not in self.v.joined:
             return True
-        return self.merge(list(left + right)) == [left, right]
+        rank, a, b, i, j = self.v.rank, self.history(left), self.history(right), 0, 0
+        last, first = a[0][2], b[0][1]
+        cross = rank.get(last + first, NEVER)
+        while True:
+            here, there = a[i][0], b[j][0]
+            if here <= cross and here <= there:
+                if here == NEVER:
+                    return True
+                i += 1
+                if a[i][2] is not last:
+                    last = a[i][2]
+                    cross = rank.get(last + first, NEVER)
+            elif cross <= there:
+                return False
+            else:
+                j += 1
+                if b[j][1] is not first:
+                    first = b[j][1]
+                    cross = rank.get(last + first, NEVER)
 
     def pieces(self, word: str) -> list[str]:
         """The pieces of a word; a character outside the vocabulary is a piece of its own."""
         n = len(word)
-        longest = [0] * n
-        for end, length in self.automaton.iter(word[::-1]):
-            if length > longest[n - 1 - end]:
-                longest[n - 1 - end] = length
         if n == 1:
             return [word]
-        return self._search(word, longest)
-
-    def _search(self, word: str, longest: list[int]) -> list[str]:
-        own, shorter, compatible = self.own, self.shorter, self.compatible
-        n, at, failed, out = len(word), 0, bytearray(len(word) // 8 + 1), []
-        piece = word[: longest[0]] if longest[0] else word[0]
+        #: By the place in the reversed word: the longest match, which comes first of those that end there.
+        longest = dict(reversed([*self.automaton.iter(word[::-1])]))
+        shorter, checked, known = self.shorter.get, self.checked, longest.get
+        at, before, failed, out = 0, None, None, []
+        size = known(n - 1)
+        piece = word[:size] if size else word[0]
         while True:
             while piece is not None:
                 end = at + len(piece)
-                if not (failed[end >> 3] >> (end & 7)) & 1 and (not out or piece not in own or out[-1] not in own or compatible(out[-1], piece)):
-                    break
-                piece = shorter.get(piece)
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    if before is None or not size:
+                        break
+                    fits = checked[before].get(piece)
+                    if fits or (fits is None and self.compatible(before, piece)):
+                        break
+                piece = shorter(piece)
             if piece is not None:
                 out.append(piece)
-                at += len(piece)
-                if at == n:
+                if end == n:
                     return out
-                piece = word[at : at + longest[at]] if longest[at] else word[at]
+                before = piece if size else None  # nothing merges with a character outside the vocabulary
+                at = end
+                size = known(n - 1 - at)
+                piece = word[at : at + size] if size else word[at]
             else:
+                failed = failed or bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError(f"no encoding of {word!r}")
                 last = out.pop()
                 at -= len(last)
-                piece = shorter.get(last)
+                size = known(n - 1 - at)
+                before = out[-1] if out and out[-1] in self.own else None
+                piece = shorter(last)
 
     def encode_word(self, word: str) -> list[int]:
         ids, spell = self.v.ids, self.v.spell
@@ -122,30 +182,63 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _encoded(path: str, known_limit: int):
-    """Per text: the number of ids, the ids as decimal text, the decoded bytes. Of a word its ids are remembered, as decimal text."""
-    c = codec(path)
-    known: dict[str, str] = {}
-    surface = {str(i): b for i, b in c.v.surface.items()}
-
-    def one(text: str | None) -> tuple[int, str, bytes]:
-        words = c.v.words(text)
-        try:
-            got = list(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > known_limit:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = ",".join(map(str, c.encode_word(w)))
-            got = list(map(known.__getitem__, words))
-        if not got:
-            return 0, "", b""
-        ids = ",".join(got)
-        each = ids.split(",")
-        return len(each), ids, b"".join(map(surface.__getitem__, each)).removeprefix(b" ")
+class Remembered:
+    """Texts to (number of ids, ids as decimal text, decoded bytes), a word at a time; words that were seen before are looked up.
 
-    return one
+    Of a word with its space are remembered its ids, how many they are, and what they decode to. Marks after a word
+    are encoded apart where no piece holds the two characters at the border, as then no merge spans it.
+    """
+
+    MARKS = "!#$%&()*+,-./:;<=>?@[]^{|}~\"'"
+
+    def __init__(self, c: Codec, limit: int):
+        self.codec, self.limit = c, limit
+        #: What follows a space; and whole words of other texts, and marks.
+        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.whole: dict[str, tuple[int, str, bytes]] = {}
+
+    def _coded(self, word: str) -> tuple[int, str, bytes]:
+        ids = self.codec.encode_word(word)
+        return len(ids), ",".join(map(str, ids)), self.codec.decode_bytes(ids)
+
+    def _word(self, word: str) -> tuple[int, str, bytes]:
+        found = self.whole.get(word)
+        if found is None:
+            if len(self.whole) > self.limit:
+                self.whole.clear()
+            found = self.whole[word] = self._coded(word)
+        return found
+
+    def _after_space(self, part: str) -> tuple[int, str, bytes]:
+        word = part.rstrip(self.MARKS)
+        if word and len(word) < len(part) and (word[-1], part[len(word)]) not in self.codec.v.joined:
+            first = self.known.get(word)
+            if first is None:
+                first = self.known[word] = self._coded(SPACE + word)
+            n, ids, held = self._word(part[len(word) :])
+            return first[0] + n, f"{first[1]},{ids}", first[2] + held
+        return self._coded(SPACE + part)
+
+    def __call__(self, text: str | None) -> tuple[int, str, bytes]:
+        if not text:
+            return 0, "", b""
+        parts = text.split(" ")
+        if SPACE in text or "" in parts:  # spaces that are no single ones between words
+            got = list(map(self._word, self.codec.v.words(text)))
+        else:
+            new = set(parts).difference(self.known)
+            if len(self.known) + len(new) > self.limit:
+                self.known.clear()
+                new = set(parts)
+            for part in new:
+                self.known[part] = self._after_space(part)
+            got = list(map(self.known.__getitem__, parts))
+        counts, ids, held = zip(*got, strict=True)
+        return sum(counts), ",".join(ids), b"".join(held).removeprefix(b" ")
+
+
+def _encoded(path: str, known_limit: int) -> Remembered:
+    return Remembered(codec(path), known_limit)
 
 
 def _digests(path: str, known_limit: int):
