@@ -277,3 +277,24 @@ def test_edge_lists(spark):
     again = {r["u"]: r["orig"] for r in G.timed_trees(given, own[0].select("tree_id", F.col("id").alias("orig"), F.col("id").alias("ts"))).collect()}
     assert again == {0: 0, 1: 1, 2: 2, 3: 3}
     assert G.edge_issues(nodes.limit(0), edges).collect() == []
+
+
+def test_matcher_gives_the_nodes_own_ids(spark):
+    from grovekit.operators.matcher import METHODS, TreeMatcher
+
+    nodes = frame(spark, {k: TREES[k] for k in "abcd"}).withColumn("orig", F.concat("tree_id", F.lit("-"), F.col("u") * 10))
+    matcher = TreeMatcher(nodes)
+    asked = pairs_of(spark, ("a", "b"), ("c", "d"))
+    for method in METHODS:
+        rows = {(r["g"], r["h"]): r for r in matcher.match(asked, method).collect()}
+        assert rows["a", "b"]["score"] == 3.0
+        named = [(p["orig_u"], p["orig_v"]) for p in rows["a", "b"]["pairs"] if (p["u"], p["v"]) in ((1, 1), (4, 4), (7, 7))]
+        assert named == [("a-10", "b-10"), ("a-40", "b-40"), ("a-70", "b-70")]
+    assert matcher.match(asked, "beam", lookahead=[({"size": 8}, 1.0)]).count() == 2
+    one = spark.createDataFrame([("a", "b", 4, 4)], "g string, h string, u int, v int")
+    assert [r["score"] for r in matcher.match(asked, "sparse", candidates=one).collect()] == [1.0]
+    assert matcher.pairs().count() == 6 and TreeMatcher(nodes.where("u < 1")).match().collect() == []
+    assert {r["tree_id"]: r["score"] for r in matcher.template(["A", "B"]).collect()}["a"] == 2.0
+    assert {r["tree_id"]: r["score"] for r in matcher.reference(["x", "A"], [1.0, 4.0]).collect()}["a"] == 5.0
+    with pytest.raises(ValueError):
+        matcher.match(asked, "guess")
