@@ -37,6 +37,52 @@ def path_scores(g: np.ndarray, h: np.ndarray, starts: np.ndarray, weight: np.nda
     return np.maximum.reduceat(table[:, 1:].max(axis=0), starts)
 
 
+class Columns:
+    """The trees that others are scored against, side by side with their nodes in order of depth: a depth is a slice of columns."""
+
+    def __init__(self, parents: list[np.ndarray]):
+        h, self.starts = forest(parents) if parents else (np.empty(0, np.int64), np.empty(0, np.int64))
+        rows = levels(h)
+        #: The nodes in order of depth, and where each node is.
+        self.order = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        self.place = np.empty(len(h), np.int64)
+        self.place[self.order] = np.arange(len(h))
+        self.above = np.concatenate(([0], self.place + 1))[h[self.order] + 1]
+        ends = np.cumsum([0, *map(len, rows)])
+        self.slices = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+
+def forest_scores(trees: list[tuple[np.ndarray, list]], columns: Columns, weigh, cells: int = 1_000_000) -> np.ndarray:
+    """Scores of ``trees`` (parents, labels) with each tree of ``columns``: (trees, trees of columns).
+
+    ``weigh`` gives the weights of some labels with the columns, in their order. Trees are taken together, a depth of all of them and a depth of the columns at a
+    time, as long as the table has at most ``cells`` cells (or one tree).
+    """
+    out, start = np.zeros((len(trees), len(columns.starts))), 0
+    while start < len(trees) and len(columns):
+        end, size = start + 1, len(trees[start][0])
+        while end < len(trees) and (size + len(trees[end][0])) * len(columns) <= cells:
+            size += len(trees[end][0])
+            end += 1
+        g, starts = forest([p for p, _ in trees[start:end]])
+        weight = weigh([t for _, labels in trees[start:end] for t in labels])
+        table = np.zeros((len(g) + 1, len(columns) + 1))
+        for now in levels(g):
+            up = table[g[now] + 1]
+            best = np.maximum(up[:, 1:], weight[now] + up[:, columns.above])
+            for level in columns.slices[1:]:
+                part = best[:, level]
+                np.maximum(part, best[:, columns.above[level] - 1], out=part)
+            table[now + 1, 1:] = best
+        rows = np.maximum.reduceat(table[1:, 1:], starts, axis=0)
+        out[start:end] = np.maximum.reduceat(rows[:, columns.place], columns.starts, axis=1)
+        start = end
+    return out
+
+
 def path_table(g: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: list[np.ndarray] | None = None) -> np.ndarray:
     """Best chain that ends at or above each pair of nodes; row and column 0 stand for nothing above the roots."""
     table = np.zeros((len(g) + 1, len(h) + 1))

@@ -78,22 +78,27 @@ def keyed_weigher(labels: list):
     return weigh
 
 
+def _weigher(labels: list, columns: kernels.Columns, overlap: bool, keyed: bool):
+    ordered = [labels[i] for i in columns.order]
+    return keyed_weigher(ordered) if keyed else weigher(ordered, None, overlap)
+
+
 def _block_pairs(overlap: bool, keyed: bool):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         x, y = key[0].as_py(), key[1].as_py()
         left, right = [r for r in rows if r["block"] == x], [r for r in rows if r["block"] == y]
-        right.sort(key=lambda r: r["tree_id"])
-        if right:
-            h, starts = kernels.forest([np.array(r["parent"]) for r in right])
-            labels = [t for r in right for t in r["label"]]
-            weigh, rows = keyed_weigher(labels) if keyed else weigher(labels, None, overlap), kernels.levels(h)
-        for r in left:
-            if right:
-                got = kernels.path_scores(np.array(r["parent"]), h, starts, weigh(r["label"]), rows)
-                other = [(o["tree_id"], float(s)) for o, s in zip(right, got, strict=True) if (r["tree_id"] < o["tree_id"] if x == y else r["tree_id"] != o["tree_id"])]
-                ends = [(min(r["tree_id"], o), max(r["tree_id"], o), s) for o, s in other]
-                yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in ends], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["g", "h", "score"])
+        if not left or not right:
+            return
+        columns = kernels.Columns([np.array(r["parent"]) for r in right])
+        weigh = _weigher([t for r in right for t in r["label"]], columns, overlap, keyed)
+        scores = kernels.forest_scores([(np.array(r["parent"]), r["label"]) for r in left], columns, weigh)
+        a, b = (np.array([r["tree_id"] for r in side], object) for side in (left, right))
+        i, j = np.nonzero(a[:, None] < b[None, :] if x == y else a[:, None] != b[None, :])
+        g, h = a[i], b[j]
+        turned = g > h
+        ends = np.where(turned, h, g), np.where(turned, g, h)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[0], pa.string()), pa.array(ends[1], pa.string()), pa.array(scores[i, j])], names=["g", "h", "score"])
 
     return run
 
@@ -110,18 +115,16 @@ def all_pair_scores(nodes: DataFrame, weight: KeyedWeight | None = None, overlap
 def landmark_scores(nodes: DataFrame, landmarks: list[dict], weights: dict | None = None) -> DataFrame:
     """(g, h, score) of every tree g and every landmark h (packed rows, a bounded number)."""
     sent = sorted(landmarks, key=lambda r: r["tree_id"])
-    h, starts = kernels.forest([np.array(r["parent"]) for r in sent])
-    labels = [t for r in sent for t in r["label"]]
-    names = [r["tree_id"] for r in sent]
+    labels, names = [t for r in sent for t in r["label"]], [r["tree_id"] for r in sent]
 
-    def run(batches):
-        weigh, rows = weigher(labels, weights), kernels.levels(h)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = kernels.Columns([np.array(r["parent"]) for r in sent])
+        weigh = weigher([labels[i] for i in columns.order], weights)
         for batch in batches:
             trees = batch.to_pylist()
-            got = [kernels.path_scores(np.array(r["parent"]), h, starts, weigh(r["label"]), rows) for r in trees]
-            if trees:
-                ids = [r["tree_id"] for r in trees for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names * len(trees)), pa.array(np.concatenate(got))], names=["g", "h", "score"])
+            scores = kernels.forest_scores([(np.array(r["parent"]), r["label"]) for r in trees], columns, weigh)
+            ids = [r["tree_id"] for r in trees for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names * len(trees), pa.string()), pa.array(scores.ravel(), pa.float64())], names=["g", "h", "score"])
 
     return packed(nodes).mapInArrow(run, PAIRS)
 

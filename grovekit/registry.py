@@ -186,8 +186,10 @@ def self_scores(spark, d):
 
 
 def _landmarks(spark, d, n=32):
-    trees = T.packed(view(spark, d, "event_tree"))
-    return trees.orderBy(F.desc(F.size("parent")), "tree_id").limit(n).collect()
+    """The largest trees, by their numbers of nodes; only they are packed and sent."""
+    nodes = view(spark, d, "event_tree")
+    chosen = [r["tree_id"] for r in nodes.groupBy("tree_id").count().orderBy(F.desc("count"), F.col("tree_id").cast("string")).limit(n).collect()]
+    return T.packed(nodes.where(F.col("tree_id").isin(chosen))).collect()
 
 
 @query()
