@@ -5,13 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 
+def depths(parent: np.ndarray) -> np.ndarray:
+    """Depths of the nodes of a tree or forest (roots -1), by doubling: in each round a node looks twice as far up."""
+    jump = np.asarray(parent, np.int64)
+    depth = (jump >= 0).astype(np.int64)
+    while (inside := np.flatnonzero(jump >= 0)).size:
+        far = jump[inside]
+        depth[inside] += depth[far]
+        after = jump.copy()
+        after[inside] = jump[far]
+        jump = after
+    return depth
+
+
 def levels(parent: np.ndarray) -> list[np.ndarray]:
     """Node numbers by depth."""
-    depth = np.zeros(len(parent), np.int64)
-    for u in range(len(parent)):
-        depth[u] = depth[parent[u]] + 1 if parent[u] >= 0 else 0
+    if not len(parent):
+        return []
+    depth = depths(parent)
     order = np.argsort(depth, kind="stable")
-    return np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1))) if len(parent) else []
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1)))
 
 
 def heaviest_path(parent: np.ndarray, weight: np.ndarray) -> float:
@@ -55,7 +68,7 @@ class Columns:
         return len(self.order)
 
 
-def forest_scores(trees: list[tuple[np.ndarray, list]], columns: Columns, weigh, cells: int = 1_000_000) -> np.ndarray:
+def forest_scores(trees: list[tuple[np.ndarray, list]], columns: Columns, weigh, cells: int = 2_000_000) -> np.ndarray:
     """Scores of ``trees`` (parents, labels) with each tree of ``columns``: (trees, trees of columns).
 
     ``weigh`` gives the weights of some labels with the columns, in their order. Trees are taken together, a depth of all of them and a depth of the columns at a

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovekit.functions import kernels
+
 INDEX = "tree_id string, u int, parent int, depth int, height int, size int, tin int, tout int"
 
 
@@ -37,27 +39,33 @@ def packed(nodes: DataFrame, *extra: str) -> DataFrame:
 
 
 def index_arrays(parent: np.ndarray) -> dict[str, np.ndarray]:
-    """depth, height, size, tin and tout (preorder, children by number) of a tree whose parents come first."""
-    n = len(parent)
-    depth, height, size = np.zeros(n, np.int32), np.zeros(n, np.int32), np.ones(n, np.int32)
-    for u in range(1, n):
-        depth[u] = depth[parent[u]] + 1
-    for u in range(n - 1, 0, -1):
-        size[parent[u]] += size[u]
-        height[parent[u]] = max(height[parent[u]], height[u] + 1)
-    tin, free = np.zeros(n, np.int32), np.ones(n, np.int32)
-    for u in range(1, n):
-        tin[u] = tin[parent[u]] + free[parent[u]]
-        free[parent[u]] += size[u]
+    """depth, height, size, tin and tout (preorder, children by number; from 0 in each tree) of a tree or forest whose parents come first."""
+    n, rows = len(parent), kernels.levels(parent)
+    depth, height, size, tin = (np.full(n, x, np.int32) for x in (0, 0, 1, 0))
+    for d, level in enumerate(rows):
+        depth[level] = d
+    for level in reversed(rows[1:]):
+        up = parent[level]
+        np.add.at(size, up, size[level])
+        np.maximum.at(height, up, height[level] + 1)
+    for level in rows[1:]:
+        order = level[np.argsort(parent[level], kind="stable")]  # siblings side by side, by number
+        up, before = parent[order], np.cumsum(size[order]) - size[order]
+        first = np.concatenate(([True], up[1:] != up[:-1]))
+        tin[order] = tin[up] + 1 + before - before[first][np.cumsum(first) - 1]
     return {"depth": depth, "height": height, "size": size, "tin": tin, "tout": tin + size}
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All trees of a batch are indexed as one forest."""
     for batch in batches:
-        for tree, parent in zip(batch.column("tree_id").to_pylist(), batch.column("parent").to_pylist(), strict=True):
-            parents = np.array(parent, np.int32)
-            got = index_arrays(parents)
-            yield pa.RecordBatch.from_pydict({"tree_id": [tree] * len(parents), "u": np.arange(len(parents), dtype=np.int32), "parent": parents, **got})
+        parents = batch.column("parent")
+        sizes = np.asarray(parents.value_lengths(), np.int64)
+        own = np.asarray(parents.flatten(), np.int64)
+        tree = np.repeat(np.arange(len(sizes)), sizes)
+        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        got = index_arrays(np.where(own >= 0, own + start, -1))
+        yield pa.RecordBatch.from_pydict({"tree_id": batch.column("tree_id").take(pa.array(tree)), "u": pa.array((np.arange(len(own)) - start).astype(np.int32)), "parent": pa.array(own.astype(np.int32)), **got})
 
 
 def tree_index(nodes: DataFrame) -> DataFrame:
