@@ -80,13 +80,34 @@ def ancestors(index: DataFrame) -> DataFrame:
 
 
 def exponential_count(nodes: DataFrame, base: int = 2) -> DataFrame:
-    """Per node and label: the sum of base^distance over the nodes of its subtree with that label; base over 1."""
+    """Per node and label: the sum of base^distance over the nodes of its subtree with that label; base over 1.
+
+    Built from the lowest depth up: a node's rows are its own label and its children's rows times ``base``. So there is as much work as there are rows in the result.
+    """
     if base <= 1:
         raise ValueError("base must be over 1")
-    index = tree_index(nodes)
-    labels = nodes.select(F.col("tree_id").cast("string").alias("tree_id"), "u", "label")
-    pairs = ancestors(index).unionByName(index.select("tree_id", F.col("u").alias("anc"), "u", F.lit(0).alias("dist")))
-    return pairs.join(labels, ["tree_id", "u"]).groupBy("tree_id", F.col("anc").alias("u"), "label").agg(F.sum(F.pow(F.lit(float(base)), "dist")).alias("mass"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column("parent").value_lengths(), np.int64)
+            own, labels = np.asarray(batch.column("parent").flatten(), np.int64), batch.column("label").flatten()
+            if not len(own):
+                continue
+            tree, start = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+            parent, coded = np.where(own >= 0, own + start, -1), labels.dictionary_encode(null_encoding="encode")
+            code, kinds = np.asarray(coded.indices, np.int64), np.int64(len(coded.dictionary))
+            found, keys, mass = [], np.empty(0, np.int64), np.empty(0)
+            for level in reversed(kernels.levels(parent)):
+                up = parent[keys // kinds] * kinds + keys % kinds  # what the level below hands up
+                keys, group = np.unique(np.concatenate((level * kinds + code[level], up)), return_inverse=True)
+                mass = np.bincount(group, weights=np.concatenate((np.ones(len(level)), base * mass)))
+                found.append((keys, mass))
+            keys, mass = (np.concatenate(x) for x in zip(*found, strict=True))
+            node = keys // kinds
+            columns = [batch.column("tree_id").take(pa.array(tree[node])), pa.array((node - start[node]).astype(np.int32)), coded.dictionary.take(pa.array(keys % kinds)), pa.array(mass)]
+            yield pa.RecordBatch.from_arrays(columns, names=["tree_id", "u", "label", "mass"])
+
+    return packed(nodes).mapInArrow(run, f"tree_id string, u int, label {dict(nodes.dtypes)['label']}, mass double")
 
 
 def timestamp_order(parent: list[int], ts: list) -> list[int]:
