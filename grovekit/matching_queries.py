@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovekit.operators import collections as C
+from grovekit.operators import density as D
 from grovekit.operators import exemplars as E
 from grovekit.operators import matching as M
 from grovekit.operators import neighbours as N
@@ -13,7 +14,7 @@ from grovekit.operators import sketches as S
 from grovekit.operators import subtrees as U
 from grovekit.operators import trees as T
 from grovekit.operators.weights import KeyedWeight, label_keys, node_matches
-from grovekit.registry import _CHAIN, _KEYS, _URL, _neighbours, _pairs_sql, _TOP, _url_keys, _walk, _ANC, query
+from grovekit.registry import _ANC, _CHAIN, _KEYS, _SCALED, _TOP, _URL, _neighbours, _pairs_sql, _url_keys, _url_scores, _walk, query
 from grovekit.sources import edges as G
 from grovekit.sources.views import sql, view
 
@@ -232,3 +233,29 @@ def matched_bags(spark, d):
     sources = observed.groupBy("cluster").agg(F.countDistinct("source").alias("n_sources"))
     sums = bags.groupBy("cluster").agg(F.sum("cnt").alias("n_observations"), F.round(F.sum("weight"), 5).alias("total_weight"), F.round(F.sum(F.size("seq") * F.col("weight")) / F.sum("weight"), 5).alias("mean_length"))
     return sums.join(sources, "cluster").select("cluster", "n_observations", "n_sources", "total_weight", "mean_length")
+
+
+# --- clusters by density -----------------------------------------------------------------------------------------------
+_REACH = _SCALED + """, dist AS (SELECT g, h, round(sqrt(greatest(0.0, 1 - s / sqrt(i * j))), 6) AS distance FROM n), sides AS (SELECT g AS tree_id, h AS other, distance FROM dist UNION ALL SELECT h, g, distance FROM dist),
+ core AS (SELECT tree_id, distance AS core FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY distance, other) AS place FROM sides) WHERE place = 4),
+ reach AS (SELECT dist.g, dist.h, greatest(distance, x.core, y.core) AS w FROM dist JOIN core x ON x.tree_id = dist.g JOIN core y ON y.tree_id = dist.h)"""
+
+
+def _reach(spark, d):
+    similar = C.normalised(_url_scores(spark, d), "cosine")
+    return D.mutual_reachability(C.distance(similar).withColumn("distance", F.round("distance", 6)), 4)
+
+
+@query(_REACH + " SELECT g, h, w FROM reach")
+def mutual_reachability(spark, d):
+    return _reach(spark, d)
+
+
+@query(_REACH + """, short AS (SELECT g AS a, h AS b FROM reach WHERE w <= 0.6 UNION ALL SELECT h, g FROM reach WHERE w <= 0.6),
+ walked AS (SELECT tree_id, tree_id AS c FROM own_ids UNION SELECT short.b, walked.c FROM walked JOIN short ON short.a = walked.tree_id),
+ named AS (SELECT tree_id, min(c) AS name FROM walked GROUP BY tree_id), sized AS (SELECT name, count(*) AS cnt FROM named GROUP BY name)
+ SELECT tree_id, CASE WHEN cnt >= 3 THEN name END AS cluster FROM named JOIN sized USING (name)""".replace("FROM own_ids", "FROM (SELECT DISTINCT tree_id FROM t)"))
+def density_clusters(spark, d):
+    """Cutting the spanning tree gives the components of the whole graph of short reachabilities."""
+    trees = view(spark, d, "url_tree").select(F.col("tree_id").cast("string").alias("tree_id"))
+    return D.density_clusters(trees, D.spanning_tree(_reach(spark, d)), at=0.6, least=3)

@@ -298,3 +298,35 @@ def test_matcher_gives_the_nodes_own_ids(spark):
     assert {r["tree_id"]: r["score"] for r in matcher.reference(["x", "A"], [1.0, 4.0]).collect()}["a"] == 5.0
     with pytest.raises(ValueError):
         matcher.match(asked, "guess")
+
+
+def test_spanning_tree_and_density_cuts(spark):
+    from grovekit.operators import density as D
+
+    rng = random.Random(12)
+    names = [f"n{i:02}" for i in range(30)]
+    edges = [(a, b, float(rng.choice([1, 2, 2, 3, 5, 8]))) for a, b in itertools.combinations(names, 2) if rng.random() < 0.2] + [("n00", "n00", 0.5), ("p", "q", 1.0)]
+    rows = spark.createDataFrame(edges, "g string, h string, w double")
+
+    def kruskal(some):
+        root, out = {}, []
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for w, a, b in sorted((w, min(a, b), max(a, b)) for a, b, w in some if a != b):
+            if find(a) != find(b):
+                root[find(a)] = find(b)
+                out.append((a, b, w))
+        return sorted(out), find
+
+    tree = D.spanning_tree(rows).cache()
+    assert sorted(map(tuple, tree.collect())) == kruskal(edges)[0]
+    trees = spark.createDataFrame([(t,) for t in [*names, "p", "q", "alone"]], "tree_id string")
+    for at in (0.0, 1.0, 2.0, 100.0):
+        find = kruskal([e for e in edges if e[2] <= at])[1]
+        groups = {}
+        for t in [*names, "p", "q", "alone"]:
+            groups.setdefault(find(t), []).append(t)
+        want = {t: (min(g) if len(g) >= 3 else None) for g in groups.values() for t in g}
+        assert {r.tree_id: r.cluster for r in D.density_clusters(trees, tree, at, 3).collect()} == want
+    reach = {(r.g, r.h): r.w for r in D.mutual_reachability(spark.createDataFrame([("a", "b", 1.0), ("c", "a", 3.0), ("b", "c", 2.0), ("d", "a", 9.0)], "g string, h string, distance double"), 2).collect()}
+    assert reach == {("a", "b"): 3.0, ("a", "c"): 3.0, ("b", "c"): 3.0}
+    assert D.spanning_tree(rows.limit(0)).collect() == []
