@@ -1,4 +1,4 @@
-"""Likelihood of sequences under one hidden master sequence with inserts, deletions and substitutions, and the search for the master.
+"""Likelihood of sequences under one hidden master sequence with inserts, deletions and substitutions: the model that ``operators.masters`` fits.
 
 Before each master token a run of inserts is drawn (each goes on with ``p_ins``, tokens from the background), then the token is
 left out with ``p_del`` or emitted: itself with 1 - ``eps``, else a background token. A last run of inserts ends the observation. With
@@ -10,12 +10,10 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Hashable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 
-from grovekit.functions.sequences import medoid, progressive_consensus
-
 Tokens = Sequence[Hashable]
 LOWEST, HIGHEST = 1e-4, 0.95
 
@@ -98,155 +96,6 @@ class Indel:
         return float(score[n, m] + _log(1 - self.p_ins)), steps[::-1]
 
 
-def substitution_rate(pairs: Sequence[tuple[Hashable, Hashable, float]], background: Background) -> float:
-    """The eps of 201 values up to 0.30 that makes the emitted (master, token, weight) likeliest."""
-    if not pairs:
-        return 0.0
-    grid = np.linspace(0, 0.3, 201)
-    same = np.array([m == t for m, t, _ in pairs])
-    share, weight = np.array([background.of(t) for _, t, _ in pairs]), np.array([w for *_, w in pairs])
-    with np.errstate(divide="ignore"):
-        total = (weight[:, None] * np.log((1 - grid) * same[:, None] + grid * share[:, None])).sum(axis=0)
-    return float(grid[int(np.argmax(total))])
-
-
-def insertion_rate(lengths: Sequence[int], length: int, p_del: float) -> float:
-    """From the mean length: what goes beyond the emitted tokens are inserts, in length + 1 runs."""
-    more = max(0.0, float(np.mean(lengths)) - length * (1 - p_del))
-    return float(np.clip(more / (more + length + 1), LOWEST, HIGHEST))
-
-
-def length_window(lengths: Sequence[int], slack: int = 1, most: int = 5) -> list[int]:
-    """Candidate master lengths around the observed minimum, median and maximum; if too many, ``most`` of them evenly."""
-    low, high = max(1, min(lengths) - slack), max(lengths) + slack
-    every = sorted({low, int(np.median(lengths)), *range(max(1, int(np.median(lengths)) - slack), high + 1)})
-    return every if len(every) <= most else [every[round(i * (len(every) - 1) / (most - 1))] for i in range(most)]
-
-
-def resized(master: Tokens, length: int, background: Background, rng: np.random.Generator) -> list:
-    return [*master[:length], *(background.draw(rng) for _ in range(length - len(master)))]
-
-
-def starting_master(sequences: Sequence[Tokens], weights: Sequence[float], how: str = "medoid", given: Tokens | None = None) -> list:
-    """medoid, poa, longest, shortest, first or provided."""
-    if how == "provided":
-        if given is None:
-            raise ValueError("no sequence is provided")
-        return list(given)
-    ranked = {"medoid": lambda: sequences[medoid(sequences, weights)[0]], "poa": lambda: progressive_consensus(list(sequences), weights), "longest": lambda: max(sequences, key=len), "shortest": lambda: min(sequences, key=len), "first": lambda: sequences[0]}
-    return list(ranked[how]())
-
-
-def nearest_in_length(sequences: Sequence[Tokens], length: int) -> list:
-    return list(min(sequences, key=lambda s: abs(len(s) - length)))
-
-
-def fit_fixed_length(master: Tokens, sequences: Sequence[Tokens], model: Indel, weights: Sequence[float] | None = None, steps: int = 20, seed: int = 0) -> tuple[list, Indel, float]:
-    """Expectation maximisation by best alignments: a place's token is the majority of what is emitted there, the rates follow from the counts.
-
-    Places that emit nothing are redrawn from the background with probability 0.05. Ends when master and rates stay. Returns them and the likelihood.
-    """
-    rng, master, weights = np.random.default_rng(seed), list(master), list(weights or [1.0] * len(sequences))
-    best = (model.total(master, sequences, weights), master, model)
-    for _ in range(steps):
-        votes, inserted = [Counter() for _ in master], Counter()
-        for s, w in zip(sequences, weights, strict=True):
-            for step, i, j in model.best_alignment(master, s)[1]:
-                if step == "M":
-                    votes[i][s[j]] += w
-                elif step == "I":
-                    inserted[s[j]] += w
-        matched, n, total = sum(sum(v.values()) for v in votes), sum(weights), sum(inserted.values())
-        deleted = n * len(master) - matched
-        after = [max(v, key=lambda t: (v[t], str(t))) if v else (model.background.draw(rng) if rng.random() < 0.05 and model.background.share else m) for v, m in zip(votes, master, strict=True)]
-        rate = replace(
-            model,
-            p_del=float(np.clip((deleted + 0.5) / (deleted + matched + 1), LOWEST, HIGHEST)),
-            p_ins=float(np.clip((total + 0.5) / (total + n * (len(master) + 1) + 1), LOWEST, HIGHEST)),
-            eps=substitution_rate([(m, t, w) for m, v in zip(after, votes, strict=True) for t, w in v.items()], model.background) if model.eps > 0 else 0.0,
-        )
-        if model.eps > 0 and rate.eps == 0:
-            rate = replace(rate, eps=LOWEST)
-        value = rate.total(after, sequences, weights)
-        settled = after == master and rate == model
-        master, model = after, rate
-        if value > best[0]:
-            best = (value, master, model)
-        if settled:
-            break
-    return best[1], best[2], best[0]
-
-
-def proposal(master: list, background: Background, rng: np.random.Generator, longest: int = 64) -> tuple[list, float]:
-    """A master one substitution, insertion, deletion or swap away, and the logarithm of the ratio of the ways back and there."""
-    kinds = ["replace", "insert", "delete", "swap"]
-    kind, n = kinds[int(rng.integers(4))], len(master)
-    if kind == "insert" and n < longest:
-        at, token = int(rng.integers(n + 1)), background.draw(rng)
-        return [*master[:at], token, *master[at:]], _log(1 / (n + 1)) - _log(background.of(token) / (n + 1))
-    if kind == "delete" and n > 1:
-        at = int(rng.integers(n))
-        return [*master[:at], *master[at + 1 :]], _log(background.of(master[at]) / n) - _log(1 / n)
-    if kind == "swap" and n > 1:
-        i, j = rng.choice(n, size=2, replace=False)
-        out = list(master)
-        out[i], out[j] = out[j], out[i]
-        return out, 0.0
-    if kind == "replace" and n:
-        at, token = int(rng.integers(n)), background.draw(rng)
-        return [*master[:at], token, *master[at + 1 :]], _log(background.of(master[at])) - _log(background.of(token))
-    return list(master), 0.0
-
-
-def walk(master: Tokens, sequences: Sequence[Tokens], model: Indel, steps: int, temperature: float = 1.0, seed: int = 0, weights: Sequence[float] | None = None) -> tuple[list, float]:
-    """Metropolis-Hastings over masters; the likeliest one seen. A start of likelihood zero accepts whatever is no worse."""
-    rng, now = np.random.default_rng(seed), list(master)
-    value = model.total(now, sequences, weights)
-    best = (value, now)
-    for _ in range(steps):
-        other, ratio = proposal(now, model.background, rng)
-        there = model.total(other, sequences, weights)
-        gain = math.inf if there >= value else (there - value) / temperature + ratio
-        if gain >= 0 or rng.random() < math.exp(max(gain, -700.0)):
-            now, value = other, there
-            if value > best[0]:
-                best = (value, now)
-    return best[1], best[0]
-
-
-def search_master(sequences: Sequence[Tokens], weights: Sequence[float] | None = None, init: str = "medoid", given: Tokens | None = None, restarts: int = 1, steps: int = 0, temperature: float = 1.0, eps: float = 0.05, seed: int = 0) -> tuple[list, Indel, float]:
-    """For each candidate length and restart: maximise from the resized start, walk from there if ``steps``, maximise again; the likeliest of all."""
-    sequences = [list(s) for s in sequences if len(s)]
-    if not sequences:
-        return [], Indel(Background()), 0.0
-    weights = list(weights or [1.0] * len(sequences))
-    background, start = Background.fit(sequences), starting_master(sequences, weights, init, given)
-    found = []
-    for length in length_window([len(s) for s in sequences]):
-        for r in range(restarts):
-            rng = np.random.default_rng([seed, length, r])
-            model = Indel(background, insertion_rate([len(s) for s in sequences], length, 0.1), 0.1, eps)
-            master, model, value = fit_fixed_length(resized(start if r == 0 else nearest_in_length(sequences, length), length, background, rng), sequences, model, weights, seed=seed + r)
-            if steps:
-                master, _ = walk(master, sequences, model, steps, temperature, seed + r, weights)
-                master, model, value = fit_fixed_length(master, sequences, model, weights, seed=seed + r)
-            found.append((value, -len(master), -r, master, model))
-    value, _, _, master, model = max(found, key=lambda x: x[:3])
-    return master, model, value
-
-
-def grid_search(sequences: Sequence[Tokens], lengths: Sequence[int], inserts: Sequence[float], deletes: Sequence[float], eps: float = 0.05, steps: int = 200, seed: int = 0) -> tuple[list, Indel, float]:
-    """The likeliest master over a grid of lengths and rates, by a walk in each cell."""
-    background, found = Background.fit(sequences), []
-    for place, (length, p_ins, p_del) in enumerate((a, b, c) for a in lengths for b in inserts for c in deletes):
-        model = Indel(background, p_ins, p_del, eps)
-        start = resized(nearest_in_length(sequences, length), length, background, np.random.default_rng([seed, place]))
-        master, value = walk(start, sequences, model, steps, seed=seed + place)
-        found.append((value, -place, master, model))
-    value, _, master, model = max(found, key=lambda x: x[:2])
-    return master, model, value
-
-
 def simulated(master: Tokens, model: Indel, rng: np.random.Generator) -> list:
     """One observation."""
     out = []

@@ -263,6 +263,15 @@ def distance_sqrt(spark, d):
 _TOP = _SCALED + ", r AS (SELECT g, h, score, CAST(row_number() OVER (PARTITION BY g ORDER BY score DESC, h) AS INT) AS rank FROM two)"
 
 
+#: The labels of h in order are the reference; per node only its first fitting place from j on is tried.
+_SQL["reference_match"] = duckdb_sql(_TOP + """, p AS (SELECT DISTINCT least(g, h) AS g, greatest(g, h) AS h FROM r WHERE rank <= 5),
+ nxt AS (SELECT p.g, p.h, a.u, js.u AS j, min(ref.u) AS place FROM p JOIN t a ON a.tree_id = p.g JOIN t ref ON ref.tree_id = p.h AND (a.label = ref.label OR left(a.label, 1) = ref.label) JOIN t js ON js.tree_id = p.h AND ref.u >= js.u GROUP BY ALL),
+ st AS (SELECT g, h, 0 AS u, 0 AS j, 0 AS got FROM p UNION
+  SELECT st.g, st.h, below.u, CASE WHEN way.k = 0 THEN st.j ELSE nxt.place + 1 END, st.got + way.k FROM st CROSS JOIN (VALUES (0), (1)) way(k) JOIN w below ON below.tree_id = st.g AND below.parent = st.u
+   LEFT JOIN nxt ON nxt.g = st.g AND nxt.h = st.h AND nxt.u = st.u AND nxt.j = st.j WHERE way.k = 0 OR nxt.place IS NOT NULL)
+ SELECT st.g, st.h, CAST(max(got + CASE WHEN nxt.place IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS score FROM st LEFT JOIN nxt ON nxt.g = st.g AND nxt.h = st.h AND nxt.u = st.u AND nxt.j = st.j GROUP BY st.g, st.h""")
+
+
 @query(_TOP + "SELECT g, h, score, rank FROM r WHERE rank <= 5")
 def top_matches(spark, d):
     return C.top_matches(_url_scores(spark, d), 5)
@@ -391,13 +400,6 @@ def likelihood_exemplars(spark, d):
     return E.likelihood_exemplars(_tokens(spark, d))
 
 
-@query()
-def toy_model(spark, d):
-    from grovekit.sources import samplers
-
-    return samplers.monotone_timestamps(samplers.toy_model(spark, classes=2, per_class=8))
-
-
 @query("""WITH p AS (SELECT label AS truth, CAST(vec_id % 7 AS INT) AS found FROM embeddings), c AS (SELECT truth, found, count(*) AS n FROM p GROUP BY ALL),
  a AS (SELECT truth, sum(n) AS n FROM c GROUP BY truth), b AS (SELECT found, sum(n) AS n FROM c GROUP BY found), t AS (SELECT sum(n) AS t FROM c),
  x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS same, (SELECT sum(n * (n - 1) / 2) FROM a) AS sa, (SELECT sum(n * (n - 1) / 2) FROM b) AS sb, t,

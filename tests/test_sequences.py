@@ -1,4 +1,4 @@
-"""Sequence kernels, likelihoods and samplers against brute force."""
+"""Sequence kernels, likelihoods and exemplars against brute force."""
 
 import itertools
 import math
@@ -10,7 +10,6 @@ import pytest
 from grovekit.functions import likelihood as L
 from grovekit.functions import sequences as S
 from grovekit.operators import exemplars as E
-from grovekit.sources import samplers
 
 
 def distance(a, b):
@@ -54,18 +53,6 @@ def test_likelihood_sums_over_all_alignments():
     assert L.Background.fit(["ab", "b"]).of("b") == pytest.approx(2.5 / 4)
 
 
-def test_master_is_recovered():
-    master, tokens = list("abcdeb"), "abcde"
-    model = L.Indel(L.Background({t: 0.2 for t in tokens}), 0.05, 0.1, 0.02)
-    seen = L.simulated_set(master, model, 40, seed=2)
-    found, fitted, value = L.search_master(seen)
-    assert found == master and 0 < fitted.p_del < 0.3 and value >= model.total(master, seen) - 5
-    assert L.walk(nearest := L.nearest_in_length(seen, 6), seen, fitted, 50)[1] >= fitted.total(nearest, seen)
-    assert L.grid_search(seen[:8], [6], [0.05], [0.1], steps=30)[2] > -math.inf
-    assert L.search_master([])[0] == [] and L.length_window([3, 4, 9]) == sorted(L.length_window([3, 4, 9]))
-    assert L.starting_master(["ab", "abc"], [1, 1], "longest") == list("abc")
-
-
 def test_alignments_of_many_sequences_at_once():
     from grovekit.operators import masters as M
 
@@ -104,26 +91,6 @@ def test_masters_of_whole_bags(spark):
         assert [r.seq for r in exemplars.collect()] == [list("zzzz")]
 
 
-def test_weighted_subsets_are_drawn_by_products():
-    rng, weights = np.random.default_rng(0), [1.0, 2.0, 4.0]
-    drawn = [tuple(samplers.weighted_subset(weights, 2, rng)) for _ in range(6000)]
-    total = 1 * 2 + 1 * 4 + 2 * 4
-    for pair in itertools.combinations(range(3), 2):
-        assert drawn.count(pair) / 6000 == pytest.approx(weights[pair[0]] * weights[pair[1]] / total, abs=0.03)
-    with pytest.raises(ValueError):
-        samplers.normalized([1, -1])
-
-
-def test_toy_model(spark):
-    trees = samplers.monotone_timestamps(samplers.toy_model(spark, classes=2, per_class=3, length=5, alphabet=6, seed=4, sampler=samplers.GaltonWatson(depth=6, cap=60, full_depth=False)))
-    rows = trees.collect()
-    assert {r.tree_id for r in rows} == set(range(6)) and sorted(map(tuple, trees.collect())) == sorted(map(tuple, rows))
-    at = {(r.tree_id, r.u): r for r in rows}
-    for r in rows:
-        assert r.parent < r.u and (r.parent < 0 or at[r.tree_id, r.parent].ts < r.ts)
-        assert not r.is_planted or r.parent < 0 or at[r.tree_id, r.parent].is_planted
-
-
 def test_exemplars_of_bags(spark):
     rows = [(c, list(s), w, n) for c, s, w, n in (("x", "abcd", 2.0, 2), ("x", "abd", 1.0, 1), ("x", "abcd" + "e", 0.5, 3), ("y", "ee", 1.0, 1))]
     bags = spark.createDataFrame(rows, "cluster string, seq array<string>, weight double, cnt long")
