@@ -184,7 +184,7 @@ def _sampled(documents: DataFrame, truth: DataFrame, words: dict[int, int], samp
     return np.unpackbits(flat, axis=1, count=width).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int = 1024, sample: int = 20_000, folds: int = 5):
+def train(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int = 1024, sample: int = 20_000, folds: int = 5, least_docs: int = 5):
     """(words, weights, pattern weights, intercept) of the classifier; reads labels of training rows only."""
     small_batches(docs.sparkSession)
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(folds)).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int
     # Labels grow with the documents: never broadcast, the plan is the same at every size.
     given = salted(documents.mapInArrow(released(_features), "doc_id long, words array<int>"), 4, F.hash("words")).join(salted(truth, 4).hint("merge"), ["doc_id", "salt"])
     counted = given.select("words", "toxic").mapInArrow(released(_word_counts), "word int, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = checkpointed(counted.where("word IS NULL OR clean + toxic >= 5"))
+    counts = checkpointed(counted.where(F.col("word").isNull() | (F.col("clean") + F.col("toxic") >= least_docs)))
     totals = counts.where("word IS NULL").first()
     n = np.array([totals["clean"], totals["toxic"]] if totals else [0, 0], float)
     if not n.all():
@@ -214,23 +214,23 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int
     return words, w[len(PATTERNS) : -1], w[: len(PATTERNS)], float(w[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int = 1024, sample: int = 20_000, folds: int = 5) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int = 1024, sample: int = 20_000, folds: int = 5, least_docs: int = 5) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     Labels (``labels(doc_id, toxic, ...)``) are read only for ids whose crc32 modulo ``folds`` is not 0, and only to
     choose and count words; null labels and ids are ignored, of repeated labels the largest counts. Without labels of both kinds
     every score is that of the only class (0 without any). A null or empty text is scored as a text without words, a very long one
-    whole. Of words with equal likelihood ratios those of the smaller hash come first. Ids may be null or repeated (each row is
+    whole. Words that fewer than ``least_docs`` labelled training documents hold say nothing. Of words with equal likelihood ratios those of the smaller hash come first. Ids may be null or repeated (each row is
     scored by its own text); other columns are not read.
     """
-    model = train(docs, labels, lexicon, features, sample, folds)
+    model = train(docs, labels, lexicon, features, sample, folds, least_docs)
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", held_out(folds).alias("held_out"))
     return documents.mapInArrow(released(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int = 1024, sample: int = 20_000, folds: int = 5) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, lexicon: int = 512, features: int = 1024, sample: int = 20_000, folds: int = 5, least_docs: int = 5) -> DataFrame:
     """The rows of ``docs`` that toxicity_scores does not predict to be toxic, with all their columns; decided row by row, whatever the id."""
-    model = train(docs, labels, lexicon, features, sample, folds)
+    model = train(docs, labels, lexicon, features, sample, folds, least_docs)
 
     def keep(parts):
         score = _scorer(model)
