@@ -132,11 +132,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but those with the
     query's own vec_id. Rows with a null id, a null vector, or a null or non-finite component take no part.
     Shorter vectors count zero in missing places, an empty one everywhere. Repeated rows are candidates each.
-    A shard holds about ``shard_rows`` vectors; every query is sent to every shard once, as a stated query set.
+    Components so large that a score may pass 2^63 raise ValueError. A shard holds about ``shard_rows`` vectors; every query is sent to every shard once, as a stated query set.
     """
     spark = vectors.sparkSession
     usable = integer_vectors(vectors, scale)
-    shards = max(partitions(spark), -(-usable.count() // shard_rows))
+    # Components beyond the longs are cut off at their ends, which the check meets too.
+    largest = F.array_max(F.transform("value", lambda x: F.abs(x.cast("double"))))
+    facts = usable.agg(F.count("*").alias("n"), F.max(F.size("value")).alias("width"), F.max(largest).alias("most")).collect()[0]
+    if (facts["width"] or 0) * ((facts["most"] or 0.0) + 1) ** 2 >= 2.0**63:
+        raise ValueError("components are too large: scores would pass 2^63")
+    shards = max(partitions(spark), -(-facts["n"] // shard_rows))
     places = F.pmod(F.xxhash64("vec_id", "value"), F.lit(shards)).cast("int")
     held = usable.select(places.alias("shard"), F.lit(0).alias("kind"), "vec_id", "value")
     asked = usable.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "value")

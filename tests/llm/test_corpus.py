@@ -257,6 +257,9 @@ def test_maxscore(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     assert sorted(map(tuple, maxscore.top_k(table).collect())) == sorted(want)
     assert maxscore.top_k(table.limit(0)).collect() == []
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too large"):
+        maxscore.top_k(huge)
 
 
 def test_lm_scores(spark, docs, nothing):
