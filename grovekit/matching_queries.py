@@ -14,7 +14,7 @@ from grovekit.operators import sketches as S
 from grovekit.operators import subtrees as U
 from grovekit.operators import trees as T
 from grovekit.operators.weights import KeyedWeight, label_keys, node_matches
-from grovekit.registry import _ANC, _CHAIN, _KEYS, _SCALED, _TOP, _URL, _neighbours, _pairs_sql, _url_keys, _url_scores, _walk, query
+from grovekit.registry import _ANC, _BAGS, _CHAIN, _HEAVIEST, _KEYS, _SCALED, _TOP, _URL, _heaviest, _neighbours, _pairs_sql, _tokens, _url_keys, _url_scores, _walk, query
 from grovekit.sources import edges as G
 from grovekit.sources.views import sql, view
 
@@ -259,3 +259,44 @@ def density_clusters(spark, d):
     """Cutting the spanning tree gives the components of the whole graph of short reachabilities."""
     trees = view(spark, d, "url_tree").select(F.col("tree_id").cast("string").alias("tree_id"))
     return D.density_clusters(trees, D.spanning_tree(_reach(spark, d)), at=0.6, least=3)
+
+
+# --- reports -------------------------------------------------------------------------------------------------------------
+@query(_TOP + """, p AS (SELECT DISTINCT least(g, h) AS g, greatest(g, h) AS h FROM r WHERE rank <= 2), cls AS (SELECT tree_id, count(*) % 3 AS label FROM t GROUP BY tree_id), ends AS (SELECT g AS tree_id, h AS other FROM p UNION ALL SELECT h, g FROM p),
+ deg AS (SELECT cls.tree_id, count(ends.other) AS d FROM cls LEFT JOIN ends USING (tree_id) GROUP BY cls.tree_id), cl AS (SELECT avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS same, sum(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS held FROM p JOIN cls a ON a.tree_id = p.g JOIN cls b ON b.tree_id = p.h),
+ tot AS (SELECT sum(cnt * (cnt - 1) / 2) AS total FROM (SELECT count(*) AS cnt FROM cls GROUP BY label)), hit AS (SELECT r.g, avg(CASE WHEN ends.other IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM r LEFT JOIN ends ON ends.tree_id = r.g AND ends.other = r.h WHERE r.rank <= 5 GROUP BY r.g)
+ SELECT count(*) AS n_points, CAST(sum(d) / 2 AS BIGINT) AS n_candidate_pairs, round(avg(d), 6) AS avg_degree, min(d) AS min_degree, max(d) AS max_degree, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END), 6) AS isolated_fraction,
+  round((SELECT same FROM cl), 6) AS same_class_fraction, round((SELECT held FROM cl) / (SELECT total FROM tot), 6) AS same_class_pair_recall, round((SELECT avg(score) FROM scores), 6) AS mean_exact_sim_all_pairs,
+  round((SELECT avg(score) FROM scores JOIN p USING (g, h)), 6) AS mean_exact_sim_candidates, round((SELECT avg(share) FROM hit), 6) AS topk_recall FROM deg""")
+def candidate_report(spark, d):
+    nodes, scores = view(spark, d, "url_tree"), _url_scores(spark, d)
+    classes = nodes.groupBy("tree_id").agg((F.count("*") % 3).alias("label"))
+    row = C.candidate_report(C.candidate_pairs(C.top_matches(scores, 2)), nodes, classes, scores, k=5)
+    return row.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in row.dtypes])
+
+
+_TRUTHS = ", tr AS (SELECT cluster, min(seq) || 'X' AS truth FROM b GROUP BY cluster)"
+
+
+def _truths(bags):
+    """No observation is the truth: the smallest sequence and a letter that none has."""
+    return bags.groupBy("cluster").agg(F.concat(F.min("seq"), F.array(F.lit("X"))).alias("truth"))
+
+
+@query(_BAGS + _TRUTHS + """, raws AS (SELECT cluster, median(length(seq)) AS m FROM s GROUP BY cluster)
+ SELECT cluster, count(*) AS n_unique, CAST(sum(cnt) AS BIGINT) AS n_observations, round(sum(weight), 5) AS total_weight, round(1 - count(*) / sum(cnt), 6) AS duplicate_fraction, round(sum(length(seq) * weight) / sum(weight), 5) AS mean_length,
+  CAST(min(length(seq)) AS INT) AS min_length, CAST(max(length(seq)) AS INT) AS max_length, CAST(max(m) AS DOUBLE) AS median_length, bool_or(seq = truth) AS truth_present, CAST(min(levenshtein(seq, truth)) AS INT) AS best_edit,
+  round(min(levenshtein(seq, truth) / greatest(length(seq), length(truth))), 6) AS best_normalized_edit FROM b JOIN tr USING (cluster) JOIN raws USING (cluster) GROUP BY cluster""")
+def bag_report(spark, d):
+    bags = _tokens(spark, d)
+    found = E.bag_report(bags, _truths(bags))
+    return found.select("cluster", *[F.round(c, 5 if c in ("total_weight", "mean_length") else 6).alias(c) if kind == "double" and c != "median_length" else F.col(c) for c, kind in found.dtypes if c != "cluster"])
+
+
+@query(_HEAVIEST + _TRUTHS + """ SELECT cluster, CAST(length(exemplar) AS INT) AS length, CAST(max(levenshtein(exemplar, truth)) AS INT) AS edit_to_truth, round(max(levenshtein(exemplar, truth) / greatest(length(exemplar), length(truth))), 6) AS norm_edit_to_truth,
+  round(max(length(exemplar) / length(truth)), 6) AS length_ratio_to_truth, round(sum(weight * levenshtein(seq, exemplar)) / sum(weight), 5) AS within_mean_edit,
+  round(sum(weight * levenshtein(seq, exemplar) / greatest(length(seq), length(exemplar))) / sum(weight), 5) AS within_mean_norm_edit FROM x JOIN tr USING (cluster) JOIN b USING (cluster) GROUP BY cluster, exemplar""")
+def exemplar_report(spark, d):
+    bags = _tokens(spark, d)
+    found = E.exemplar_report(_heaviest(bags).select("cluster", F.col("exemplar").alias("seq")), bags, _truths(bags))
+    return found.select("cluster", "length", "edit_to_truth", *[F.round(c, 6).alias(c) for c in ("norm_edit_to_truth", "length_ratio_to_truth")], *[F.round(c, 5).alias(c) for c in ("within_mean_edit", "within_mean_norm_edit")])

@@ -116,6 +116,36 @@ def candidate_diagnostics(pairs: DataFrame, trees: DataFrame) -> DataFrame:
     return degree.agg(F.count("*").alias("n_trees"), (F.sum("degree") / 2).cast("long").alias("n_pairs"), F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"), F.sum((F.col("degree") == 0).cast("long")).alias("isolated"))
 
 
+def candidate_report(pairs: DataFrame, trees: DataFrame, classes: DataFrame | None = None, scores: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """One row on the candidate ``pairs(g, h)`` of ``trees(tree_id)``.
+
+    n_points, n_candidate_pairs, avg_degree, min_degree, max_degree, isolated_fraction; with ``classes(tree_id, label)`` same_class_fraction (of the candidates) and same_class_pair_recall (of all pairs
+    of one class); with the ``scores(g, h, score)`` of all pairs mean_exact_sim_all_pairs, mean_exact_sim_candidates and topk_recall: the mean share of a tree's ``k`` best partners (by
+    score, ties to the smaller id) that are candidates. What has no pair to speak of is null, a recall of nothing 0.
+    """
+    own = pairs.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).where("g <> h").distinct()
+    ids = trees.select(F.col("tree_id").cast("string").alias("tree_id")).distinct()
+    ends = own.select(F.col("g").alias("tree_id"), F.col("h").alias("other")).unionByName(own.select(F.col("h").alias("tree_id"), F.col("g").alias("other")))
+    degree = ids.join(ends.groupBy("tree_id").agg(F.count("*").alias("n")), "tree_id", "left").fillna(0, ["n"])
+    row = degree.agg(
+        F.count("*").alias("n_points"), (F.sum("n") / 2).cast("long").alias("n_candidate_pairs"), F.avg("n").alias("avg_degree"), F.min("n").alias("min_degree"), F.max("n").alias("max_degree"), F.avg((F.col("n") == 0).cast("double")).alias("isolated_fraction")
+    )
+    if classes is not None:
+        named = classes.select(F.col("tree_id").cast("string").alias("tree_id"), "label")
+        both = own.join(named.select(F.col("tree_id").alias("g"), F.col("label").alias("a")), "g").join(named.select(F.col("tree_id").alias("h"), F.col("label").alias("b")), "h")
+        same = (F.col("a") == F.col("b")).cast("double")
+        held = both.agg(F.avg(same).alias("same_class_fraction"), F.coalesce(F.sum(same), F.lit(0.0)).alias("held"))
+        total = named.groupBy("label").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)).alias("total"))
+        row = row.join(held).join(total).withColumn("same_class_pair_recall", F.col("held") / F.greatest("total", F.lit(1.0))).drop("held", "total")
+    if scores is not None:
+        known = scores.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), "score")
+        row = row.join(known.agg(F.avg("score").alias("mean_exact_sim_all_pairs"))).join(known.join(own, ["g", "h"]).agg(F.avg("score").alias("mean_exact_sim_candidates")))
+        best = top_matches(scores, k).select(F.col("g").alias("tree_id"), F.col("h").alias("other"))
+        found = best.join(ends.withColumn("hit", F.lit(1.0)), ["tree_id", "other"], "left").groupBy("tree_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("share"))
+        row = row.join(found.agg(F.avg("share").alias("topk_recall")))
+    return row
+
+
 def sequence_bags(sequences: DataFrame) -> DataFrame:
     """``sequences(cluster, source, seq)`` to cluster, seq, weight, cnt; an observation weighs 1 / (its source's observations in the cluster)."""
     per = F.count("*").over(W.partitionBy("cluster", "source"))

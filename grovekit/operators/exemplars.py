@@ -75,6 +75,48 @@ def truth_diagnostics(bags: DataFrame, truths: DataFrame, distance: Column) -> D
     return met.groupBy("cluster").agg((1 - F.count("*") / F.sum("cnt")).alias("duplicates"), F.max(F.col("seq") == F.col("exemplar")).alias("present"), F.min(distance).alias("best_edit"))
 
 
+def bag_report(bags: DataFrame, truths: DataFrame | None = None) -> DataFrame:
+    """Per cluster: n_unique, n_observations, total_weight, duplicate_fraction, mean_length (by weight), median_length, min_length, max_length (of ``seq`` as an array of tokens).
+
+    With ``truths(cluster, truth)`` also truth_present, best_edit and best_normalized_edit: the nearest observed sequence; null without a truth.
+    """
+    length = F.size("seq")
+    floor = F.greatest("weight", F.lit(1e-12))
+    sums = bags.groupBy("cluster").agg(
+        F.count("*").alias("n_unique"), F.sum("cnt").alias("n_observations"), F.sum("weight").alias("total_weight"), (1 - F.count("*") / F.sum("cnt")).alias("duplicate_fraction"),
+        (F.sum(length * floor) / F.sum(floor)).alias("mean_length"), F.min(length).alias("min_length"), F.max(length).alias("max_length"),
+    ).join(median_length(bags, length), "cluster")
+    if truths is None:
+        return sums
+    both = as_text(bags.select("cluster", "seq", F.lit(False).alias("told")).unionByName(truths.select("cluster", F.col("truth").alias("seq"), F.lit(True).alias("told"))))
+    told = both.where("told").select("cluster", F.col("text").alias("truth"), F.size("seq").alias("n"))
+    edit = F.levenshtein("text", "truth")
+    near = both.where("NOT told").join(told, "cluster").groupBy("cluster").agg(
+        F.max(F.col("text") == F.col("truth")).alias("truth_present"), F.min(edit).alias("best_edit"), F.min(edit / F.greatest(F.size("seq"), "n", F.lit(1))).alias("best_normalized_edit")
+    )
+    return sums.join(near, "cluster", "left")
+
+
+def exemplar_report(exemplars: DataFrame, bags: DataFrame, truths: DataFrame) -> DataFrame:
+    """Per cluster of ``exemplars(cluster, seq)``: length, edit_to_truth, norm_edit_to_truth, length_ratio_to_truth (null without a truth), within_mean_edit, within_mean_norm_edit (null for an empty bag).
+
+    Each cluster meets its own bag and truth only.
+    """
+    kinds = {0: exemplars.select("cluster", "seq", F.lit(1.0).alias("weight")), 1: truths.select("cluster", F.col("truth").alias("seq"), F.lit(1.0).alias("weight")), 2: bags.select("cluster", "seq", "weight")}
+    rows = None
+    for kind, frame in kinds.items():
+        rows = frame.withColumn("kind", F.lit(kind)) if rows is None else rows.unionByName(frame.withColumn("kind", F.lit(kind)))
+    spelled = as_text(rows).select("cluster", "kind", "weight", F.coalesce("text", F.lit("")).alias("text"), F.size("seq").alias("n"))
+    own = spelled.where("kind = 0").select("cluster", F.col("text").alias("exemplar"), F.col("n").alias("length"))
+    met = own.join(spelled.where("kind > 0"), "cluster", "left").withColumn("edit", F.levenshtein("text", "exemplar")).withColumn("norm", F.col("edit") / F.greatest("n", "length", F.lit(1)))
+    truth, bag = F.col("kind") == 1, F.col("kind") == 2
+    weight = F.sum(F.when(bag, F.col("weight")))
+    return met.groupBy("cluster", "length").agg(
+        F.max(F.when(truth, F.col("edit"))).alias("edit_to_truth"), F.max(F.when(truth, F.col("norm"))).alias("norm_edit_to_truth"), F.max(F.when(truth, F.col("length") / F.greatest("n", F.lit(1)))).alias("length_ratio_to_truth"),
+        (F.sum(F.when(bag, F.col("weight") * F.col("edit"))) / weight).alias("within_mean_edit"), (F.sum(F.when(bag, F.col("weight") * F.col("norm"))) / weight).alias("within_mean_norm_edit"),
+    )
+
+
 def as_text(bags: DataFrame) -> DataFrame:
     """``bags`` with ``text``: each token of ``seq`` as one character, by the token's rank in its cluster, so that built-in distances of texts are those of the sequences."""
     tokens = bags.select("cluster", F.explode("seq").alias("token")).distinct()
