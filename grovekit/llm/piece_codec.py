@@ -186,7 +186,8 @@ class Remembered:
     """Texts to (number of ids, ids as decimal text, decoded bytes), a word at a time; words that were seen before are looked up.
 
     Of a word with its space are remembered its ids, how many they are, and what they decode to. Marks after a word
-    are encoded apart where no piece holds the two characters at the border, as then no merge spans it.
+    are encoded apart where no piece holds the two characters at the border, as then no merge spans it. ``limit`` words are remembered: when half of
+    them are new ones, the older half goes, but for those that are met again.
     """
 
     MARKS = "!#$%&()*+,-./:;<=>?@[]^{|}~\"'"
@@ -195,6 +196,7 @@ class Remembered:
         self.codec, self.limit = c, limit
         #: What follows a space; and whole words of other texts, and marks.
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         self.whole: dict[str, tuple[int, str, bytes]] = {}
 
     def _coded(self, word: str) -> tuple[int, str, bytes]:
@@ -212,7 +214,7 @@ class Remembered:
     def _after_space(self, part: str) -> tuple[int, str, bytes]:
         word = part.rstrip(self.MARKS)
         if word and len(word) < len(part) and (word[-1], part[len(word)]) not in self.codec.v.joined:
-            first = self.known.get(word)
+            first = self.known.get(word) or self.older.get(word)
             if first is None:
                 first = self.known[word] = self._coded(SPACE + word)
             n, ids, held = self._word(part[len(word) :])
@@ -227,11 +229,11 @@ class Remembered:
             got = list(map(self._word, self.codec.v.words(text)))
         else:
             new = set(parts).difference(self.known)
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
+            if 2 * (len(self.known) + len(new)) > self.limit:
+                self.known, self.older = {}, self.known
                 new = set(parts)
             for part in new:
-                self.known[part] = self._after_space(part)
+                self.known[part] = self.older.get(part) or self._after_space(part)
             got = list(map(self.known.__getitem__, parts))
         counts, ids, held = zip(*got, strict=True)
         return sum(counts), ",".join(ids), b"".join(held).removeprefix(b" ")
