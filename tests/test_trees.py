@@ -1,5 +1,7 @@
 """Tree tables in Spark: checks, indexes, pair scores."""
 
+import tracemalloc
+
 import numpy as np
 
 import __spark_entry__
@@ -38,6 +40,28 @@ def test_all_pairs_by_blocks_equal_single_pairs(spark):
             assert got[a, b] == kernels.path_pairs(np.array(p), np.array(q), matching.label_weights(x, y, None))[0]
 
 
+def test_scores_hold_only_what_trees_have_in_common(spark):
+    """Two large trees with few labels in common, copies of one tree, and a walk in parts: no table of all nodes, and the same scores."""
+    rng, n = np.random.default_rng(5), 30_000
+    wide = [("wide", 0, -1, "r"), *(("wide", u, int(u > 9) * (1 + u % 9), f"w{u}") for u in range(1, n))]
+    other = [("other", 0, -1, "r"), *(("other", u, 0 if u < 10 else u % 9 + 1, f"w{u}" if u in (3, 11, 13) else f"o{u}") for u in range(1, n))]
+    copies = [(f"c{i}", u, u - 1, label) for i in range(3) for u, label in enumerate("rab")]
+    given = spark.createDataFrame([*wide, *other, *copies], "tree_id string, u int, parent int, label string")
+    tracemalloc.start()
+    lists = [{"parent": [r[2] for r in t], "label": [r[3] for r in t]} for t in (wide, other)]
+    assert matching.shared_scores(lists[:1], lists[1:])[0, 0] == 3.0  # r, w3, w11
+    assert tracemalloc.get_traced_memory()[1] < 1 << 28  # the whole table has 7 GB
+    tracemalloc.stop()
+    got = {(r.g, r.h): r.score for r in matching.all_pair_scores(given, block_members=2).collect()}
+    assert got == {("c0", "c1"): 3.0, ("c0", "c2"): 3.0, ("c1", "c2"): 3.0, **{(f"c{i}", t): 1.0 for i in range(3) for t in ("other", "wide")}, ("other", "wide"): 3.0}
+    for _ in range(20):
+        g, hs = np.array([-1, *(int(rng.integers(0, u)) for u in range(1, 30))]), [np.array([-1, *(int(rng.integers(0, u)) for u in range(1, m))]) for m in (7, 20)]
+        labels, own = [int(x) for x in rng.integers(0, 4, 27)], [int(x) for x in rng.integers(0, 4, 30)]
+        columns = kernels.Columns(hs)
+        weigh = matching.weigher([labels[i] for i in columns.order], None)
+        assert (kernels.forest_scores([(g, own)], columns, weigh, cells=60) == kernels.forest_scores([(g, own)], columns, weigh)).all()
+
+
 def test_empty_collection(spark):
     assert matching.all_pair_scores(spark.createDataFrame([], "tree_id string, u int, parent int, label string")).collect() == []
 
