@@ -19,13 +19,15 @@ def labelled_index(index: DataFrame, nodes: DataFrame) -> DataFrame:
     return index.join(nodes.select(F.col("tree_id").cast("string").alias("tree_id"), "u", "label"), ["tree_id", "u"])
 
 
-def heaviest(rows: DataFrame, size: int, *by: str) -> DataFrame:
-    """The ``size`` tokens of the largest mass of each group; ties to the greater token."""
+def heaviest(rows: DataFrame, size: int | None, *by: str) -> DataFrame:
+    """The ``size`` tokens (None: all) of the largest mass of each group; ties to the greater token."""
+    if size is None:
+        return rows.where("mass > 0")
     place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("mass"), F.desc("token")))
     return rows.withColumn("place", place).where((F.col("place") <= size) & (F.col("mass") > 0)).drop("place")
 
 
-def run_tokens(labelled: DataFrame, length: int, size: int) -> DataFrame:
+def run_tokens(labelled: DataFrame, length: int, size: int | None) -> DataFrame:
     """(tree_id, u, token, mass): the downward runs of ``length`` labels that begin at a node, as arrays, with their numbers; the ``size`` most frequent of each node and length."""
     runs = labelled.select("tree_id", "u", F.array(F.col("label").cast("string")).alias("token"), F.lit(1.0).alias("mass"))
     up = labelled.where("parent >= 0").select("tree_id", "u", "parent")
@@ -36,7 +38,7 @@ def run_tokens(labelled: DataFrame, length: int, size: int) -> DataFrame:
     return runs.select("tree_id", "u", "token", "mass")
 
 
-def lookahead_sketches(labelled: DataFrame, size: int = 32, discount: float = 0.85, run_length: int | None = None) -> DataFrame:
+def lookahead_sketches(labelled: DataFrame, size: int | None = 32, discount: float = 0.85, run_length: int | None = None) -> DataFrame:
     """(tree_id, u, token, mass) of the strict descendants of each node, and of the whole tree as node -1.
 
     Tokens are arrays of labels: single ones, or runs of ``run_length``. A null label is no token. The root adds 1 to node -1, and all below it ``discount`` times their mass.

@@ -330,3 +330,11 @@ def test_spanning_tree_and_density_cuts(spark):
     reach = {(r.g, r.h): r.w for r in D.mutual_reachability(spark.createDataFrame([("a", "b", 1.0), ("c", "a", 3.0), ("b", "c", 2.0), ("d", "a", 9.0)], "g string, h string, distance double"), 2).collect()}
     assert reach == {("a", "b"): 3.0, ("a", "c"): 3.0, ("b", "c"): 3.0}
     assert D.spanning_tree(rows.limit(0)).collect() == []
+
+
+def test_sketches_without_a_bound_hold_all_tokens(spark):
+    """A root with more children than any bound of before: every run of two labels has a row."""
+    nodes = spark.createDataFrame([("t", 0, -1, "r"), *(("t", u, 0, f"x{u}") for u in range(1, 1203))], "tree_id string, u int, parent int, label string")
+    labelled = S.labelled_index(T.tree_index(nodes), nodes)
+    assert S.lookahead_sketches(labelled, size=None, run_length=2).count() == 1202
+    assert S.lookahead_sketches(labelled, size=1000, run_length=2).count() == 1000
