@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.functions import kernels
+from grovekit.operators.matching import shared_nodes
 from grovekit.operators.paths import PAIR_TYPE, PAIRS, keyed_weights
 from grovekit.operators.trees import packed
 from grovekit.operators.weights import KeyedWeight
+from grovekit.sources.storage import checkpointed
 
 SUBTREES = f"g string, h string, root_u int, root_v int, score double, pairs {PAIRS}"
 
@@ -26,6 +28,9 @@ def subtree_matches(pairs: DataFrame, nodes: DataFrame, ordered: bool = True, we
     """
     trees = packed((weight or KeyedWeight()).keyed_nodes(nodes), *(["ts"] if by_time else []))
     columns = ["parent", "label", *(["ts"] if by_time else [])]
+    # trees that are equal in all nodes are one kind; kinds are matched, and their pairs get the result
+    hashed = checkpointed(trees.withColumn("kind", F.sha2(F.to_json(F.struct(*columns)), 256)))
+    trees = hashed.groupBy(F.col("kind").alias("tree_id")).agg(*[F.min_by(c, "tree_id").alias(c) for c in columns])
     left = trees.select(F.col("tree_id").alias("g"), F.struct(*columns).alias("tree_g"))
     right = trees.select(F.col("tree_id").alias("h"), F.struct(*columns).alias("tree_h"))
     root = lambda c: F.col(c).cast("int") if c in pairs.columns else F.lit(0)
@@ -49,7 +54,13 @@ def subtree_matches(pairs: DataFrame, nodes: DataFrame, ordered: bool = True, we
                 for u, v in roots:
                     if not (0 <= u < len(g["parent"]) and 0 <= v < len(h["parent"])):
                         raise ValueError(f"a root lies outside tree bounds: {r['g']}, {r['h']}: {u}, {v}")
-                found = kernels.subtree_matches(np.array(g["parent"]), np.array(h["parent"]), keyed_weights(g["label"], h["label"]), roots, ordered, ranks)
+                if ordered or roots != [(0, 0)]:
+                    found = kernels.subtree_matches(np.array(g["parent"]), np.array(h["parent"]), keyed_weights(g["label"], h["label"]), roots, ordered, ranks)
+                else:  # without order, nodes that have nothing in common at or below them are in no match
+                    keys = ([[k["key"] for k in t or ()] for t in side["label"]] for side in (g, h))
+                    (p, us), (q, vs) = shared_nodes(g["parent"], h["parent"], *keys, closed=True)
+                    some = kernels.subtree_matches(p, q, keyed_weights([g["label"][u] for u in us], [h["label"][v] for v in vs]), roots, ordered)
+                    found = [(score, [(int(us[a]), int(vs[b])) for a, b in matched]) for score, matched in some]
                 for (u, v), (score, matched) in zip(roots, found, strict=True):
                     if by_time:
                         matched = sorted(matched, key=lambda p, at=ranks[0]: (at[p[0]], p[0]))
@@ -58,7 +69,11 @@ def subtree_matches(pairs: DataFrame, nodes: DataFrame, ordered: bool = True, we
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), PAIR_TYPE]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "h", "root_u", "root_v", "score", "pairs"])
 
-    return wanted.join(left, "g").join(right, "h").mapInArrow(run, SUBTREES)
+    g, h = (hashed.select(F.col("tree_id").alias(f"t_{c}"), F.col("kind").alias(c)) for c in ("g", "h"))
+    named = wanted.select(F.col("g").alias("t_g"), F.col("h").alias("t_h"), "roots").join(g, "t_g").join(h, "t_h")
+    found = named.select("g", "h", "roots").distinct().join(left, "g").join(right, "h").mapInArrow(run, SUBTREES)
+    asked = named.select("g", "h", "t_g", "t_h", F.explode("roots").alias("r")).select("g", "h", "t_g", "t_h", F.col("r.u").alias("root_u"), F.col("r.v").alias("root_v"))
+    return asked.join(found, ["g", "h", "root_u", "root_v"]).select(F.col("t_g").alias("g"), F.col("t_h").alias("h"), "root_u", "root_v", "score", "pairs")
 
 
 def annotated(matches: DataFrame, nodes: DataFrame, side: str = "g") -> DataFrame:

@@ -87,3 +87,23 @@ def test_assignment_equals_all_permutations():
 def test_weighted_reference():
     assert K.weighted_reference(chain(3), [[("a", None)], [("x", None)], [("c", None)]], ["a", "b", "c"], [1.0, 1.0, 2.0]) == 3.0
     assert K.weighted_reference(chain(1), [[("a", 1.0)]], [], []) == 0.0
+
+
+def test_shared_nodes_give_the_pairs_of_the_whole_table():
+    """Path matches from shared nodes have the scores, pairs and ties of the table of all nodes; so have the scores of unordered subtrees and references."""
+    from grovekit.functions import kernels
+    from grovekit.operators import matching as M
+
+    rng = np.random.default_rng(11)
+    for _ in range(150):
+        (g, a), (h, b) = (([-1, *(int(rng.integers(max(0, u - 4), u)) for u in range(1, n))], [f"{side}{x}" if x > 3 else f"s{x}" for x in rng.integers(0, 7, n)]) for side, n in (("g", 18), ("h", 15)))
+        weight = M.label_weights(a, b, None)
+        keys = [[(t,) for t in side] for side in (a, b)]
+        for prefer in (True, False):
+            whole = kernels.path_pairs(np.array(g), np.array(h), weight, prefer, only_positive=True)
+            assert M.best_path(g, h, *keys, lambda us, vs: weight[np.ix_(us, vs)], prefer) == whole  # noqa: B023
+        (p, us), (q, vs) = M.shared_nodes(g, h, *keys, closed=True)
+        assert kernels.unordered_subtree(p, q, weight[np.ix_(us, vs)]) == kernels.unordered_subtree(np.array(g), np.array(h), weight)
+        assert kernels.ordered_subtree(p, q, weight[np.ix_(us, vs)]) == kernels.ordered_subtree(np.array(g), np.array(h), weight)
+        offers, ones = [[(t, 0.0)] for t in a], [1.0] * len(b)
+        assert kernels.weighted_reference(np.array(g), offers, b, ones) == kernels.reference_matches(np.array(g), offers, b, ones)[0]
