@@ -26,6 +26,15 @@ def test_validation(spark):
     assert got == {"ok": (1, 0, 0, 0), "two": (2, 0, 0, 0), "lost": (1, 1, 1, 0)}
 
 
+def test_validation_joins_nothing(spark, capsys):
+    """Odd rows are counted as before, and no join holds the numbers of a collection."""
+    rows = [("t", 0, -1), ("t", 0, -1), ("t", 1, 5), ("t", 2, 1), ("t", None, 1), ("t", 3, 3), ("s", 0, None)]
+    found = trees.validate(spark.createDataFrame(rows, "tree_id string, u int, parent int"))
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+    assert {r.tree_id: tuple(r)[1:] for r in found.collect()} == {"t": (6, 2, 2, 1, 1), "s": (1, None, None, 0, 0)}
+
+
 def test_timestamp_order():
     assert trees.timestamp_order([-1, 0, 0, 1], [0, 5, 1, 6]) == [0, 2, 1, 3]
 
