@@ -16,13 +16,11 @@ Equal sets are one node from the start. Inside a key the node with the most comp
 all others are compared with it only, and components are formed; of what is left only pairs of different
 components matter, because a pair inside one component adds nothing.
 
-In a key of ``small_key`` nodes or fewer beside the centre, such pairs are just listed. In a larger one they meet by
-their differences from the centre c, not by all pairs of a key. Let dx and dy be the symmetric
-differences of x and y from c, r = (1 - t) / (1 + t). Then x and y differ in |dx| + |dy| - 2 |dx & dy|
-shingles, and link when that is at most r (|x| + |y|), so |dx & dy| >= o = (|dx| + |dy| - r (|x| + |y|)) / 2.
-One of them, say x, is not in the component of c: |dx| > r (|x| + |c|), so o > |dy| (1 - r) / 2 > 0. A prefix filter
-follows: y needs only the first half or so of its differences, x a longer prefix, under an order that puts the shingles
-that c lacks, which are rare, before those that c has. Each match is held against o by its positions.
+In a key of ``small_key`` nodes or fewer beside the centre, such pairs are just listed. The nodes of larger ones meet
+by a prefix filter over their sets, each node once, however many such keys it is in: under one order of all shingles a set x
+shares a shingle of its first |x| - t |x| + 1 with whatever it links with. The order puts shingles of rare buckets first, so
+that what a group has in common comes last and makes no meetings. One of a pair must be far from a centre (not in its
+component), and a meeting is held against the threshold by sizes and by the positions of the shingle.
 """
 
 from __future__ import annotations
@@ -44,6 +42,8 @@ SALTS, HOT = 8, 1000
 #: Members of the centre's component that a node which doesn't link with the centre is compared with next.
 SCOUTS = 8
 ROOM = 1 << 15
+#: Buckets in which the shingles of nodes with large keys are counted.
+BUCKETS = 1 << 18
 
 
 def size_classes(percent: int, largest: int) -> list[int]:
@@ -199,36 +199,57 @@ def _bounded(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"{100 + percent} * {bits} <= {100 - percent} * (n_a + n_b)")).select("a", "b")
 
 
-def _prefixes(pairs: DataFrame, fragments: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """Differences of the nodes of ``pairs(node, centre, component, far)`` from their centres, one row per difference of a prefix.
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the task's shingles fall in each of ``BUCKETS`` buckets."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        counts += np.bincount(np.asarray(batch.column("shingles").flatten(), np.int64) & (BUCKETS - 1), minlength=BUCKETS)
+    held = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], names=["bucket", "n"])
+
+
+def rarest(shingles: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set: so many of its shingles, those of rare buckets first, that it shares one of them with whatever it links with."""
+    own = np.unique(shingles)
+    return own[np.lexsort((own, often[own & (BUCKETS - 1)]))][: len(own) - -(-len(own) * percent // 100) + 1]
+
+
+def _rarest(often: np.ndarray, percent: int):
+    def run(batches):
+        for batch in batches:
+            prefixes = [rarest(np.asarray(s.values, np.int64), often, percent) for s in batch.column("shingles")]
+            lengths = [len(x) for x in prefixes]
+            at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            place = np.concatenate([np.empty(0, np.int64), *map(np.arange, lengths)]) + 1
+            kept = ["node", "component", "far", "n"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in kept], pa.array(place), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes]))], names=[*kept, "place", "shingle"])
 
-    ``place`` is its position from 1, ``total`` the number of differences; ``short`` is true in the prefix for partners that are far from
-    the centre; the rows of a far node go on to its longer prefix.
+    return run
+
+
+def _prefixes(nodes: DataFrame, fragments: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """Each of ``nodes(node, component, far)`` once, with a row per shingle of its prefix; ``place`` is the shingle's position from 1.
+
+    The order is one for all nodes: by how many of the nodes' shingles are in a bucket, from counts of a fixed size. Any order loses no link.
     """
-    pairs = checkpointed(pairs, free=True)
-    fragments = _of_nodes(fragments, pairs, broadcast_rows, "node", "centre")
-    own = fragments.select("node", "n", "fragment", F.col("shingles").alias("own"))
-    base = fragments.select(F.col("node").alias("centre"), "fragment", F.col("shingles").alias("base"))
-    both = pairs.join(own, "node").join(base, ["centre", "fragment"])
-    both = both.select("node", "centre", "component", "far", "n", F.array_except("own", "base").alias("more"), F.array_except("base", "own").alias("less"))
-    ordered = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    whole = both.groupBy("node", "centre", "component", "far", "n").agg(F.concat(ordered("more"), ordered("less")).alias("all")).withColumn("total", F.size("all").cast("long"))
-    short = F.expr(f"total * 100 DIV {100 + percent} + 1")
-    far = F.expr(f"total + 1 - greatest(1, (total * {percent} - n * {100 - percent} + {2 * percent - 1}) DIV {2 * percent})")
-    whole = whole.withColumn("short", short).withColumn("prefix", F.slice("all", F.lit(1), F.when(F.col("far"), F.greatest(short, far)).otherwise(short).cast("int")))
-    return whole.select("node", "centre", "component", "far", "n", "total", "short", F.posexplode("prefix").alias("place", "shingle")).withColumn("place", F.col("place") + 1).withColumn("short", F.col("place") <= F.col("short"))
+    nodes = checkpointed(nodes, free=True)
+    fragments = _of_nodes(fragments, nodes, broadcast_rows, "node").join(nodes, "node")
+    counts = fragments.select("shingles").mapInArrow(released(_frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    whole = fragments.groupBy("node", "component", "far", "n").agg(F.flatten(F.collect_list("shingles")).alias("shingles"))
+    return whole.mapInArrow(released(_rarest(often, percent)), "node long, component long, far boolean, n long, place long, shingle long")
 
 
 def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may link by what they share of their differences from one centre."""
-    prefixes = prefixes.withColumn("at", F.xxhash64("centre", "shingle"))
-    x = prefixes.where("far").select("at", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "total", "place")])
-    y = prefixes.where("short").select("at", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "total", "place")])
+    """Pairs (a, b) of different components, one of them far from a centre, that may link by the first shingle that their prefixes share."""
+    x = prefixes.where("far").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "place")])
+    y = prefixes.select(F.col("shingle").alias("shingle_y"), *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "place")])
     fits = F.expr(
         f"component_x <> component_y AND 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) AND "
-        f"{2 * (100 + percent)} * (1 + least(total_x - place_x, total_y - place_y)) >= {100 + percent} * (total_x + total_y) - {100 - percent} * (n_x + n_y)"
+        f"{100 + percent} * (1 + least(n_x - place_x, n_y - place_y)) >= {percent} * (n_x + n_y)"
     )
-    met = x.join(y, (x["at"] == y["at"]) & fits)
+    met = x.join(y, (F.col("shingle") == F.col("shingle_y")) & fits)
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -321,7 +342,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, renamed: Renamed, k: int, percent
     few, many = few.drop("company").unionByName(many.where(F.col("others") <= small_key).drop("company")), many.where(F.col("others") > small_key)
     partner = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
     direct = few.withColumnRenamed("node", "a").join(partner, "key").where("a < b AND component <> component_b").select("a", "b")
-    many = many.select("node", "centre", "component", (F.col("component") != F.col("component_c")).alias("far")).distinct()
+    many = many.groupBy("node", "component").agg(F.max(F.col("component") != F.col("component_c")).alias("far"))
     met_again = direct.unionByName(_meetings(_prefixes(many, fragments, percent, broadcast_rows), percent)).distinct()
     rest = _bounded(met_again.join(tried, ["a", "b"], "left_anti"), fragments, percent)
     return components(links.unionByName(_links(rest, fragments, percent, broadcast_rows))).select("node", "component")

@@ -124,6 +124,20 @@ def test_parity_sketch_is_a_lower_bound():
         assert not (jaccard_join.parity_sketch(x) ^ jaccard_join.parity_sketch(x)).any()
 
 
+def test_nodes_of_many_large_keys_have_one_short_prefix(spark):
+    """A node's rows don't grow with the keys and centres that it meets others in, and linked sets share one of them."""
+    draw = np.random.default_rng(11)
+    common = draw.integers(0, 1 << 62, 300)
+    sets = [np.unique(np.concatenate([common, draw.integers(0, 1 << 62, 200)])) for _ in range(40)]
+    sets.append(np.unique(np.concatenate([sets[0][:-20], draw.integers(0, 1 << 62, 20)])))
+    rows = [(i, len(s), f, s[f::4].tolist()) for i, s in enumerate(sets) for f in range(4)]
+    fragments = spark.createDataFrame(rows, "node long, n long, fragment int, shingles array<long>")
+    nodes = spark.createDataFrame([(i, i, True) for i in range(len(sets))], "node long, component long, far boolean")
+    prefixes = jaccard_join._prefixes(nodes, fragments, 80, 1000)
+    assert {r.node: r["count"] for r in prefixes.groupBy("node").count().collect()} == {i: len(s) - -(-len(s) * 80 // 100) + 1 for i, s in enumerate(sets)}
+    assert [tuple(r) for r in jaccard_join._meetings(prefixes, 80).collect()] == [(0, 40)]
+
+
 def test_decontamination(spark, docs, nothing):
     items = spark.createDataFrame([(1, " ".join(BASE[4].split()[20:50])), (2, "one two"), (3, prose(30)), (4, None), (5, ""), (1, near(" ".join(BASE[5].split()[3:60]), 1))], "item_id long, text string")
     want = Counter()
