@@ -24,6 +24,43 @@ def edit_distance(a: Tokens, b: Tokens) -> int:
     return int(row[-1])
 
 
+class Texts:
+    """Texts side by side, for their edit distances to one text after another: a machine word of each holds a column of its table (Myers, Hyyrö)."""
+
+    def __init__(self, texts: list[str]):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.order = np.argsort(-lengths, kind="stable")
+        self.lengths, ordered = lengths[self.order], [texts[i] for i in self.order]
+        self.letters = {c: i for i, c in enumerate(sorted(set().union(*texts)))}
+        long_enough = [int((self.lengths > j).sum()) for j in range(int(lengths.max(initial=0)))]
+        self.columns = [np.array([self.letters[t[j]] for t in ordered[:n]], np.int64) for j, n in enumerate(long_enough)]
+
+    def distances(self, text: str) -> np.ndarray:
+        """The distance of each of the texts to ``text``, of any length: words grow to Python's own where 64 bits don't hold it."""
+        out = np.empty(len(self.lengths), np.int64)
+        out[self.order] = self._ordered(text) if text else self.lengths
+        return out
+
+    def _ordered(self, text: str) -> np.ndarray:
+        last = len(text) - 1
+        word = next((w for bits, w in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if last < bits), object)
+        marks = np.zeros(len(self.letters), word)
+        for i, c in enumerate(text):
+            if c in self.letters:
+                marks[self.letters[c]] |= 1 << i
+        score, down = np.full(len(self.lengths), len(text), np.int64), np.zeros(len(self.lengths), word)
+        up = ~down
+        for column in self.columns:
+            n = len(column)
+            u, d, same = up[:n], down[:n], marks[column]
+            across = (((same & u) + u) ^ u) | same
+            more, less = d | ~(across | u), u & across
+            score[:n] += (more >> last & 1).astype(np.int64) - (less >> last & 1).astype(np.int64)
+            more, held = more << 1 | 1, same | d
+            up[:n], down[:n] = less << 1 | ~(held | more), more & held
+        return score
+
+
 def normalized_edit_distance(a: Tokens, b: Tokens) -> float:
     return edit_distance(a, b) / max(len(a), len(b), 1)
 

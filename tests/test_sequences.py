@@ -9,6 +9,7 @@ import pytest
 
 from grovekit.functions import likelihood as L
 from grovekit.functions import sequences as S
+from grovekit.operators import collections as C
 from grovekit.operators import exemplars as E
 
 
@@ -100,3 +101,25 @@ def test_exemplars_of_bags(spark):
 
     assert {r.cluster: r.median_length for r in E.median_length(bags, F.size("seq")).collect()} == {"x": 4.5, "y": 2.0}
     assert E.raw_sequences(bags).count() == 7
+
+
+def test_distances_to_many_texts_at_once():
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcd") for _ in range(n)) for n in (0, 1, 3, 8, 8, 9, 17, 40, 70, 130)]
+    side = S.Texts(texts)
+    for t in [*texts, "xyz", "abcdabcd", "é" * 66]:
+        assert side.distances(t).tolist() == [S.edit_distance(t, x) for x in texts]
+
+
+def test_medoids_give_a_row_a_sequence_not_a_pair(spark, capsys):
+    draw = random.Random(6)
+    rows = [(c, "".join(draw.choice("abc") for _ in range(draw.randint(0, 8))), draw.random()) for c in ("p", "q") for _ in range(60)]
+    rows = list({r[:2]: r for r in rows}.values())
+    bags = spark.createDataFrame(rows, "cluster string, seq string, weight double")
+    found = C.medoids(bags, block=16)
+    for r in found.collect():
+        own = [(s, w) for c, s, w in rows if c == r.cluster]
+        best = min((round(sum(w * S.edit_distance(a, b) for b, w in own), 6), a) for a, _ in own)
+        assert (r.seq, round(r.objective, 5)) == (best[1], round(best[0], 5))
+    found.explain()
+    assert "levenshtein" not in capsys.readouterr().out
