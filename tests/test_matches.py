@@ -338,3 +338,36 @@ def test_sketches_without_a_bound_hold_all_tokens(spark):
     labelled = S.labelled_index(T.tree_index(nodes), nodes)
     assert S.lookahead_sketches(labelled, size=None, run_length=2).count() == 1202
     assert S.lookahead_sketches(labelled, size=1000, run_length=2).count() == 1000
+
+
+def test_nearest_trees_by_blocks_equal_the_index(spark, monkeypatch):
+    """Where an index leaves nothing out, no pair of classes is a row of a join; trees with ties across blocks."""
+    from grovekit.operators import neighbours as N
+
+    rng = random.Random(8)
+    rows = [(f"t{i:03}", rng.choice("abcde")) for i in range(150) for _ in range(rng.randrange(4, 12))]
+    features = N.tree_features(spark.createDataFrame(rows, "tree_id string, token string"))
+    known = {tuple(r) for r in N.nearest_trees(features, k=5, dense_dims=0).collect()}
+    monkeypatch.setattr(N, "_indexed_neighbours", lambda *_: pytest.fail("an index of what all trees share"))
+    for cells in (100, 4_000_000):
+        got = {tuple(r) for r in N.nearest_trees(features, k=5, cells=cells).collect()}
+        assert {r[:2] + r[3:] for r in got} == {r[:2] + r[3:] for r in known} and len(got) == 750
+
+
+def test_self_scores_read_the_nodes_once_and_make_no_objects(spark, monkeypatch, capsys):
+    from grovekit.operators import matching as M
+    from grovekit.operators.weights import KeyedWeight
+
+    rng = random.Random(9)
+    rows = [(f"t{i}", u, rng.randrange(u) if u else -1, rng.choice(["a", "bb", "ccc", None])) for i in range(30) for u in range(rng.randrange(1, 20))]
+    nodes, values = spark.createDataFrame(rows, "tree_id string, u int, parent int, label string"), {"a": 2.0, "bb": 0.5}
+    weight = KeyedWeight(values=spark.createDataFrame(list(values.items()), "key string, value double"))
+    monkeypatch.setattr(M, "FOREST_NODES", 50)
+    for weigh, found in ((lambda t: float(t is not None), M.self_scores(nodes)), (lambda t: values.get(t, 0.0), M.self_scores(nodes, weight))):
+        best = {}
+        for t, u, p, label in rows:
+            best[t, u] = weigh(label) + best.get((t, p), 0.0)
+        want = {t: max(s for (g, _), s in best.items() if g == t) for t, *_ in rows}
+        assert {r.tree_id: r.score for r in found.collect()} == want
+    M.self_scores(nodes).explain()
+    assert "Join" not in capsys.readouterr().out
