@@ -371,3 +371,47 @@ def test_self_scores_read_the_nodes_once_and_make_no_objects(spark, monkeypatch,
         assert {r.tree_id: r.score for r in found.collect()} == want
     M.self_scores(nodes).explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_sketches_shuffle_nodes_once_and_equal_brute_force(spark, monkeypatch, capsys):
+    """Random trees with null labels and letters beyond ASCII, bounds with ties, runs, and parts of one tree or of many."""
+    rng = random.Random(12)
+    trees = {f"t{i}": (p, [rng.choice(["a", "b", "ß", "𝔞", None]) for _ in p]) for i, p in enumerate(random_tree(rng, rng.randrange(1, 25)) for _ in range(20))}
+    nodes = frame(spark, trees).repartition(2).cache()
+
+    def kept(masses, size):
+        best = sorted(masses.items(), key=lambda x: (x[1], [t.encode() for t in x[0]]), reverse=True)
+        return dict(best[:size])
+
+    def want(parents, labels, size, discount, length):
+        children = {u: [c for c, p in enumerate(parents) if p == u] for u in range(-1, len(parents))}
+
+        def runs(u, n):
+            masses = {}
+            for c in children[u] if n > 1 else ():
+                for token, m in runs(c, n - 1).items():
+                    masses[labels[u], *token] = masses.get((labels[u], *token), 0) + m
+            return {} if labels[u] is None else {(labels[u],): 1.0} if n == 1 else kept(masses, size)
+
+        out = {}
+
+        def below(u):
+            masses = {}
+            for c in children[u]:
+                for part, share in ((runs(c, length), 1.0), (below(c), discount)):
+                    for token, m in part.items():
+                        masses[token] = masses.get(token, 0) + share * m
+            out[u] = kept(masses, size)
+            return out[u]
+
+        below(-1)
+        return {(u, token): m for u, masses in out.items() for token, m in masses.items()}
+
+    for part, size, discount, length in ((30, None, 0.5, None), (200_000, 2, 0.5, None), (1, 3, 1.0, 2), (30, 1, 0.25, 3), (200_000, None, 0.5, 2)):
+        monkeypatch.setattr(S, "FOREST_NODES", part)
+        got = {(r.tree_id, r.u, tuple(r.token)): r.mass for r in S.lookahead_sketches(nodes, size, discount, length).collect()}
+        assert got == {(t, u, token): m for t, own in trees.items() for (u, token), m in want(*own, size, discount, length or 1).items()}
+    assert S.lookahead_sketches(nodes.where("label IS NULL AND parent = -1")).collect() == [] == S.lookahead_sketches(nodes.limit(0)).collect()
+    S.lookahead_sketches(frame(spark, trees)).explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and plan.count("Exchange") == 1
