@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import checkpointed, partitions, words_of
+from grovekit.llm.common import checkpointed, partitions, shuffles_freed, words_of
 from grovekit.llm.gated_network import F32, Shape, Trainer, start, text_scores
 
 WEIGHT_SLICE = 4096
@@ -42,15 +43,14 @@ def held_out():
 
 def _count(tails: int):
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64()), pa.array([ending_class(w, tails) for w in counts], pa.int32())], names=["word", "n", "tail"])
 
         for batch in batches:
             for text in batch.column("text"):
-                for w in words_of(text.as_py()):
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update(words_of(text.as_py()))
             if len(counts) > 400_000:
                 yield out()
                 counts.clear()
@@ -94,16 +94,25 @@ def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+class _Numbers(dict):
+    """The numbers of words: the listed ones' places, all others' ending classes, of which up to ``most`` words are kept."""
+
+    def __init__(self, listed: list[bytes], shape: Shape, most: int = 400_000):
+        super().__init__(zip(listed, range(1, len(listed) + 1), strict=True))
+        self.shape, self.most = shape, most
+
+    def __missing__(self, word: bytes) -> int:
+        number = self.shape.short + ending_class(word, self.shape.tails)
+        if len(self) < self.most:
+            self[word] = number
+        return number
+
+
 def _learn(weights, shape: Shape, tokens: int, rate: float):
     def run(batches):
         p, listed = weights.value
-        numbers = {w: i for i, w in enumerate(listed, 1)}
+        number = _Numbers(listed, shape).__getitem__
         trainer, texts, size, read = Trainer(p, shape, rate), [], 0, 0
-
-        def number(w):
-            n = numbers.get(w)
-            return shape.short + ending_class(w, shape.tails) if n is None else n
-
         for batch in batches:
             for text in batch.column("text"):
                 texts.append(np.array([*map(number, words_of(text.as_py())), 0], np.int64))
@@ -193,16 +202,8 @@ def _score(sent, shape: Shape, chunk_tokens: int):
     return run
 
 
-def lm_scores(docs: DataFrame, shape: Shape | None = None, train_one_in: int = 1, rounds: int = 2, learner_chars: int = 3_000_000, block_chars: int = 8_000_000, chunk_tokens: int = 1_000_000) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Learns from documents whose crc32(doc_id as text) modulo 7 is not 2 (a null id is the empty text). A text is its words, A-Z
-    lower-cased, and then one end; a null or empty text is the end alone. base_score is the add-one unigram log10
-    probability, score the model's. Very long texts are read whole; words with equal counts are listed in order of their bytes. Without training documents nothing is known, and the model is uniform over its classes.
-    Rows equal in id and text are documents each. Other columns are not read.
-    """
-    spark, shape = docs.sparkSession, shape or Shape()
-    documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out())
+def _learnt(documents: DataFrame, shape: Shape, train_one_in: int, rounds: int, learner_chars: int) -> tuple:
+    """The weights, the table of counts and what is known of all training documents; ``tail_n`` and ``tail_v`` are the tail classes' tokens and words without the listed ones."""
     counted = documents.where(~F.col("held_out")).select("text").mapInArrow(_count(shape.tails), "word binary, n long, tail int").groupBy("word").agg(F.sum("n").alias("n"), F.first("tail").alias("tail"))
     table = checkpointed(counted)
     sizes = documents.agg(F.sum(F.length("text")).alias("chars"), F.sum((~F.col("held_out")).cast("long")).alias("ends")).first()
@@ -218,6 +219,22 @@ def lm_scores(docs: DataFrame, shape: Shape | None = None, train_one_in: int = 1
     words = [w for w, _, _ in listed]
     p = start(shape, np.array([n_end, *(n for _, n, _ in listed)], float), tail_n)
     p = train(documents, p, words, shape, train_one_in, rounds, learner_chars)
+    return p, table, chars, n_end, total, distinct, listed, tail_n, tail_v
+
+
+def lm_scores(docs: DataFrame, shape: Shape | None = None, train_one_in: int = 1, rounds: int = 2, learner_chars: int = 3_000_000, block_chars: int = 8_000_000, chunk_tokens: int = 1_000_000) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Learns from documents whose crc32(doc_id as text) modulo 7 is not 2 (a null id is the empty text). A text is its words, A-Z
+    lower-cased, and then one end; a null or empty text is the end alone. base_score is the add-one unigram log10
+    probability, score the model's. Very long texts are read whole; words with equal counts are listed in order of their bytes. Without training documents nothing is known, and the model is uniform over its classes.
+    Rows equal in id and text are documents each. Other columns are not read.
+    """
+    spark, shape = docs.sparkSession, shape or Shape()
+    documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out())
+    with shuffles_freed(spark):
+        p, table, chars, n_end, total, distinct, listed, tail_n, tail_v = _learnt(documents, shape, train_one_in, rounds, learner_chars)
+    words = [w for w, _, _ in listed]
 
     blocks = max(partitions(spark), -(-chars // block_chars))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")

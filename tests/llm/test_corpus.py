@@ -307,6 +307,57 @@ def test_network_learns_and_is_a_distribution():
     assert np.allclose(text_scores(p, shape, texts[:3], at_once=7), one, rtol=1e-4)
 
 
+def test_network_gradients_equal_finite_differences():
+    from grovekit.llm.gated_network import Shape, Trainer, start
+
+    shape, rng = Shape(hidden=4, listed=2, members=3, tails=2), np.random.default_rng(1)
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in start(shape, np.ones(6), np.ones(2)).items()}
+    ids, targets, fresh = rng.integers(0, 8, (5, 7)), rng.integers(0, 8, (5, 7)), rng.random((5, 7)) < 0.2
+    targets[rng.random((5, 7)) < 0.2] = -1
+
+    def loss(p):  # in doubles, a token at a time
+        p, total, h = {k: v.astype(float) for k, v in p.items()}, 0.0, 4
+        state = np.zeros((7, h))
+        for t in range(5):
+            state[fresh[t]] = 0
+            x = p["x"][ids[t]]
+            gates = 1 / (1 + np.exp(-(x[:, : 2 * h] + state @ p["u"])))
+            new = np.tanh(x[:, 2 * h :] + gates[:, h:] * (state @ p["n"]))
+            state = new + gates[:, :h] * (state - new)
+            for own, goal in zip(state, targets[t], strict=True):
+                if goal >= 0:
+                    c = goal // 3 if goal < 6 else goal - 4
+                    for logits, at in [(own @ p["c"] + p["cb"], c), *([(own @ p["w"][c] + p["wb"][c], goal % 3)] if goal < 6 else [])]:
+                        total -= logits[at] - np.log(np.exp(logits).sum())
+        return total / (targets >= 0).sum()
+
+    moves, trainer = {}, Trainer(p, shape)
+    trainer._move = lambda name, gradient, rows=slice(None): moves.setdefault(name, np.zeros(p[name].shape)).__setitem__(rows, gradient)
+    state = trainer.window(ids, targets, fresh, np.zeros((4, 7), np.float32))
+    assert state.shape == (4, 7) and set(moves) == set(p)
+    for name, gradient in moves.items():
+        for at in np.ndindex(gradient.shape):
+            up, down = ({k: v.astype(float) for k, v in p.items()} for _ in range(2))
+            up[name][at] += 1e-4
+            down[name][at] -= 1e-4
+            assert gradient[at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-5)
+
+
+def test_training_keeps_few_numbers_and_frees_its_shuffles(spark):
+    from grovekit.llm.common import shuffles_freed
+    from grovekit.llm.gated_network import Shape
+
+    shape, listed = Shape(), [b"the", b"of"]
+    other = shape.short + lm_scoring.ending_class(b"unknown", shape.tails)
+    few = lm_scoring._Numbers(listed, shape, most=3)
+    assert [few[w] for w in (b"unknown", b"known", b"the")] == [other, shape.short + lm_scoring.ending_class(b"known", shape.tails), 1] and len(few) == 3
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
+
+
 def test_toxicity(spark, nothing):
     bad = ["vile", "nasty", "foul", "gross", "awful"]
     rows = [(i, prose(60) + (" " + " ".join(RNG.sample(bad, 3)) if i % 4 == 0 else "") + prose(20), int(i % 4 == 0)) for i in range(800)]
