@@ -6,42 +6,60 @@ at each place the longest piece that an Aho-Corasick automaton of all pieces fin
 compatible with the piece before it; else the next shorter one; if none is left, the place is marked
 as failed in a bitfield and the search goes back one piece. A place is never tried twice from the front, so the
 search is linear in the text but for the length of a piece. Compatibility is checked by re-merging the
-two pieces, and remembered. A character outside the vocabulary ends a stretch and is spelled in bytes.
+two pieces; of a piece and a longest one behind it, the longest compatible one is remembered. A character outside the vocabulary ends a stretch and is spelled in bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections.abc import Iterator
 from itertools import pairwise
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.llm.common import released, small_batches
 from grovekit.llm.pieces import DEFAULT_MODEL, SPACE, Vocabulary, model_path, vocabulary
 
-
 NEVER = float("inf")
 PAIRS = 1 << 18
+#: Bytes of texts that are encoded at once, or one longer text.
+TEXT_BYTES = 1 << 20
+
+
+def joined(offsets, values: pa.Array, numbers, between: str | bytes) -> pa.Array:
+    """The values of these numbers joined from offset to offset."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(pa.array(numbers))), between)
 
 
 class Codec:
+    """Pieces are numbers: their places in ``texts``; a character outside the vocabulary is ``len(texts)`` plus its code point."""
+
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.own = {p for p in v.ids if self.merge(list(p)) == [p]}
-        #: The automaton reads texts backwards: a match then ends where the piece starts in the text.
-        self.automaton = ahocorasick.Automaton()
-        for p in self.own:
-            self.automaton.add_word(p[::-1], len(p))
-        self.automaton.make_automaton()
-        self.shorter = {p: next((p[:j] for j in range(len(p) - 1, 0, -1) if p[:j] in self.own), None) for p in self.own}
+        self.texts = [p for p in v.ids if self.merge(list(p)) == [p]]
+        self.ids = [v.ids[p] for p in self.texts]
+        self.written = pa.array(map(str, self.ids), pa.string())
+        self.decoded = pa.array([v.surface[i] for i in self.ids], pa.binary())
+        self.sizes = [len(p) for p in self.texts]
+        number = {p: k for k, p in enumerate(self.texts)}
+        automaton = ahocorasick.Automaton()
+        for p, k in number.items():
+            automaton.add_word(p, k)
+        automaton.make_automaton()
+        #: How far the automaton follows a text from a place; and by the text that far, the longest piece on the way (-1: none).
+        self.ahead, self.reach = automaton.longest_prefix, max(self.sizes)
+        self.furthest = {"": -1}
+        for way in sorted({p[:j] for p in self.texts for j in range(1, len(p) + 1)}, key=len):
+            self.furthest[way] = number.get(way, self.furthest[way[:-1]])
+        self.shorter = [self.furthest[p[:-1]] for p in self.texts]
         self.histories: dict[str, list[tuple[float, str, str]]] = {}
-        #: What is known of pairs: by the left piece, the right ones and whether they are compatible.
-        self.checked: dict[str, dict[str, bool]] = defaultdict(dict)
-        self.n_checked = 0
+        #: By the left piece and one found behind it, the longest of its beginnings that is compatible (-1: none).
+        self.following: dict[int, int] = {}
 
     def merge(self, parts: list[str]) -> list[str]:
         """What the merges make of a sequence of characters; it is as long as two pieces at most."""
@@ -74,15 +92,6 @@ class Codec:
         return found
 
     def compatible(self, left: str, right: str) -> bool:
-        """Remembered, up to ``PAIRS`` pairs."""
-        if self.n_checked >= PAIRS:
-            self.checked.clear()
-            self.n_checked = 0
-        self.n_checked += 1
-        found = self.checked[left][right] = self._compatible(left, right)
-        return found
-
-    def _compatible(self, left: str, right: str) -> bool:
         """No merge crosses the border of the two: re-merged side by side, they are the two again.
 
         Until a merge crosses it, each side merges as it does alone. So its history is followed, the lower rank first (the left one of equals), and at each
@@ -110,55 +119,86 @@ class Codec:
                     first = b[j][1]
                     cross = rank.get(last + first, NEVER)
 
-    def pieces(self, word: str) -> list[str]:
-        """The pieces of a word; a character outside the vocabulary is a piece of its own."""
-        n = len(word)
-        if n == 1:
-            return [word]
-        #: By the place in the reversed word: the longest match, which comes first of those that end there.
-        longest = dict(reversed([*self.automaton.iter(word[::-1])]))
-        shorter, checked, known = self.shorter.get, self.checked, longest.get
-        at, before, failed, out = 0, None, None, []
-        size = known(n - 1)
-        piece = word[:size] if size else word[0]
+    def follow(self, left: int, longest: int) -> int:
+        """Remembered, up to ``PAIRS`` answers; the left piece may be none (-1) or outside the vocabulary, with which nothing merges."""
+        n = len(self.texts)
+        if not 0 <= left < n or longest < 0:
+            return longest
+        right = self.following.get(left * n + longest)
+        if right is None:
+            if len(self.following) >= PAIRS:
+                self.following.clear()
+            right = longest
+            while right >= 0 and not self.compatible(self.texts[left], self.texts[right]):
+                right = self.shorter[right]
+            self.following[left * n + longest] = right
+        return right
+
+    def pieces(self, word: str) -> list[int]:
+        """The pieces of a word."""
+        n, at, before, failed, out = len(word), 0, -1, None, []
+        reach, ahead, furthest, following, sizes, others = self.reach, self.ahead, self.furthest, self.following, self.sizes, len(self.texts)
         while True:
-            while piece is not None:
-                end = at + len(piece)
-                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
-                    if before is None or not size:
-                        break
-                    fits = checked[before].get(piece)
-                    if fits or (fits is None and self.compatible(before, piece)):
-                        break
-                piece = shorter(piece)
-            if piece is not None:
-                out.append(piece)
-                if end == n:
-                    return out
-                before = piece if size else None  # nothing merges with a character outside the vocabulary
-                at = end
-                size = known(n - 1 - at)
-                piece = word[at : at + size] if size else word[at]
-            else:
+            way = word[at : at + reach]
+            piece = furthest[way[: ahead(way)]]
+            if piece < 0:
+                piece = others + ord(word[at])
+            elif 0 <= before < others:
+                found = following.get(before * others + piece)
+                piece = self.follow(before, piece) if found is None else found
+            if failed is not None or piece < 0:
                 failed = failed or bytearray(n // 8 + 1)
-                failed[at >> 3] |= 1 << (at & 7)
-                if not out:
-                    raise ValueError(f"no encoding of {word!r}")
-                last = out.pop()
-                at -= len(last)
-                size = known(n - 1 - at)
-                before = out[-1] if out and out[-1] in self.own else None
-                piece = shorter(last)
+                while True:
+                    while piece >= 0:
+                        end = at + (sizes[piece] if piece < others else 1)
+                        if not failed[end >> 3] >> (end & 7) & 1:
+                            break
+                        piece = self.follow(before, self.shorter[piece]) if piece < others else -1
+                    if piece >= 0:
+                        break
+                    failed[at >> 3] |= 1 << (at & 7)
+                    if not out:
+                        raise ValueError(f"no encoding of {word!r}")
+                    last, before = out.pop(), out[-1] if out else -1
+                    if last < others:
+                        at, piece = at - sizes[last], self.follow(before, self.shorter[last])
+                    else:
+                        at -= 1
+            out.append(piece)
+            at += sizes[piece] if piece < others else 1
+            if at == n:
+                return out
+            before = piece
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        """The pieces of each word, four bytes a piece."""
+        flat: list[int] = []
+        ends = [0]
+        for word in words:
+            flat += self.pieces(word)
+            ends.append(4 * len(flat))
+        held = np.array(flat, np.int32).tobytes()
+        return [held[a:b] for a, b in pairwise(ends)]
+
+    def joined(self, rows: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """Of each row of packed pieces its ids as decimal text, and the bytes that they decode to."""
+        n, written, decoded = len(self.texts), self.written, self.decoded
+        numbers, offsets = np.frombuffer(b"".join(rows), np.int32), np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(r) >> 2 for r in rows], out=offsets[1:])
+        outside = numbers >= n
+        if outside.any():
+            points, places = np.unique(numbers[outside], return_inverse=True)
+            numbers = numbers.copy()
+            numbers[outside] = n + places
+            spelled = [self.v.spell(chr(c - n)) for c in points.tolist()]
+            written = pa.concat_arrays([written, pa.array([",".join(map(str, i)) for i in spelled], pa.string())])
+            decoded = pa.concat_arrays([decoded, pa.array(map(self.decode_bytes, spelled), pa.binary())])
+        return joined(offsets, written, numbers, ","), joined(offsets, decoded, numbers, b"")
 
     def encode_word(self, word: str) -> list[int]:
-        ids, spell = self.v.ids, self.v.spell
-        out: list[int] = []
-        for p in self.pieces(word):
-            i = ids.get(p)
-            if i is None:
-                out += spell(p)
-            else:
-                out.append(i)
+        n, out = len(self.texts), []
+        for k in self.pieces(word):
+            out += [self.ids[k]] if k < n else self.v.spell(chr(k - n))
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -183,88 +223,107 @@ def codec(path: str) -> Codec:
 
 
 class Remembered:
-    """Texts to (number of ids, ids as decimal text, decoded bytes), a word at a time; words that were seen before are looked up.
+    """Texts to (number of ids, ids as decimal text, decoded bytes); words that were seen before are looked up, each once for some texts.
 
-    Of a word with its space are remembered its ids, how many they are, and what they decode to. Marks after a word
-    are encoded apart where no piece holds the two characters at the border, as then no merge spans it. ``limit`` words are remembered: when half of
-    them are new ones, the older half goes, but for those that are met again.
+    Of a word with its space are remembered its pieces, which are written and decoded once for some texts. A line's first word is one without a
+    space, behind the line's break, which no piece holds (if one does, lines aren't told apart). Marks after a word are encoded apart where no
+    piece holds the two characters at the border, as then no merge spans it. About ``limit`` words are remembered: when half of them are new
+    ones, the older half goes, but for those that are met again.
     """
 
     MARKS = "!#$%&()*+,-./:;<=>?@[]^{|}~\"'"
 
     def __init__(self, c: Codec, limit: int):
         self.codec, self.limit = c, limit
-        #: What follows a space; and whole words of other texts, and marks.
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
-        self.whole: dict[str, tuple[int, str, bytes]] = {}
+        self.by_line = "\n" not in c.v.ids and not any("\n" in pair for pair in c.v.joined)
+        #: What follows a space, or with its line break begins a line; and whole words of other texts, and marks.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}
 
-    def _coded(self, word: str) -> tuple[int, str, bytes]:
-        ids = self.codec.encode_word(word)
-        return len(ids), ",".join(map(str, ids)), self.codec.decode_bytes(ids)
-
-    def _word(self, word: str) -> tuple[int, str, bytes]:
+    def _word(self, word: str) -> bytes:
         found = self.whole.get(word)
         if found is None:
             if len(self.whole) > self.limit:
                 self.whole.clear()
-            found = self.whole[word] = self._coded(word)
+            [found] = self.codec.packed([word])
+            self.whole[word] = found
         return found
 
-    def _after_space(self, part: str) -> tuple[int, str, bytes]:
-        word = part.rstrip(self.MARKS)
-        if word and len(word) < len(part) and (word[-1], part[len(word)]) not in self.codec.v.joined:
-            first = self.known.get(word) or self.older.get(word)
-            if first is None:
-                first = self.known[word] = self._coded(SPACE + word)
-            n, ids, held = self._word(part[len(word) :])
-            return first[0] + n, f"{first[1]},{ids}", first[2] + held
-        return self._coded(SPACE + part)
-
-    def __call__(self, text: str | None) -> tuple[int, str, bytes]:
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Of distinct parts of texts between spaces."""
+        if 2 * len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        known, older, holds, words, marks, new = self.known, self.older, self.codec.v.joined, [], [], {}
+        for part in parts:
+            word, mark = part.rstrip(self.MARKS), ""
+            if len(word) < len(part):
+                if word and (word[-1], part[len(word)]) not in holds:
+                    mark = part[len(word) :]
+                else:
+                    word = part
+            words.append(word)
+            marks.append(mark)
+            if word not in known:
+                found = older.get(word)
+                if found is not None:
+                    known[word] = found
+                else:
+                    new[word] = word if self.by_line and word[0] == "\n" else SPACE + word
+        known.update(zip(new, self.codec.packed(list(new.values())), strict=True))
+        return [known[w] + self._word(m) if m else known[w] for w, m in zip(words, marks, strict=True)]
+
+    def _one(self, text: str | None) -> tuple[int, str, bytes]:
         if not text:
             return 0, "", b""
-        parts = text.split(" ")
-        if SPACE in text or "" in parts:  # spaces that are no single ones between words
-            got = list(map(self._word, self.codec.v.words(text)))
-        else:
-            new = set(parts).difference(self.known)
-            if 2 * (len(self.known) + len(new)) > self.limit:
-                self.known, self.older = {}, self.known
-                new = set(parts)
-            for part in new:
-                self.known[part] = self.older.get(part) or self._after_space(part)
-            got = list(map(self.known.__getitem__, parts))
-        counts, ids, held = zip(*got, strict=True)
-        return sum(counts), ",".join(ids), b"".join(held).removeprefix(b" ")
+        words = list(map(self._word, self.codec.v.words(text)))
+        ids, held = zip(*((i, d) for at in range(0, len(words), TEXT_BYTES) for i, d in zip(*(x.to_pylist() for x in self.codec.joined(words[at : at + TEXT_BYTES])), strict=True)), strict=True)
+        joined_ids = ",".join(ids)
+        return joined_ids.count(",") + 1, joined_ids, b"".join(held).removeprefix(b" ")
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, str, bytes]]:
+        out: list[tuple[int, str, bytes] | None] = [None] * len(texts)
+        places, plain = [], []
+        for at, text in enumerate(texts):
+            # Spaces that are no single ones between words, breaks that follow none, and what may be too long for one Arrow array.
+            if not text or len(text) > TEXT_BYTES or text[0] in " \n" or text[-1] == " " or "  " in text or SPACE in text or (self.by_line and " \n" in text):
+                out[at] = self._one(text)
+            else:
+                places.append(at)
+                plain.append(text.replace("\n", " \n") if self.by_line else text)
+        split = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        parts = split.flatten().dictionary_encode()
+        ids, held = self.codec.joined(self._parts(parts.dictionary.to_pylist()))
+        ids, held = joined(split.offsets, ids, parts.indices, ","), joined(split.offsets, held, parts.indices, b"")
+        for at, i, d in zip(places, ids.to_pylist(), held.to_pylist(), strict=True):
+            out[at] = i.count(",") + 1, i, d.removeprefix(b" ")
+        return out
 
 
-def _encoded(path: str, known_limit: int) -> Remembered:
-    return Remembered(codec(path), known_limit)
+def _coded_rows(path: str, known_limit: int, batches) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, str, bytes]]]]:
+    one = Remembered(codec(path), known_limit)
+    for batch in batches:
+        start, sizes = 0, np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + TEXT_BYTES, side="right")))
+            part = batch.slice(start, end - start)
+            yield part, one(part.column("text").to_pylist())
+            start = end
 
 
 def _digests(path: str, known_limit: int):
     def run(batches):
-        one = _encoded(path, known_limit)
-        for batch in batches:
-            texts = batch.column("text")
-            counts, ids, decoded = [], [], []
-            for at in range(batch.num_rows):
-                n, i, d = one(texts[at].as_py())
-                counts.append(n)
-                ids.append(hashlib.sha256(i.encode()).hexdigest())
-                decoded.append(hashlib.sha256(d.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        for batch, rows in _coded_rows(path, known_limit, batches):
+            counts, ids, decoded = pa.array([n for n, _, _ in rows], pa.int64()), [sha(i.encode()) for _, i, _ in rows], [sha(d.decode("utf-8", "replace").encode()) for _, _, d in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
 def _ids(path: str, known_limit: int):
     def run(batches):
-        one = _encoded(path, known_limit)
-        for batch in batches:
-            texts = batch.column("text")
-            rows = [one(texts[at].as_py()) for at in range(batch.num_rows)]
+        for batch, rows in _coded_rows(path, known_limit, batches):
             ids = [list(map(int, i.split(","))) if i else [] for _, i, _ in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([d.decode("utf-8", "replace") for _, _, d in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 

@@ -532,3 +532,26 @@ def test_label_model_finds_accuracies_and_discounts_copies():
     posterior, weight = toxicity.fit_label_model(votes, np.array([[0.1, 0.4], [0.1, 0.4], [0.4, 0.1], [0.1, 0.4], [0.2, 0.2], [0.2, 0.25], [0.2, 0.25], [0.2, 0.25]]), 0.3)
     assert (weight[-3:] < 0.4).all() and (weight[:5] > 0.6).all()
     assert ((posterior > 0.5) == y).mean() > 0.85
+
+
+def test_codec_searches_a_word_once_for_many_texts(monkeypatch):
+    """Words with marks and at line breaks are searched once each; small memories, slices and outside characters change nothing."""
+    import sentencepiece
+
+    library, draw = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), random.Random(9)
+    words = ["titionsh", "ezciónlldota", "Ththst", "eintzöge", "日本𠮷x", "thinntth"]
+    texts = ["".join(draw.choice(words) + draw.choice((" ", ". ", "\n", ".\n", "***\n\n")) for _ in range(40)) + "end" for _ in range(60)]
+    odd = ["", None, "\n", "a\n b", " a", "a ", "a  b\nc", "▁a\nb", ".\n.", "... \n", "a\n", "𠮷", "日\n𠮷𠮷.", "e" * 300, "th" * 500 + "\n\n" + "the" * 300]
+    odd += ["".join(draw.choice("theaoni.\n 𠮷é") for _ in range(draw.randint(1, 80))) for _ in range(300)]
+    want = lambda t: (lambda i: (len(i), ",".join(map(str, i)), library.decode(i)))(library.encode(t or ""))
+    got = lambda one, ts: [(n, i, d.decode("utf-8", "replace")) for n, i, d in one(ts)]
+    codec, searched = piece_codec.Codec(pieces.vocabulary(pieces.model_path())), []
+    search = codec.pieces
+    codec.pieces = lambda word: searched.append(word) or search(word)
+    one = piece_codec.Remembered(codec, 1000)
+    assert got(one, texts[:30]) + got(one, texts[30:]) == list(map(want, texts))
+    assert len(searched) == len(set(searched)) <= 2 * len(words) + 6
+    assert got(one, odd) == list(map(want, odd))
+    for name, small in (("PAIRS", 5), ("TEXT_BYTES", 30)):
+        monkeypatch.setattr(piece_codec, name, small)
+    assert got(piece_codec.Remembered(codec, 4), texts + odd) == list(map(want, texts + odd))
