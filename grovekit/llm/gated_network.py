@@ -205,7 +205,7 @@ class Trainer:
             self._move(name, np.clip(gradient, -1, 1))
         d_x = np.empty((time, streams, 3 * h), F32)
         d_x[:, :, : 2 * h], d_x[:, :, 2 * h :] = d_z[:, : 2 * h].transpose(0, 2, 1), d_new.transpose(0, 2, 1)
-        self._move("x", np.add.reduceat(d_x.reshape(-1, 3 * h)[order], first, axis=0), sorted_ids[first])
+        self._move("x", np.add.reduceat(d_x.reshape(-1, 3 * h).take(order, axis=0), first, axis=0), sorted_ids[first])
         return state
 
     def run(self, texts: list[np.ndarray], streams: int = 256, window: int = 16, segment: int = 1024) -> int:

@@ -555,3 +555,32 @@ def test_codec_searches_a_word_once_for_many_texts(monkeypatch):
     for name, small in (("PAIRS", 5), ("TEXT_BYTES", 30)):
         monkeypatch.setattr(piece_codec, name, small)
     assert got(piece_codec.Remembered(codec, 4), texts + odd) == list(map(want, texts + odd))
+
+
+def test_words_of_many_texts_are_told_apart_at_once(spark, monkeypatch):
+    """Splitting, classes and counts over whole arrays equal those a word at a time, whatever number of words is sent and however small the slices."""
+    from grovekit.llm.common import split_words, words_of
+
+    draw = random.Random(3)
+    for _ in range(200):
+        texts = [None if draw.random() < 0.1 else "".join(draw.choice("aBcÉ日𠮷 \t\n\x0b\x0c\r\x1c\x85\xa0Z") for _ in range(draw.randint(0, 12))) for _ in range(draw.randint(0, 9))]
+        array, start = lm_scoring.pa.array(texts, lm_scoring.pa.string()), draw.randint(0, len(texts))
+        edges, words = split_words(array.slice(start))
+        flat = words.to_pylist()
+        assert [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)] == [words_of(t) for t in texts[start:]]
+        assert lm_scoring.ending_classes(words, 64).tolist() == [lm_scoring.ending_class(w, 64) for w in flat]
+        assert [len(x) for x in lm_scoring.slices(array, 5)] == [len(x) for x in lm_scoring.slices(array, 5) if len(x)] and sum(map(len, lm_scoring.slices(array, 5))) == len(texts)
+    rows = [(i, " ".join(draw.choice(VOCABULARY[: 5 + i]) for _ in range(draw.randint(0, 30)))) for i in range(150)]
+    table, sizes, frequent = spark.createDataFrame(rows, "doc_id long, text string"), [], lm_scoring._frequent
+
+    def noting(*args):
+        sizes.append(frequent(*args))
+        return sizes[-1]
+
+    monkeypatch.setattr(lm_scoring, "_frequent", noting)
+    shape, results = lm_scoring.Shape(hidden=4, listed=2, members=3, tails=4), []
+    for most in (0, 30, 1 << 17):
+        monkeypatch.setattr(lm_scoring, "FREQUENT", most)
+        results.append(sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 6)) for r in lm_scoring.lm_scores(table, shape).collect()))
+    assert results[0] == results[1] == results[2]
+    assert [len(s) <= most + 5 for s, most in zip(sizes, (0, 30, 1 << 17), strict=True)] == [True] * 3 and len(sizes[0]) == 5 < len(sizes[1]) < len(sizes[2])
