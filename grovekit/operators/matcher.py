@@ -52,7 +52,7 @@ class TreeMatcher:
         elif method.endswith("subtree"):
             found = subtrees.subtree_matches(pairs, self.nodes, method.startswith("ordered"), self.weight, **options)
         else:
-            matches = node_matches(self.keys, pairs, options.pop("stop", 10_000))
+            matches = node_matches(self.keys, pairs, options.pop("stop", None))
             if method == "sparse":
                 candidates = options.pop("candidates", None)
                 some = matches if candidates is None else matches.join(candidates.select("g", "h", "u", "v"), ["g", "h", "u", "v"], "left_semi")

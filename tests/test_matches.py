@@ -415,3 +415,12 @@ def test_sketches_shuffle_nodes_once_and_equal_brute_force(spark, monkeypatch, c
     S.lookahead_sketches(frame(spark, trees)).explain()
     plan = capsys.readouterr().out
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_sparse_matches_drop_no_candidate(spark):
+    """The best chain goes through the last of more than 2000 nodes with one label."""
+    n = 2002
+    many = ([-1, *[0] * n, n], ["r", *"a" * n, "b"])
+    nodes = frame(spark, {"g": (chain(3), "rab"), "h": many})
+    found_ = found(P.sparse_matches(V.node_matches(V.KeyedWeight().keys(nodes), pairs_of(spark, ("g", "h"))), T.tree_index(nodes)))
+    assert found_ == {("g", "h"): (3.0, [(0, 0), (1, n), (2, n + 1)])}
