@@ -78,3 +78,27 @@ def test_empty_collection(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_scores_by_words_equal_tables():
+    """Where every key weighs 1, paths of up to 64 nodes are words of bits (longer ones tables), with the same scores."""
+    rng = np.random.default_rng(11)
+    for step, size, overlap in ((1, 130, False), (1, 64, True), (4, 60, True), (9, 40, False)):
+        def tree(n, step=step, overlap=overlap):
+            labels = [None if rng.random() < 0.1 else [f"k{x}" for x in {*rng.integers(0, 4, 2).tolist()}] if overlap else f"k{rng.integers(0, 4)}" for _ in range(n)]
+            return {"parent": [-1, *(max(0, u - 1 - int(rng.integers(0, step))) for u in range(1, n))], "label": labels}
+
+        left, right = ([tree(int(rng.integers(1, size + 1))) for _ in range(4)] + [tree(size)] for _ in range(2))
+        for other in (right, left):
+            assert (matching.shared_scores(left, other, None, overlap) == matching._table_scores(left, list(other), None, overlap, False)).all()
+    g, h = np.array([-1, 0, 1]), np.array([-1, 0, 0])
+    one = [np.array([0])]
+    assert kernels.unit_scores(g, np.zeros(3, int), np.zeros(3, int), one, h, np.zeros(3, int), np.arange(3), np.zeros(3, int), 1, (1, 1)).tolist() == [[2.0]]
+
+
+def test_pairs_of_equal_trees_are_listed_once(spark):
+    """Many trees of few kinds, their names in parts: every pair once, without a shuffle of pairs."""
+    given = nodes(spark, *((f"t{i}", [-1, 0, 1][: 1 + i % 3], "aba"[: 1 + i % 3]) for i in range(40)))
+    for rows in (5_000_000, 0):
+        got = [(r.g, r.h, r.score) for r in matching.all_pair_scores(given, block_members=3, spread_rows=rows).collect()]
+        assert sorted(got) == sorted((*sorted((f"t{i}", f"t{j}")), float(1 + min(i % 3, j % 3))) for i in range(40) for j in range(i))
