@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.functions import kernels
-from grovekit.operators.matching import shared_nodes
+from grovekit.operators.matching import label_weights, scored_pairs, shared_nodes
 from grovekit.operators.paths import PAIR_TYPE, PAIRS, keyed_weights
 from grovekit.operators.trees import packed
 from grovekit.operators.weights import KeyedWeight
@@ -76,6 +76,29 @@ def subtree_matches(pairs: DataFrame, nodes: DataFrame, ordered: bool = True, we
     return asked.join(found, ["g", "h", "root_u", "root_v"]).select(F.col("t_g").alias("g"), F.col("t_h").alias("h"), "root_u", "root_v", "score", "pairs")
 
 
+def shared_subtrees(left: list[dict], right: list[dict], ordered: bool = True, cells: int = 2_000_000) -> np.ndarray:
+    """Subtree scores of the whole packed trees ``left`` with each of ``right``, where equal labels weigh 1: (trees, trees). Some trees of both are two forests with one table of at most ``cells`` cells, or a single pair of trees."""
+    scores, sides = np.zeros((len(left), len(right))), []
+    for trees in (left, right):
+        cuts, size = [0], 0
+        for i, r in enumerate(trees):
+            if size and size + len(r["parent"]) > cells**0.5:
+                cuts.append(i)
+                size = 0
+            size += len(r["parent"])
+        some = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(trees)], strict=True)]
+        sides.append([(s, *kernels.forest([np.array(r["parent"]) for r in trees[s]]), [t for r in trees[s] for t in r["label"]]) for s in some])
+    for at, g, starts_g, labels_g in sides[0]:
+        for to, h, starts_h, labels_h in sides[1]:
+            scores[at, to] = kernels.subtree_table(g, h, label_weights(labels_g, labels_h, None), ordered)[np.ix_(starts_g, starts_h)]
+    return scores
+
+
+def all_pair_subtrees(nodes: DataFrame, ordered: bool = True, **planned) -> DataFrame:
+    """(g, h, score), g < h as text, of the whole trees of all pairs, where equal labels weigh 1. ``planned`` as in ``scored_pairs``."""
+    return scored_pairs(packed(nodes), lambda left, right: shared_subtrees(left, right, ordered), **{"block_trees": 64, **planned})
+
+
 def annotated(matches: DataFrame, nodes: DataFrame, side: str = "g") -> DataFrame:
     """(g, h, place, u, v, label): the pairs of matches numbered from 1, with the label of one side's node."""
     steps = matches.select("g", "h", F.posexplode("pairs").alias("place", "p")).select("g", "h", (F.col("place") + 1).alias("place"), F.col("p.u").alias("u"), F.col("p.v").alias("v"))

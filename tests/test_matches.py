@@ -424,3 +424,24 @@ def test_sparse_matches_drop_no_candidate(spark):
     nodes = frame(spark, {"g": (chain(3), "rab"), "h": many})
     found_ = found(P.sparse_matches(V.node_matches(V.KeyedWeight().keys(nodes), pairs_of(spark, ("g", "h"))), T.tree_index(nodes)))
     assert found_ == {("g", "h"): (3.0, [(0, 0), (1, n), (2, n + 1)])}
+
+
+def test_subtrees_of_all_pairs(spark):
+    """All pairs of trees are scored, as forests with a table for many, and as each pair alone."""
+    rng = random.Random(17)
+    trees = {str(i): random_tree(rng, rng.randrange(1, 9)) for i in range(9)} | {str(i): chain(i - 8) for i in range(9, 13)}
+    trees = {name: (p, [rng.choice(["a", "b", None]) for _ in p]) for name, p in trees.items()}
+    asked = list(itertools.combinations(sorted(trees), 2))
+    for ordered in (True, False):
+        one = {(r["g"], r["h"]): r["score"] for r in U.subtree_matches(pairs_of(spark, *asked), frame(spark, trees), ordered).collect()}
+        rows = U.all_pair_subtrees(frame(spark, trees), ordered, block_trees=3).collect()
+        assert len(rows) == len(asked) and {(r["g"], r["h"]): r["score"] for r in rows} == one
+    packed = [{"parent": p, "label": t} for p, t in trees.values()]
+    assert (U.shared_subtrees(packed, packed[:4], cells=100) == U.shared_subtrees(packed, packed[:4])).all()
+
+
+def test_subtree_chains_cover_all_pairs():
+    """Neither the query nor its SQL leaves out pairs by their ids."""
+    import __spark_entry__
+
+    assert "%" not in __spark_entry__.oracle_sql()["subtree_chains"]
