@@ -61,6 +61,73 @@ class Texts:
         return score
 
 
+class Prefixes:
+    """The distinct prefixes of different texts in rising order, by length: each one's parent (the prefix a letter shorter) and last letter, and which texts end there."""
+
+    def __init__(self, texts: list[str], letters: dict[str, int]):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        codes = np.full((len(texts), int(lengths.max(initial=0))), -1, np.int64)
+        for i, t in enumerate(texts):
+            codes[i, : len(t)] = [letters.setdefault(c, len(letters)) for c in t]
+        same = np.cumprod(codes[1:] == codes[:-1], axis=1).sum(axis=1) if len(texts) > 1 else np.empty(0, np.int64)
+        shared = np.concatenate(([-1], np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))))  # letters in common with the text before
+        node = np.zeros(len(texts), np.int64)
+        empty = np.flatnonzero(lengths == 0)
+        self.levels = [(np.zeros(1, np.int64), np.zeros(1, np.int64), empty, np.zeros(len(empty), np.int64))]
+        for depth in range(1, codes.shape[1] + 1):
+            here = np.flatnonzero(lengths >= depth)
+            new = shared[here] < depth
+            parent, letter = node[here[new]], codes[here[new], depth - 1]
+            node[here] = np.cumsum(new) - 1
+            done = here[lengths[here] == depth]
+            self.levels.append((parent, letter, done, node[done]))
+
+    def __len__(self) -> int:
+        return sum(len(parent) for parent, *_ in self.levels)
+
+
+def distance_sums(left: list[str], left_weights: np.ndarray, right: list[str], right_weights: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """What the edit distances of each left text to the right ones weigh, and of each right text to the left ones; each side holds different texts in rising order.
+
+    A cell of the usual table is a pair of prefixes, so texts that share prefixes share cells: all prefixes of one length of both sides are one step. Where few are shared, texts are
+    compared by machine words instead.
+    """
+    letters: dict[str, int] = {}
+    a, b = Prefixes(left, letters), Prefixes(right, letters)
+    own, other = np.zeros(len(left)), np.zeros(len(right))
+    if len(a) * len(b) > 24 * len(left) * len(right):
+        texts = Texts(right)
+        for i, (text, weight) in enumerate(zip(left, left_weights, strict=True)):
+            distances = texts.distances(text)
+            own[i] = distances @ right_weights
+            other += weight * distances
+        return own, other
+    kind = np.uint8 if max(len(a.levels), len(b.levels)) < 255 else np.int64
+    code = np.uint8 if len(letters) < 256 else np.int64
+    before: list[np.ndarray] = []
+    for i, (up, letter, ends, at) in enumerate(a.levels):
+        now: list[np.ndarray] = []
+        for j, (left_of, other_letter, ends_b, at_b) in enumerate(b.levels):
+            if not i or not j:
+                table = np.full((len(up), len(left_of)), max(i, j), kind)
+            else:
+                table = np.take(now[j - 1], left_of, axis=1)
+                np.minimum(table, before[j][up], out=table)
+                table += kind(1)
+                both = np.take(before[j - 1], left_of, axis=1)[up]
+                both += letter.astype(code)[:, None] != other_letter.astype(code)[None, :]
+                np.minimum(table, both, out=table)
+            now.append(table)
+            for start in range(0, len(ends) if len(ends_b) else 0, rows):
+                some = slice(start, start + rows)
+                found = table[at[some]]
+                found = (found if len(at_b) == table.shape[1] else np.take(found, at_b, axis=1)).astype(float)
+                own[ends[some]] += found @ right_weights[ends_b]
+                other[ends_b] += left_weights[ends[some]] @ found
+        before = now
+    return own, other
+
+
 def normalized_edit_distance(a: Tokens, b: Tokens) -> float:
     return edit_distance(a, b) / max(len(a), len(b), 1)
 

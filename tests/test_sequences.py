@@ -123,3 +123,15 @@ def test_medoids_give_a_row_a_sequence_not_a_pair(spark, capsys):
         assert (r.seq, round(r.objective, 5)) == (best[1], round(best[0], 5))
     found.explain()
     assert "levenshtein" not in capsys.readouterr().out
+
+
+def test_distances_of_texts_that_share_prefixes():
+    """Sums over shared prefixes are those of each pair alone, with the empty text, texts within others and few shared prefixes."""
+    rng = random.Random(23)
+    for letters, most in (("ab", 5), ("abc", 7), ("abcdefgh", 12)):
+        left, right = (sorted({"", *("".join(rng.choice(letters) for _ in range(rng.randrange(most))) for _ in range(40))}) for _ in range(2))
+        a, b = np.array([rng.random() for _ in left]), np.array([rng.random() for _ in right])
+        own, other = S.distance_sums(left, a, right, b, rows=9)
+        table = np.array([[S.edit_distance(x, y) for y in right] for x in left])
+        assert np.allclose(own, table @ b) and np.allclose(other, a @ table)
+    assert len(S.Prefixes(["", "a", "aa", "ab", "b"], {})) == 5
